@@ -238,7 +238,7 @@ def one_vessel(spark, sf):
 
 
 @query("trj4_last_points", with_sql("seg") + """
-SELECT mmsi, segment_id, count(*) AS n_points, CASE WHEN count(*)<8 THEN 'too short' END AS error, avg(lat) AS mean_lat, arg_max(sog, event_id) AS last_sog
+SELECT mmsi, segment_id, count(*) AS n_points, CASE WHEN count(*)<8 THEN 'too short' END AS error, avg(lat) AS mean_lat, arg_max_null(sog, event_id) AS last_sog
 FROM (SELECT *, row_number() OVER (PARTITION BY mmsi, segment_id ORDER BY time DESC, event_id DESC) AS r FROM seg) WHERE r<=8 GROUP BY 1,2""", "mean_lat last_sog", 9)
 def last_points(spark, sf):
     out = TR.last_points(A.segments(spark, sf), 8, keys=("mmsi", "segment_id"))
@@ -268,7 +268,7 @@ def resample_forward(spark, sf):
   last_value({c} IGNORE NULLS) OVER (PARTITION BY mmsi ORDER BY bin) AS va, first_value({c} IGNORE NULLS) OVER (PARTITION BY mmsi ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS vb FROM j)""" for c in ("lat", "lon", "sog")]) + """
 SELECT mmsi, make_timestamp(bin*1000000) AS time, """ + ", ".join(
     f"coalesce(k_{c}.{c}, k_{c}.va+(k_{c}.vb-k_{c}.va)*((bin-k_{c}.ta)/nullif(k_{c}.tb-k_{c}.ta,0)::DOUBLE), k_{c}.va, k_{c}.vb) AS {c}"
-    for c in ("lat", "lon", "sog")) + " FROM k_lat JOIN k_lon USING (mmsi, bin) JOIN k_sog USING (mmsi, bin)", "lat lon sog", 9)
+    for c in ("lat", "lon", "sog")) + " FROM k_lat JOIN k_lon USING (mmsi, bin) JOIN k_sog USING (mmsi, bin)", "lat lon sog", 11)
 def resample_linear(spark, sf):
     return TR.resample_linear(A.positions(spark, sf))
 
