@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wakeline.functions import codes, geo
+from wakeline.functions.pin import pinned
 from wakeline.operators import proximity as P
 
 INF = float("inf")
@@ -27,13 +28,13 @@ def with_cpa(pairs: DataFrame) -> DataFrame:
     ex, ey = F.col("_dx") + F.col("_dvx") * t, F.col("_dy") + F.col("_dvy") * t
     lat1, lon1 = geo.from_local(F.col("_vx1") * t, F.col("_vy1") * t, F.col("lat"), F.col("lon"))
     lat2, lon2 = geo.from_local(F.col("_dx") + F.col("_vx2") * t, F.col("_dy") + F.col("_vy2") * t, F.col("lat"), F.col("lon"))
-    df = df.withColumns({
-        "cpa_m": F.sqrt(ex * ex + ey * ey),
+    df = pinned(df, {
+        "cpa_m": F.sqrt(ex * ex + ey * ey), "tcpa_s": t,
         "motion": F.when(F.col("_rel2") < STILL, "parallel").when(t > 0, "approaching").otherwise("receding"),
         "cpa_lat": lat1, "cpa_lon": lon1, "other_cpa_lat": lat2, "other_cpa_lon": lon2,
         "relative_knots": F.sqrt(F.col("_rel2")) / geo.KNOTS_TO_MPS,
     })
-    df = df.withColumn("warning", codes.cpa_warning(F.col("cpa_m"), t))
+    df = df.withColumn("warning", codes.cpa_warning(F.col("cpa_m"), F.col("tcpa_s")))
     return df.drop("_dx", "_dy", "_vx1", "_vy1", "_vx2", "_vy2", "_dvx", "_dvy", "_rel2")
 
 
@@ -140,7 +141,7 @@ def with_bearings(pairs: DataFrame) -> DataFrame:
     """Bearing to the other vessel off each bow, and the angle between courses."""
     there = geo.bearing_deg(F.col("lat"), F.col("lon"), F.col("other_lat"), F.col("other_lon"))
     full = F.lit(360.0)
-    return pairs.withColumn("_b", there).withColumns({
+    return pinned(pairs.withColumn("_b", there), {
         "bearing_off_bow": F.pmod(F.col("_b") - F.col("cog"), full),
         "other_bearing_off_bow": F.pmod(F.pmod(F.col("_b") + 180, full) - F.col("other_cog"), full),
         "crossing_angle": geo.circular_error(F.col("cog"), F.col("other_cog")),
@@ -247,8 +248,6 @@ def stepwise_risk(own: DataFrame, neighbours: DataFrame, limit_m: float = 500.0,
 
     ``own``: sample_id, step, lat, lon; ``neighbours`` adds neighbour_id.
     """
-    from pyspark.sql import Window
-
     def moved(df, keys):
         w = Window.partitionBy(*keys).orderBy("step")
         return df.withColumns({"vlat": F.col("lat") - F.lag("lat").over(w), "vlon": F.col("lon") - F.lag("lon").over(w)})
@@ -261,7 +260,7 @@ def stepwise_risk(own: DataFrame, neighbours: DataFrame, limit_m: float = 500.0,
     vx, vy = F.col("vlat") - F.col("n_vlat"), F.col("vlon") - F.col("n_vlon")
     rel2 = vx * vx + vy * vy
     t = F.greatest(F.lit(0.0), F.when(rel2 > 1e-6, -(px * vx + py * vy) / rel2).otherwise(0.0))
-    j = j.withColumns({"_t": t, "_px": px, "_py": py, "_vx": vx, "_vy": vy})
+    j = pinned(j, {"_t": t, "_px": px, "_py": py, "_vx": vx, "_vy": vy})
     ex, ey = F.col("_px") + F.col("_t") * F.col("_vx"), F.col("_py") + F.col("_t") * F.col("_vy")
     metres = F.sqrt(ex * ex + ey * ey) * 111000.0
     risk = 1 / (1 + F.exp((metres - limit_m) / 100.0)) * F.exp(-0.1 * F.col("_t"))

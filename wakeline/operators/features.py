@@ -8,6 +8,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wakeline.functions import geo, times
+from wakeline.functions.pin import pinned
 from wakeline.operators import ordered as O
 
 SEGMENT = ("mmsi", "segment_id")
@@ -25,7 +26,7 @@ def step_features(segments: DataFrame) -> DataFrame:
     here = (F.col("lat"), F.col("lon"))
     before = (prev("lat"), prev("lon"))
     minutes = F.nullif(F.col("time_diff") / 60, F.lit(0.0))
-    df = segments.withColumns({
+    df = pinned(segments, {
         "distance_km": F.when(inside, geo.haversine_km(*before, *here)).otherwise(0.0),
         "bearing": geo.bearing_deg(*before, *here),
         "speed_delta": F.col("sog") - prev("sog"),

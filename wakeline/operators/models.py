@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wakeline.functions import geo, times
+from wakeline.functions.pin import pinned
 from wakeline.operators import ordered as O
 
 MAX_MPS = 50.0 * geo.KNOTS_TO_MPS
@@ -38,7 +39,7 @@ def dead_reckoning(df: DataFrame, horizon: int = 5, keys: Sequence[str] = SEGMEN
     df = O.drop_margins(df).filter((F.size("_future") == horizon) & F.col("_plat").isNotNull())
     dx, dy = geo.to_local(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon"))
     vx, vy = geo.cap_speed(dx / F.col("_gap"), dy / F.col("_gap"), MAX_MPS)
-    df = df.withColumns({"_vx": vx, "_vy": vy}).select(
+    df = pinned(df, {"_vx": vx, "_vy": vy}).select(
         *keys, F.col("event_id").alias("sample_id"), "time", "lat", "lon", "sog", "cog", "_vx", "_vy", "_dt",
         F.posexplode("_future").alias("_i", "_t"))
     seconds = F.col("_dt") * (F.col("_i") + 1)

@@ -30,30 +30,27 @@ def _column(lon: Column, n: Column) -> Column:
     return F.floor((lon + 180.0) / (F.lit(360.0) / n))
 
 
-def own_cell(step: float) -> Column:
-    band = F.floor((F.col("lat") + 90.0) / step)
-    n = _cells_in_band(band, step)
-    return F.struct(band.alias("band"), F.pmod(_column(F.col("lon"), n), n).alias("col"))
+def with_own_cell(df: DataFrame, step: float) -> DataFrame:
+    """Add the grid cell (``band``, ``col``) of each row."""
+    df = df.withColumn("band", F.floor((F.col("lat") + 90.0) / step)).withColumn("_n", _cells_in_band(F.col("band"), step))
+    return df.withColumn("col", F.pmod(_column(F.col("lon"), F.col("_n")), F.col("_n"))).drop("_n")
 
 
-def reachable_cells(radius_km: float, step: float) -> Column:
-    """Every cell a circle around the row can touch (three bands, any longitude)."""
+def with_reachable_cells(df: DataFrame, radius_km: float, step: float) -> DataFrame:
+    """One row per cell that a circle around the row can touch (three bands, any longitude)."""
     angle = radius_km / geo.EARTH_KM * _SLACK
-    lat, lon = F.col("lat"), F.col("lon")
-    top = ceil(180.0 / step)
+    lat, lon, n = F.col("lat"), F.col("lon"), F.col("_n")
     ratio = F.lit(sin(angle)) / F.cos(F.radians(lat))
     half = F.when(F.abs(lat) + degrees(angle) >= 90, 180.0).otherwise(
         F.degrees(F.asin(F.least(F.lit(1.0), ratio))) * _SLACK)
-
-    def band_cells(shift):
-        band = F.floor((lat + 90.0) / step) + shift
-        n = _cells_in_band(band, step)
-        lo, hi = _column(lon - half, n), _column(lon + half, n)
-        cols = F.when(hi - lo + 1 >= n, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.sequence(lo, hi))
-        return F.transform(cols, lambda c: F.struct(band.alias("band"), F.pmod(c, n).alias("col")))
-
-    cells = F.array_distinct(F.concat(*[band_cells(s) for s in (-1, 0, 1)]))
-    return F.filter(cells, lambda c: c["band"].between(0, top))
+    df = df.withColumn("_half", half).select("*", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])).alias("_shift"))
+    df = df.withColumn("band", F.floor((lat + 90.0) / step) + F.col("_shift"))
+    df = df.filter(F.col("band").between(0, ceil(180.0 / step))).withColumn("_n", _cells_in_band(F.col("band"), step))
+    df = df.withColumns({"_lo": _column(lon - F.col("_half"), n), "_hi": _column(lon + F.col("_half"), n)})
+    cells = F.when(F.col("_hi") - F.col("_lo") + 1 >= n, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(
+        F.sequence("_lo", "_hi"))
+    df = df.select("*", F.explode(cells).alias("_at")).withColumn("col", F.pmod(F.col("_at"), n))
+    return df.drop("_half", "_shift", "_n", "_lo", "_hi", "_at")
 
 
 def near_pairs(df: DataFrame, radius_nm: float = 10.0, bucket_s: int = 60, same_vessel: bool = False,
@@ -68,13 +65,12 @@ def near_pairs(df: DataFrame, radius_nm: float = 10.0, bucket_s: int = 60, same_
     bucket = F.floor(F.unix_micros("time") / F.lit(bucket_s * 1_000_000)) * bucket_s
     df = df.select(*state).dropna(subset=["lat", "lon"]).withColumn("bucket", bucket)
     key = ["bucket", "band", "col"]
-    mine = df.withColumn("_c", own_cell(step)).select("*", "_c.band", "_c.col").drop("_c")
+    mine = with_own_cell(df, step)
     hot = mine.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select(
         *key, F.ceil(F.col("n") / crowded).cast("int").alias("salts"))
     mine = mine.join(hot, key, "left").withColumn(
         "salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.hash("event_id"), F.col("salts")))).drop("salts")
-    theirs = df.select(*[F.col(c).alias(f"other_{c}") for c in state], "bucket",
-                       F.inline(reachable_cells(radius_km, step)))
+    theirs = with_reachable_cells(df, radius_km, step).withColumnsRenamed({c: f"other_{c}" for c in state})
     theirs = theirs.join(hot, key, "left").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     apart = F.col("event_id") != F.col("other_event_id")
@@ -106,9 +102,9 @@ def near_places(df: DataFrame, places: DataFrame, place_id: str, radius_nm: floa
     """(row, place, distance) for every place within the radius, by grid cell."""
     radius_km = radius_nm * geo.KM_PER_NM
     step = degrees(radius_km / geo.EARTH_KM) * _SLACK
-    rows = df.select(row_id, "lat", "lon").withColumn("_c", own_cell(step)).select(row_id, "lat", "lon", "_c.*")
-    there = places.select(place_id, "lat", "lon").select(
-        place_id, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.inline(reachable_cells(radius_km, step)))
+    rows = with_own_cell(df.select(row_id, "lat", "lon"), step)
+    there = with_reachable_cells(places.select(place_id, "lat", "lon"), radius_km, step)
+    there = there.withColumnsRenamed({"lat": "p_lat", "lon": "p_lon"})
     distance = geo.haversine_nm(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
     return rows.join(there, ["band", "col"]).select(row_id, place_id, distance.alias("distance_nm")).filter(
         F.col("distance_nm") <= radius_nm)

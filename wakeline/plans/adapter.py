@@ -6,7 +6,7 @@ hours so that tracks are dense enough to segment.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wakeline.operators import clean as C
 from wakeline.operators import features as FE
@@ -15,34 +15,31 @@ from wakeline.operators import tracks as TR
 
 EPOCH_US = 1704067200000000
 SHIP_TYPES = (70, 71, 80, 81, 30, 60, 0)
+_HOT: dict[tuple[str, str], bool] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
-
-
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a raw message, sentinels and all."""
-    ev = table(spark, sf_dir, "events").withColumn("k", _k()).withColumn("u", F.col("user_id"))
-    k, u = F.col("k"), F.col("u")
-    return ev.select(
-        "event_id",
-        F.expr(f"timestamp_micros((unix_micros(cast(ts as timestamp)) - {EPOCH_US}) div 60 + {EPOCH_US})").alias("time"),
-        (u + 200_000_000).alias("mmsi"),
-        F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 3)
-        .when(F.col("event_type") == "purchase", 18).when(F.col("event_type") == "signup", 5)
-        .otherwise(24).alias("msg_type"),
-        F.when(k == 99, 91.0).otherwise(61.9 + (u % 15) * 0.02 + k * 0.0001).alias("lat"),
-        F.when(k == 99, 181.0).otherwise(-6.9 + (F.expr("u div 15") % 10) * 0.03 + ((k * 7) % 100) * 0.0001).alias("lon"),
-        F.when(k == 98, 102.3).otherwise(F.round(F.least(F.col("value") / 10, F.lit(30.0)), 1)).alias("sog"),
-        (((u * 37 + k * 36) % 3600) / 10).alias("cog"),
-        F.when(k % 10 == 0, 511).otherwise((u * 37 + k * 3) % 360).cast("int").alias("heading"),
-        "k", "u",
-    )
+    # one-element arrays pin the derived values: each is computed once per row,
+    # however often filters and expressions above refer to it
+    ev = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "ts", "event_type", "value", "user_id AS u",
+        "explode(array(cast(get_json_object(props, '$.k') AS int))) AS k")
+    return ev.selectExpr(f"""inline(array(struct(
+        event_id,
+        timestamp_micros((unix_micros(cast(ts AS timestamp)) - {EPOCH_US}) div 60 + {EPOCH_US}) AS time,
+        u + 200000000 AS mmsi,
+        CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 3 WHEN 'purchase' THEN 18 WHEN 'signup' THEN 5 ELSE 24 END AS msg_type,
+        IF(k = 99, 91.0D, 61.9D + (u % 15) * 0.02D + k * 0.0001D) AS lat,
+        IF(k = 99, 181.0D, -6.9D + ((u div 15) % 10) * 0.03D + ((7 * k) % 100) * 0.0001D) AS lon,
+        IF(k = 98, 102.3D, round(least(value / 10, 30.0D), 1)) AS sog,
+        ((37 * u + 36 * k) % 3600) / 10D AS cog,
+        IF(k % 10 = 0, 511, cast((37 * u + 3 * k) % 360 AS int)) AS heading,
+        k, u)))""")
 
 
 def static_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +68,12 @@ def static_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean position reports (types 1, 3 and 18 here)."""
     m = messages(spark, sf_dir).filter(F.col("msg_type").isin(1, 2, 3, 18, 19)).drop("k", "u")
-    return O.spread_hot(C.clean(m).withColumn("heading", F.col("heading").cast("double")))
+    cleaned = C.clean(m).withColumn("heading", F.col("heading").cast("double"))
+    # the size check reads the table once per session, not once per query
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _HOT:
+        _HOT[known] = O.is_chunked(O.spread_hot(cleaned))
+    return O.chunked(cleaned) if _HOT[known] else cleaned
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

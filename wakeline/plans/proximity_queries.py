@@ -59,7 +59,7 @@ def nearest_port(spark, sf):
 
 
 @query("jon6_nearest_waypoint", with_sql("pos", "port") + """
-SELECT event_id, min(d) AS degrees FROM (SELECT event_id, port_id, sqrt((pos.lat-port.lat)*(pos.lat-port.lat)+(pos.lon-port.lon)*(pos.lon-port.lon)) AS d FROM pos, port) GROUP BY 1""".replace("arg_min(port_id, round(d,9)+port_id*1e-12) AS waypoint_id, ", ""), "degrees")
+SELECT event_id, min(d) AS degrees FROM (SELECT event_id, port_id, sqrt((pos.lat-port.lat)*(pos.lat-port.lat)+(pos.lon-port.lon)*(pos.lon-port.lon)) AS d FROM pos, port) GROUP BY 1""", "degrees")
 def nearest_waypoint(spark, sf):
     return P.nearest_place(A.positions(spark, sf), A.ports(spark, sf), "port_id", "waypoint_id", "degrees", planar=True).select("event_id", "degrees")
 
