@@ -1,8 +1,9 @@
-"""Exact percentiles without holding a group in one task.
+"""Exact ranks and percentiles without holding a group in one task.
 
 The built-in exact percentile keeps every distinct value of a group in memory.
-Here values are counted per bin first, the bins that hold the wanted ranks are
-found from the counts, and only values of those bins are ranked.
+Here values are counted first, counts are summed per value bin, and values are
+ordered only inside their bin (for percentiles: only in the bins that hold a
+wanted rank).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 BINS = 1024
+_ALL = "_all"
 
 
 def side_by_side(*one_row: DataFrame) -> DataFrame:
@@ -21,39 +23,54 @@ def side_by_side(*one_row: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "_k"), keyed).drop("_k")
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
+def _with_bins(counts: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """Equal-width value bin of each row, between its key's extremes."""
+    spans = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    share = (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    bin_ = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BINS), F.lit(BINS - 1))
+    return counts.join(spans, list(keys)).withColumn("_bin", bin_).drop("_lo", "_hi")
+
+
+def with_running_counts(counts: DataFrame, value: str, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """For each distinct value add ``_before<col>``: the sum of ``col`` over smaller values."""
+    own = list(keys) or [_ALL]
+    binned = _with_bins(counts if keys else counts.withColumn(_ALL, F.lit(0)), value, own)
+    ahead = Window.partitionBy(*own).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy(*own, "_bin").agg(*[F.sum(c).alias(f"_in{c}") for c in cols])
+    bins = bins.select(*own, "_bin", *[F.coalesce(F.sum(f"_in{c}").over(ahead), F.lit(0)).alias(f"_pre{c}") for c in cols])
+    inside = Window.partitionBy(*own, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = binned.join(bins, [*own, "_bin"]).withColumns(
+        {f"_before{c}": F.col(f"_pre{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in cols})
+    return out.drop("_bin", _ALL, *[f"_pre{c}" for c in cols])
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float],
+                weight: str | None = None) -> DataFrame:
     """Linearly interpolated percentiles of ``value`` per key, one column each.
 
-    ``wanted`` maps column names to shares in [0, 1]; NULL values are ignored.
+    ``wanted`` maps column names to shares in [0, 1]; NULL values are ignored;
+    ``weight`` counts a row several times.
     """
-    keys = list(keys) or ["_all"]
-    base = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
-    counts = base.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    spans = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
-    share = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    bin_ = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BINS), F.lit(BINS - 1))
-    binned = counts.join(spans, keys).withColumn("_bin", bin_)
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_in"), F.first("_total").alias("_total"))
-    bins = bins.withColumn("_ahead", F.coalesce(F.sum("_in").over(before), F.lit(0)))
-    names = list(wanted)
+    own = list(keys) or [_ALL]
+    base = df if keys else df.withColumn(_ALL, F.lit(0))
+    n = F.count("*") if weight is None else F.sum(weight)
+    counts = base.filter(F.col(value).isNotNull()).groupBy(*own, F.col(value).alias("_v")).agg(n.alias("_n"))
+    binned = _with_bins(counts, "_v", own)
+    ahead = Window.partitionBy(*own).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy(*own, "_bin").agg(F.sum("_n").alias("_in")).withColumns({
+        "_ahead": F.coalesce(F.sum("_in").over(ahead), F.lit(0)), "_total": F.sum("_in").over(Window.partitionBy(*own))})
     ranks = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("rank"))
                       for i, p in enumerate(wanted.values())])
     hit = lambda r, n: (F.floor(r["rank"]) < F.col("_ahead") + F.col(n)) & (F.ceil(r["rank"]) >= F.col("_ahead"))
     bins = bins.withColumn("_ranks", F.filter(ranks, lambda r: hit(r, "_in"))).filter(F.size("_ranks") > 0)
-    # only values of bins that hold a wanted rank are sorted
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    near = binned.select(*keys, "_bin", "_v", "_n").join(bins.select(*keys, "_bin", "_ahead", "_ranks"), [*keys, "_bin"])
+    inside = Window.partitionBy(*own, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    near = binned.join(bins.select(*own, "_bin", "_ahead", "_ranks"), [*own, "_bin"])
     near = near.withColumn("_ahead", F.col("_ahead") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    near = near.withColumn("_ranks", F.filter("_ranks", lambda r: hit(r, "_n"))).filter(F.size("_ranks") > 0)
-    rows = near.select(*keys, "_v", "_n", "_ahead", F.inline("_ranks"))
-    low = F.floor("rank")
-    is_low = (low >= F.col("_ahead")) & (low < F.col("_ahead") + F.col("_n"))
-    high = F.ceil("rank")
-    is_high = (high >= F.col("_ahead")) & (high < F.col("_ahead") + F.col("_n"))
-    ends = rows.groupBy(*keys, "i").agg(
-        F.max(F.when(is_low, F.col("_v"))).alias("a"), F.max(F.when(is_high, F.col("_v"))).alias("b"),
-        F.first("rank").alias("rank"))
+    rows = near.select(*own, "_v", "_n", "_ahead", F.inline(F.filter("_ranks", lambda r: hit(r, "_n"))))
+    holds = lambda at: (at >= F.col("_ahead")) & (at < F.col("_ahead") + F.col("_n"))
+    ends = rows.groupBy(*own, "i").agg(
+        F.max(F.when(holds(F.floor("rank")), F.col("_v"))).alias("a"),
+        F.max(F.when(holds(F.ceil("rank")), F.col("_v"))).alias("b"), F.first("rank").alias("rank"))
     value_at = F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))
-    out = ends.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, value_at)).alias(n) for i, n in enumerate(names)])
-    return out.drop("_all")
+    out = ends.groupBy(*own).agg(*[F.max(F.when(F.col("i") == i, value_at)).alias(c) for i, c in enumerate(wanted)])
+    return out.drop(_ALL)

@@ -176,32 +176,52 @@ def combined_folds(df: DataFrame, folds: int = 5, inner: int = 3, group: str = "
     return tagged.select("*", F.inline(F.array_compact(F.array(*parts)))).drop("test_fold")
 
 
+def _purged_spans(n: int, folds: int, gap_rows: int, max_train: int | None, test_rows: int | None):
+    size = test_rows or n // (folds + 1)
+    for f in range(folds):
+        test = (n - f * size - size, n - f * size)
+        train_end = test[0] - gap_rows
+        train_start = max(0, train_end - max_train) if max_train else 0
+        if train_end > train_start and test[0] >= 0:
+            yield f, (train_start, train_end), test
+
+
 def purged_folds(df: DataFrame, folds: int = 5, gap_rows: int = 0, max_train: int | None = None,
-                 time: str = "time", key: str = "event_id") -> DataFrame:
-    """Expanding folds with a gap counted in rows and a longest train part."""
+                 test_rows: int | None = None, time: str = "time", key: str = "event_id") -> DataFrame:
+    """Test blocks taken from the end backwards, with a gap in rows and a longest train part."""
     n = df.count()
-    size = n // (folds + 1)
+    return _row_spans(df, list(_purged_spans(n, folds, gap_rows, max_train, test_rows)), n, _time_order(time, key))
+
+
+def blocking_folds(df: DataFrame, folds: int = 5, gap_rows: int = 0, time: str = "time",
+                   key: str = "event_id") -> DataFrame:
+    """Consecutive test blocks, each trained on the rows before it."""
+    n = df.count()
+    test_size = n // (2 * folds)
+    train_size = n - test_size * folds
     spans = []
     for f in range(folds):
-        test_start = (f + 1) * size
-        train_end = max(0, test_start - gap_rows)
-        train_start = max(0, train_end - max_train) if max_train else 0
-        test_end = n if f == folds - 1 else test_start + size
-        spans.append(((train_start, train_end), (test_start, test_end)))
+        start = f * (test_size + gap_rows)
+        train_end = start - gap_rows
+        if start + test_size <= n and train_end > max(0, train_end - train_size):
+            spans.append((f, (max(0, train_end - train_size), train_end), (start, start + test_size)))
     return _row_spans(df, spans, n, _time_order(time, key))
 
 
-def blocking_folds(df: DataFrame, folds: int = 5, train: float = 0.8, time: str = "time",
-                   key: str = "event_id") -> DataFrame:
-    """Contiguous blocks, each split into its own train and test part."""
+def vessel_time_folds(df: DataFrame, folds: int = 3, share: float = 0.8, seed: int = 42, gap_rows: int = 0,
+                      group: str = "mmsi", time: str = "time", key: str = "event_id") -> DataFrame:
+    """Purged folds that train on a random share of the vessels and test on the others."""
     n = df.count()
-    size = n // folds
-    spans = [((f * size, f * size + int(size * train)), (f * size + int(size * train), (f + 1) * size)) for f in range(folds)]
-    return _row_spans(df, spans, n, _time_order(time, key))
+    tagged = _row_spans(df, list(_purged_spans(n, folds, gap_rows, None, None)), n, _time_order(time, key))
+    limit = int(share * 16**15)
+    chosen = F.lit(False)
+    for f in range(folds):
+        chosen = F.when(F.col("fold") == f, random_key(seed + f, group) < limit).otherwise(chosen)
+    return tagged.filter(chosen == (F.col("side") == "train"))
 
 
 def _row_spans(df: DataFrame, spans, n: int, order: Sequence[Column]) -> DataFrame:
-    wanted = sorted({p for pair in spans for span in pair for p in span if 0 < p < n})
+    wanted = sorted({p for _, *pair in spans for span in pair for p in span if 0 < p < n})
     at = dict(zip(wanted, cut_points(df, order, wanted)))
 
     def within(span):
@@ -210,31 +230,12 @@ def _row_spans(df: DataFrame, spans, n: int, order: Sequence[Column]) -> DataFra
         return (after & until) if span[0] < span[1] else F.lit(False)
 
     parts = []
-    for f, (train, test) in enumerate(spans):
+    for f, train, test in spans:
         side = F.when(within(train), "train").when(within(test), "test")
         parts.append(F.when(side.isNotNull(), F.struct(F.lit(f).alias("fold"), side.alias("side"))))
     return df.select("*", F.inline(F.array_compact(F.array(*parts))))
 
 
-def vessel_time_folds(df: DataFrame, folds: int = 3, share: float = 0.8, seed: int = 42, group: str = "mmsi",
-                      time: str = "time", key: str = "event_id") -> DataFrame:
-    """Expanding time folds; each trains on a random share of the vessels and tests on the others."""
-    n = df.count()
-    size = n // (folds + 1)
-    wanted = [(f + 1) * size for f in range(folds)] + [(f + 2) * size for f in range(folds - 1)]
-    order = _time_order(time, key)
-    at = dict(zip(wanted, cut_points(df, order, wanted)))
-    limit = int(share * 16**15)
-    parts = []
-    for f in range(folds):
-        start, end = (f + 1) * size, (f + 2) * size
-        chosen = random_key(seed + f, group) < limit
-        until = _before(order, at[end]) if f < folds - 1 else F.lit(True)
-        side = F.when(_before(order, at[start]) & chosen, "train").when(~_before(order, at[start]) & until & ~chosen, "test")
-        parts.append(F.when(side.isNotNull(), F.struct(F.lit(f).alias("fold"), side.alias("side"))))
-    return df.select("*", F.inline(F.array_compact(F.array(*parts))))
-
-
 def split_quality(folded: DataFrame, group: str = "mmsi", time: str = "time") -> DataFrame:
     """Per fold: sizes, ratio, groups on both sides, time overlap and gap in minutes."""
     train, test = F.col("side") == "train", F.col("side") == "test"

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from wakeline.plans import profile_queries, proximity_queries, source_queries, track_queries  # noqa: F401
+from wakeline.plans import evaluation_queries, profile_queries, proximity_queries, source_queries, track_queries  # noqa: F401
 from wakeline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
