@@ -14,6 +14,7 @@ from math import ceil, degrees, sin
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wakeline.functions import geo
+from wakeline.session import saved
 
 CROWDED = 5000
 STATE = ("event_id", "mmsi", "time", "lat", "lon", "sog", "cog")
@@ -89,14 +90,6 @@ def nearest_neighbours(pairs: DataFrame) -> DataFrame:
     ).select("event_id", "n.*")
 
 
-def _small_points(points: DataFrame, limit: int = 10_000) -> list:
-    """A lookup of places as driver rows, refused beyond the limit."""
-    rows = points.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} places; use near_places instead")
-    return rows
-
-
 def near_places(df: DataFrame, places: DataFrame, place_id: str, radius_nm: float,
                 row_id: str = "event_id") -> DataFrame:
     """(row, place, distance) for every place within the radius, by grid cell."""
@@ -116,26 +109,65 @@ def in_port(df: DataFrame, ports: DataFrame, radius_nm: float = 1.0, row_id: str
     return df.join(hits, row_id, "left").withColumn("in_port", F.coalesce("in_port", F.lit(False)))
 
 
-def nearest_place(df: DataFrame, places: DataFrame, place_id: str, out_id: str, out_km: str,
-                  planar: bool = False) -> DataFrame:
-    """Closest place per row, computed in place against a size-checked lookup.
+FEW_PLACES = 500
+
 
-    ``planar`` compares plain degrees, as route waypoints do.
+def nearest_place(df: DataFrame, places: DataFrame, place_id: str, out_id: str, out_distance: str,
+                  planar: bool = False, row_id: str = "event_id") -> DataFrame:
+    """Closest place per row, in km, or in plain degrees if ``planar``.
+
+    Up to FEW_PLACES the places become an array inside the plan (no join at all);
+    more are found by :func:`_search_rings`.
     """
-    rows = _small_points(places.select(place_id, "lat", "lon"))
+    rows = places.select(place_id, "lat", "lon").limit(FEW_PLACES + 1).collect()
+    if len(rows) > FEW_PLACES:
+        found = _search_rings(df, places, place_id, out_id, out_distance, planar, row_id)
+        return df.join(found, row_id, "left")
     table = F.array(*[F.struct(F.lit(float(r["lat"])).alias("lat"), F.lit(float(r["lon"])).alias("lon"),
                                F.lit(r[place_id]).alias("id")) for r in rows])
+    offer = lambda p: F.struct(_distance(F.col("lat"), F.col("lon"), p["lat"], p["lon"], planar).alias("d"), p["id"].alias("id"))
+    best = F.array_min(F.transform(table, offer))
+    return df.withColumn("_best", best).withColumns({out_id: F.col("_best.id"), out_distance: F.col("_best.d")}).drop("_best")
+
 
-    def offer(p):
+def _distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, planar: bool) -> Column:
+    if not planar:
+        return geo.haversine_km(lat1, lon1, lat2, lon2)
+    return F.sqrt((lat1 - lat2) * (lat1 - lat2) + (lon1 - lon2) * (lon1 - lon2))
+
+
+def _search_rings(df: DataFrame, places: DataFrame, place_id: str, out_id: str, out_distance: str,
+                  planar: bool, row_id: str, first: float = 0.25) -> DataFrame:
+    """Nearest place by circles that double until every row has one inside.
+
+    A place found inside a circle is the nearest one overall, because every
+    place inside that circle was compared.
+    """
+    spots = places.select(F.col(place_id).alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    left, radius, done = df.select(row_id, "lat", "lon"), first, None
+    while True:
         if planar:
-            dlat, dlon = F.col("lat") - p["lat"], F.col("lon") - p["lon"]
-            d = F.sqrt(dlat * dlat + dlon * dlon)
+            cell = lambda c, s=0: F.floor(F.col(c) / radius) + s
+            near = F.array(*[F.struct(cell("_lat", i).alias("cy"), cell("_lon", j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+            met = left.withColumns({"cy": cell("lat"), "cx": cell("lon")}).join(spots.select("*", F.inline(near)), ["cy", "cx"])
         else:
-            d = geo.haversine_km(F.col("lat"), F.col("lon"), p["lat"], p["lon"])
-        return F.struct(d.alias("d"), p["id"].alias("id"))
-
-    best = F.array_min(F.transform(table, offer))
-    return df.withColumn("_best", best).withColumns({out_id: F.col("_best.id"), out_km: F.col("_best.d")}).drop("_best")
+            km = radius * degrees_to_km()
+            step = degrees(km / geo.EARTH_KM) * _SLACK
+            there = with_reachable_cells(spots.select("_id", F.col("_lat").alias("lat"), F.col("_lon").alias("lon")), km, step)
+            met = with_own_cell(left, step).join(there.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}), ["band", "col"])
+        limit = radius if planar else radius * degrees_to_km()
+        d = _distance(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"), planar)
+        best = met.withColumn("_d", d).filter(F.col("_d") <= limit).groupBy(row_id).agg(F.min(F.struct("_d", "_id")).alias("_b"))
+        best = saved(best.select(row_id, F.col("_b._id").alias(out_id), F.col("_b._d").alias(out_distance)), "ring")
+        done = best if done is None else done.unionByName(best)
+        left = left.join(best.select(row_id), row_id, "left_anti")
+        if radius > 512 or left.isEmpty():
+            return done
+        radius *= 2
+
+
+def degrees_to_km() -> float:
+    return geo.M_PER_DEG / 1000
 
 
 def nearest_port(df: DataFrame, ports: DataFrame) -> DataFrame:

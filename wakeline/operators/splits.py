@@ -17,20 +17,23 @@ from wakeline.functions import times
 BINS = 512
 
 
-def cut_points(df: DataFrame, order: Sequence[Column], positions: Sequence[int]) -> list[tuple[int, ...]]:
+def cut_points(df: DataFrame, order: Sequence[Column], positions: Sequence[int],
+               among: Sequence[Column] | None = None) -> list[tuple[int, ...]]:
     """Order key of the rows at 0-based ``positions`` in ascending order of ``order``.
 
-    ``order`` are integer columns.  Each pass counts rows in at most BINS
+    ``order`` are integer columns; ``among`` restricts each position to some rows.  Each pass counts rows in at most BINS
     intervals per position and keeps the one that holds it, so the driver sees
     bounded counts and no task sees the whole order.
     """
     keys = [f"_o{i}" for i in range(len(order))]
-    slim = df.select(*[c.cast("long").alias(k) for c, k in zip(order, keys)])
+    marks = {f"_a{i}": c for i, c in enumerate(among or ())}
+    slim = df.select(*[c.cast("long").alias(k) for c, k in zip(order, keys)], *[c.alias(m) for m, c in marks.items()])
     found: list[list[int]] = [[] for _ in positions]
     left = list(positions)
     for key in keys:
         fixed = keys[: keys.index(key)]
-        inside = [F.lit(True) if not f else F.expr(" AND ".join(f"{k} = {v}" for k, v in zip(fixed, f))) for f in found]
+        inside = [F.expr(" AND ".join([*(["true"] if not among else [f"_a{i}"]), *[f"{k} = {v}" for k, v in zip(fixed, f)]]))
+                  for i, f in enumerate(found)]
         spans = slim.agg(*[f(F.when(c, F.col(key))).alias(f"{n}{i}") for i, c in enumerate(inside)
                            for n, f in (("lo", F.min), ("hi", F.max))]).first()
         lo, hi = [spans[f"lo{i}"] for i in range(len(left))], [spans[f"hi{i}"] for i in range(len(left))]
@@ -164,13 +167,14 @@ def combined_folds(df: DataFrame, folds: int = 5, inner: int = 3, group: str = "
                    key: str = "event_id", gap_minutes: float = 60.0) -> DataFrame:
     """Vessel folds whose train side is cut by the first inner temporal split."""
     tagged = df.join(group_folds(df, folds, group).drop("rows"), group)
-    parts = []
     order = _time_order(time, key)
-    for f in range(folds):
-        train = tagged.filter(F.col("test_fold") != f)
-        n = train.count()
-        size = n // (inner + 1)
-        border = cut_points(train, order, [n - inner * size])[0]
+    counts = tagged.groupBy("test_fold").count().collect()  # one row per fold
+    rows = {r["test_fold"]: r["count"] for r in counts}
+    sizes = [sum(rows.values()) - rows.get(f, 0) for f in range(folds)]
+    borders = cut_points(tagged, order, [n - inner * (n // (inner + 1)) for n in sizes],
+                         [F.col("test_fold") != f for f in range(folds)])
+    parts = []
+    for f, border in enumerate(borders):
         side = F.when(F.col("test_fold") == f, "test").when(_before(order, border), "train")
         parts.append(F.when(side.isNotNull(), F.struct(F.lit(f).alias("fold"), side.alias("side"))))
     return tagged.select("*", F.inline(F.array_compact(F.array(*parts)))).drop("test_fold")

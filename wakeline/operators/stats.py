@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wakeline.functions.pin import pinned
 from wakeline.operators import quantiles as Q
 
 NORMAL = NormalDist()
@@ -94,34 +95,41 @@ def _per_row(fn: Callable, returns: str = "double"):
 
 # Cumulative probabilities of a Poisson(1) count, times 2**32.
 _POISSON = [int(p * 2**32) for p in np.cumsum([exp(-1.0 - lgamma(k + 1)) for k in range(10)])]
+# Odd multipliers of a 32-bit integer mixer, and the replicate stride.
+_MIX = (569420461, 1935289751)
+_STRIDE = 2654435769
 
 
-def poisson_weights(row: Column, seed: int, block: Column) -> Column:
-    """Four Poisson(1) draws from one hash of row, block and seed."""
-    digest = F.md5(F.concat_ws("-", row.cast("string"), block.cast("string"), F.lit(str(seed))))
+def poisson_weight(base: Column, replicate: Column) -> Column:
+    """Poisson(1) draw of a row (its 32-bit ``base``) in one replicate."""
+    x = (base + replicate * _STRIDE) % 2**32
+    for shift, factor in ((16, _MIX[0]), (15, _MIX[1])):
+        x = (x.bitwiseXOR(F.shiftright(x, shift)) * factor) % 2**32
+    return x.bitwiseXOR(F.shiftright(x, 15))
 
-    def draw(i):
-        u = F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
-        weight = F.lit(0)
-        for edge in _POISSON:
-            weight = weight + (u >= edge).cast("int")
-        return F.struct((block * 4 + i).alias("replicate"), weight.alias("w"))
 
-    return F.array(*[draw(i) for i in range(4)])
+def row_base(row: Column, seed: int) -> Column:
+    """32 hash bits of the row key and the seed, computed once per row."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", row.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+
+
+def _draws(df: DataFrame, keys: Sequence[str], value: str, row: str, n: int, seed: int) -> DataFrame:
+    """(keys, replicate, x, w): each row weighs itself in every replicate by a hash."""
+    slim = pinned(df.filter(F.col(value).isNotNull()).select(*keys, F.col(row).alias("_row"), F.col(value).cast("double").alias("_x")),
+                  {"_base": row_base(F.col("_row"), seed)})
+    drawn = slim.select(*keys, "_x", "_base", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("replicate"))
+    drawn = pinned(drawn, {"_u": poisson_weight(F.col("_base"), F.col("replicate"))})
+    weight = sum((F.col("_u") >= edge).cast("int") for edge in _POISSON[1:]) + (F.col("_u") >= _POISSON[0]).cast("int")
+    return drawn.select(*keys, "_x", "replicate", weight.alias("w")).filter(F.col("w") > 0)
 
 
 def replicates(df: DataFrame, keys: Sequence[str], value: str, row: str, n: int = 200, seed: int = 42) -> DataFrame:
     """Mean of every bootstrap replicate per key.
 
-    Each row weighs itself in every replicate by a hash, so replicates are the
-    same under any partitioning, and sums are combined before the shuffle:
-    only (key, replicate) totals travel.
+    The draws are the same under any partitioning, and sums are combined before
+    the shuffle: only (key, replicate) totals travel.
     """
-    blocks = -(-n // 4)
-    slim = df.filter(F.col(value).isNotNull()).select(*keys, F.col(row).alias("_row"), F.col(value).cast("double").alias("_x"))
-    slim = slim.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    drawn = slim.select(*keys, "_x", F.inline(poisson_weights(F.col("_row"), seed, F.col("_block"))))
-    drawn = drawn.filter((F.col("w") > 0) & (F.col("replicate") < n))
+    drawn = _draws(df, keys, value, row, n, seed)
     return drawn.groupBy(*keys, "replicate").agg((F.sum(F.col("w") * F.col("_x")) / F.sum("w")).alias("mean"))
 
 
@@ -192,16 +200,12 @@ def bootstrap_medians(df: DataFrame, group: str, a, b, value: str, row: str, n:
                       confidence: float = 0.95) -> DataFrame:
     """Interval of the difference of two groups' medians (weighted exact medians)."""
     alpha = (1 - confidence) / 2
-    blocks = -(-n // 4)
-    slim = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(
-        group, F.col(row).alias("_row"), F.col(value).cast("double").alias("_x"))
-    slim = slim.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    drawn = slim.select(group, "_x", F.inline(poisson_weights(F.col("_row"), seed, F.col("_block")))).filter(
-        (F.col("w") > 0) & (F.col("replicate") < n))
+    rows = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull())
+    drawn = _draws(rows, [group], value, row, n, seed)
     medians = Q.percentiles(drawn, [group, "replicate"], "_x", {"median": 0.5}, weight="w")
     pick = lambda g: F.max(F.when(F.col(group) == g, F.col("median")))
     gaps = medians.groupBy("replicate").agg((pick(a) - pick(b)).alias("gap"))
-    own = Q.percentiles(slim, [group], "_x", {"median": 0.5}).agg((pick(a) - pick(b)).alias("difference"))
+    own = Q.percentiles(rows, [group], value, {"median": 0.5}).agg((pick(a) - pick(b)).alias("difference"))
     ends = gaps.agg(F.percentile("gap", F.lit(alpha)).alias("low"), F.percentile("gap", F.lit(1 - alpha)).alias("high"))
     return Q.side_by_side(own, ends)
 

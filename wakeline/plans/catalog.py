@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from wakeline.plans import evaluation_queries, profile_queries, proximity_queries, source_queries, track_queries  # noqa: F401
+from wakeline.plans import (  # noqa: F401
+    evaluation_queries,
+    model_queries,
+    profile_queries,
+    proximity_queries,
+    source_queries,
+    track_queries,
+)
 from wakeline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

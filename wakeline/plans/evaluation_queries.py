@@ -81,10 +81,12 @@ def sample_metrics(spark, sf):
 def _boot(src, keys, value, row, n, seed=42, out="rep"):
     """Replicate means per key, the same hash draws as in Spark."""
     k = "".join(f"{x}, " for x in keys)
-    u = f"('0x'||substr(md5({row}::VARCHAR||'-'||block||'-{seed}'), 8*i+1, 8))::BIGINT"
+    base = f"('0x'||substr(md5({row}::VARCHAR||'-{seed}'), 1, 8))::BIGINT"
     weight = "+".join(f"(u>={edge})::INT" for edge in TS._POISSON)
-    return f""", {out} AS (SELECT {k}replicate, sum(w*x)/sum(w) AS m FROM (SELECT {k}x, block*4+i AS replicate, {weight} AS w FROM (
-  SELECT {k}{value} AS x, block, i, {u} AS u FROM {src}, range(0, {-(-n // 4)}) b(block), range(0, 4) q(i) WHERE {value} IS NOT NULL)) WHERE replicate<{n} GROUP BY ALL HAVING sum(w)>0)
+    return f""", {out}0 AS (SELECT {k}{value} AS x, replicate, ({base}+replicate*{TS._STRIDE})%4294967296 AS a FROM {src}, range(0, {n}) b(replicate) WHERE {value} IS NOT NULL),
+{out}1 AS (SELECT *, (xor(a, a>>16)*{TS._MIX[0]})%4294967296 AS b FROM {out}0), {out}2 AS (SELECT *, (xor(b, b>>15)*{TS._MIX[1]})%4294967296 AS c FROM {out}1),
+{out}3 AS (SELECT *, xor(c, c>>15) AS u FROM {out}2),
+{out} AS (SELECT {k}replicate, sum(w*x)/sum(w) AS m FROM (SELECT *, {weight} AS w FROM {out}3) GROUP BY ALL HAVING sum(w)>0)
 """
 
 
