@@ -244,11 +244,12 @@ def roll_forest(models: dict, states: DataFrame, horizon: int, cols: Sequence[st
     assembler = VectorAssembler(inputCols=_features(cols), outputCol="features", handleInvalid="skip")
     steps = []
     for h in range(1, horizon + 1):
-        df = assembler.transform(df.withColumns(_state_features(cols)))
+        df = assembler.transform(pinned(df, _state_features(cols)))
         for c in cols:
-            df = models[(1, c)].transform(df).withColumn(f"step{h}_{c}", F.col(c) + F.col(f"pred_{c}_t1"))
-            kept = F.when(F.size(f"hist_{c}") >= 10, F.slice(f"hist_{c}", -9, 9)).otherwise(F.col(f"hist_{c}"))
-            df = df.withColumn(f"hist_{c}", F.concat(kept, F.array(f"step{h}_{c}")))
+            df = models[(1, c)].transform(df)
+        df = pinned(df, {f"step{h}_{c}": F.col(c) + F.col(f"pred_{c}_t1") for c in cols})
+        kept = lambda c: F.when(F.size(f"hist_{c}") >= 10, F.slice(f"hist_{c}", -9, 9)).otherwise(F.col(f"hist_{c}"))
+        df = pinned(df, {f"hist_{c}": F.concat(kept(c), F.array(f"step{h}_{c}")) for c in cols})
         df = df.drop("features", *_features(cols), *[f"pred_{c}_t1" for c in cols])
         steps.append(F.struct(F.lit(h).alias("step"), *[F.col(f"step{h}_{c}").alias(f"pred_{c}") for c in cols]))
     return df.select("sample_id", F.inline(F.array(*steps)))

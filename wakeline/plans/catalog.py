@@ -6,6 +6,7 @@ from wakeline.plans import (  # noqa: F401
     profile_queries,
     proximity_queries,
     source_queries,
+    stream_queries,
     track_queries,
 )
 from wakeline.plans.registry import ORACLES, QUERIES

@@ -42,13 +42,14 @@ _CLUSTER = _SIMPLE + """, near AS (SELECT a.event_id AS a, b.event_id AS b, (a.l
 core AS (SELECT a AS id FROM near GROUP BY 1 HAVING count(*)>=12), link AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
 reach(id, root) AS (SELECT id, id FROM core UNION SELECT l.b, r.root FROM reach r JOIN link l ON l.a=r.id WHERE r.root<l.b),
 lab AS (SELECT id, min(root) AS cluster FROM reach GROUP BY 1),
-way AS (SELECT cluster, count(*) AS cores FROM lab GROUP BY 1)
+rim AS (SELECT n.a AS id, arg_min(cluster, (n.d, cluster)) AS cluster FROM near n JOIN lab ON lab.id=n.b WHERE n.a NOT IN (SELECT id FROM core) GROUP BY 1),
+mem AS (SELECT * FROM lab UNION ALL SELECT * FROM rim), way AS (SELECT cluster, avg(lat) AS lat, avg(lon) AS lon, count(*) AS points FROM mem JOIN simple ON simple.event_id=mem.id GROUP BY 1)
 """
 
 
-@query("agg20_waypoints")
+@query("agg20_waypoints", _CLUSTER + "SELECT lat, lon, points FROM way", "lat lon", 9)
 def waypoints(spark, sf):
-    return R.waypoints(_clusters(spark, sf))
+    return R.waypoints(_clusters(spark, sf)).drop("waypoint_id")
 
 
 def _tagged(spark, sf):
@@ -56,9 +57,11 @@ def _tagged(spark, sf):
     return P.nearest_place(A.segments(spark, sf), places, "waypoint_id", "waypoint_id", "degrees", planar=True)
 
 
-@query("agg21_route_graph")
+@query("agg21_route_graph", _CLUSTER + """, tg AS (SELECT seg.mmsi, seg.segment_id, seg.time, seg.event_id, arg_min(way.lat::VARCHAR, sqrt((seg.lat-way.lat)*(seg.lat-way.lat)+(seg.lon-way.lon)*(seg.lon-way.lon))) AS w FROM seg, way GROUP BY ALL),
+h AS (SELECT w, lead(w) OVER (PARTITION BY mmsi, segment_id ORDER BY time, event_id) AS v FROM tg), g AS (SELECT least(w,v) AS a, greatest(w,v) AS b, count(*) AS weight FROM h WHERE w<>v GROUP BY 1,2)
+SELECT weight, count(*) AS edges FROM g GROUP BY 1""")
 def route_graph(spark, sf):
-    return R.route_graph(_tagged(spark, sf))
+    return R.route_graph(_tagged(spark, sf)).groupBy("weight").agg(F.count("*").alias("edges"))
 
 
 @query("agg21_port_graph", with_sql("seg", "port") + """, tg AS (SELECT seg.event_id, seg.mmsi, seg.segment_id, seg.time, arg_min(port_id, (sqrt((seg.lat-port.lat)*(seg.lat-port.lat)+(seg.lon-port.lon)*(seg.lon-port.lon)), port_id)) AS w FROM seg, port GROUP BY ALL),
@@ -114,7 +117,8 @@ def forest_rolling(spark, sf):
     m = _matrix(spark, sf)
     models = M.fit_forest(m.filter("split = 'train'"), horizons=(1,), trees=8, depth=5)
     seq = FE.sequences(A.segments(spark, sf), 10, 0, keys=("mmsi", "segment_id"))
-    states = seq.select("sample_id", *[F.transform("input", lambda p, c=c: p[c]).alias(f"hist_{c}") for c in ("lat", "lon")])
+    states = seq.select("sample_id", F.transform("input", lambda p: p["lat"]).alias("hist_lat"),
+                        F.transform("input", lambda p: p["lon"]).alias("hist_lon"))
     return M.roll_forest(models, states, 3)
 
 

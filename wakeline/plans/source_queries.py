@@ -233,3 +233,14 @@ def longest(spark, sf):
     return n.filter("n >= 40").orderBy(F.desc("n"), "mmsi").limit(5)
 
 
+
+
+@query("udf3_task_dataset", with_sql("pos") + """, b AS (SELECT mmsi, epoch_us(time)//60000000 AS m, event_id, sog, cog FROM pos WHERE mmsi IN (SELECT mmsi FROM pos GROUP BY 1 HAVING count(*)>=20)),
+v AS (SELECT mmsi, max(m)-greatest(min(m) FILTER (sog IS NOT NULL),min(m) FILTER (cog IS NOT NULL))+1 AS rows FROM b GROUP BY 1),
+w AS (SELECT CAST(sum(greatest(rows-34,0)) AS BIGINT) AS n FROM v WHERE rows>=20)
+SELECT split, CASE split WHEN 'test' THEN n//10 WHEN 'validation' THEN n//5 ELSE n-n//10-n//5 END AS n, 30 AS input_rows, 5 AS target_rows FROM w, (VALUES ('train'),('validation'),('test')) t(split)""")
+def task_dataset(spark, sf):
+    from wakeline.operators import tasks as TK
+
+    samples = TK.build_dataset("trajectory_prediction", A.positions(spark, sf))
+    return samples.groupBy("split").agg(F.count("*").alias("n"), F.max(F.size("input")).alias("input_rows"), F.max(F.size("target")).alias("target_rows"))
