@@ -107,4 +107,4 @@ def encounter_risk(kind: Column, bearing_1_to_2: Column) -> Column:
 
 
 def clip01(x: Column, scale: float) -> Column:
-    return F.least(F.greatest(x / scale, F.lit(0.0)), F.lit(1.0))
+    return F.when(x.isNotNull(), F.least(F.greatest(x / scale, F.lit(0.0)), F.lit(1.0)))

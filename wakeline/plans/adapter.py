@@ -111,8 +111,9 @@ def with_sql(*ctes: str) -> str:
 
 
 def hav(lat1, lon1, lat2, lon2) -> str:
-    return (f"(12742.0*asin(least(1.0, sqrt(sin(radians({lat2}-{lat1})/2)*sin(radians({lat2}-{lat1})/2)"
-            f"+cos(radians({lat1}))*cos(radians({lat2}))*sin(radians({lon2}-{lon1})/2)*sin(radians({lon2}-{lon1})/2)))))")
+    # the last term keeps NULL in, NULL out: least() skips NULLs
+    return (f"(12742.0*asin(sqrt(least(1.0, sin(radians({lat2}-{lat1})/2)*sin(radians({lat2}-{lat1})/2)"
+            f"+cos(radians({lat1}))*cos(radians({lat2}))*sin(radians({lon2}-{lon1})/2)*sin(radians({lon2}-{lon1})/2))))+0*({lat1}+{lat2}))")
 
 
 def bear(lat1, lon1, lat2, lon2) -> str:

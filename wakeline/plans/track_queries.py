@@ -308,7 +308,7 @@ SELECT event_id, {hav('plat', 'plon', 'lat', 'lon')} AS km, {hav('plat', 'plon',
   CASE WHEN time_diff>0 AND {hav('plat', 'plon', 'lat', 'lon')}/1.852/(time_diff/3600)<=100 THEN {hav('plat', 'plon', 'lat', 'lon')}/1.852/(time_diff/3600) END AS knots,
   {fold('(cog-pcog)')} AS turn, {circ('cog', 'pcog')} AS turn_size, sog*0.514444*cos(radians(90-cog)) AS v_east, sog*0.514444*sin(radians(90-cog)) AS v_north,
   (lon-plon)*cos(radians(plat))*(6371000.0::DOUBLE*3.141592653589793::DOUBLE/180) AS x, (lat-plat)*(6371000.0::DOUBLE*3.141592653589793::DOUBLE/180) AS y,
-  {circ('heading', 'cog')} AS course_drift, least(greatest(sog/20,0),1) AS speed_factor FROM step WHERE plat IS NOT NULL""",
+  {circ('heading', 'cog')} AS course_drift, CASE WHEN sog IS NOT NULL THEN least(greatest(sog/20,0),1) END AS speed_factor FROM step WHERE plat IS NOT NULL""",
        "km nm bearing knots turn turn_size v_east v_north x y course_drift speed_factor")
 def geometry(spark, sf):
     s = A.steps(spark, sf).filter(~F.col("starts_segment"))
