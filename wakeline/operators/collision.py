@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wakeline.functions import codes, geo
 from wakeline.functions.pin import pinned
 from wakeline.operators import proximity as P
+from wakeline.session import saved
 
 INF = float("inf")
 STILL = 1e-10  # squared relative speed below which two vessels keep their distance
@@ -84,7 +85,8 @@ def graph_features(df: DataFrame, radius_nm: float = 10.0, bucket_s: int = 60, m
     bucket = F.floor(F.unix_micros("time") / F.lit(bucket_s * 1_000_000)) * bucket_s
     nodes = df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_rows)
     pairs = P.near_pairs(df, radius_nm, bucket_s, same_vessel, state=("event_id", "mmsi", "time", "lat", "lon"))
-    edges = pairs.select("bucket", F.col("event_id").alias("u"), F.col("other_event_id").alias("v"))
+    # the pair join is the costly part and its result is used several times
+    edges = saved(pairs.select("bucket", F.col("event_id").alias("u"), F.col("other_event_id").alias("v")), "edges")
     degree = edges.groupBy("bucket", "u").agg(F.count("*").alias("d"))
     both = edges.join(degree, ["bucket", "u"]).join(
         degree.select("bucket", F.col("u").alias("v"), F.col("d").alias("dv")), ["bucket", "v"])

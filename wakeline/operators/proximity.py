@@ -78,7 +78,9 @@ def near_pairs(df: DataFrame, radius_nm: float = 10.0, bucket_s: int = 60, same_
     if not same_vessel:
         apart = apart & (F.col("mmsi") != F.col("other_mmsi"))
     distance = geo.haversine_nm(F.col("lat"), F.col("lon"), F.col("other_lat"), F.col("other_lon"))
-    pairs = mine.join(theirs, [*key, "salt"]).filter(apart)
+    # pairs outgrow their rows, so keep all tasks: partitions merged by input size would be too few
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = mine.repartition(tasks, *key, "salt").join(theirs, [*key, "salt"]).filter(apart)
     return pairs.withColumn("distance_nm", distance).filter(F.col("distance_nm") < radius_nm).drop("band", "col", "salt")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -43,11 +43,42 @@ def _chord_distance(x, y, x1, y1, x2, y2):
 
 
 def _local_simplify(points: DataFrame, keys: Sequence[str], eps: float) -> DataFrame:
-    def run(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("position")
-        return track[_keep(track["lat"].to_numpy(), track["lon"].to_numpy(), eps)]
+    """Simplify many short tracks per task.
 
-    return points.groupBy(*keys).applyInPandas(run, points.schema)
+    Tracks are kept together and in order by the shuffle; a batch of rows may end
+    inside a track, so its last track waits for the next batch.
+    """
+    keys = list(keys)
+
+    def done(rows: pd.DataFrame) -> pd.DataFrame:
+        lat, lon = rows["lat"].to_numpy(), rows["lon"].to_numpy()
+        keep = np.zeros(len(rows), dtype=bool)
+        starts = _starts(rows)
+        for a, b in zip(starts, [*starts[1:], len(rows)]):
+            keep[a:b] = _keep(lat[a:b], lon[a:b], eps)
+        return rows[keep]
+
+    def _starts(rows: pd.DataFrame) -> list[int]:
+        change = np.ones(len(rows), dtype=bool)
+        change[1:] = np.any([rows[k].to_numpy()[1:] != rows[k].to_numpy()[:-1] for k in keys], axis=0)
+        return np.flatnonzero(change).tolist()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = None
+        for batch in batches:
+            if waiting is not None:
+                batch = pd.concat([waiting, batch], ignore_index=True)
+            if len(batch) == 0:
+                continue
+            last = _starts(batch)[-1]
+            if last:
+                yield done(batch.iloc[:last])
+            waiting = batch.iloc[last:]
+        if waiting is not None and len(waiting):
+            yield done(waiting)
+
+    tracks = points.repartition(*keys).sortWithinPartitions(*keys, "position")
+    return tracks.mapInPandas(run, points.schema)
 
 
 def _spark_distance() -> Column:

@@ -14,48 +14,67 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wakeline.functions import times
 
-BINS = 512
+BINS = 4096
+FEW = 20_000
 
 
 def cut_points(df: DataFrame, order: Sequence[Column], positions: Sequence[int],
                among: Sequence[Column] | None = None) -> list[tuple[int, ...]]:
     """Order key of the rows at 0-based ``positions`` in ascending order of ``order``.
 
-    ``order`` are integer columns; ``among`` restricts each position to some rows.  Each pass counts rows in at most BINS
-    intervals per position and keeps the one that holds it, so the driver sees
-    bounded counts and no task sees the whole order.
+    ``order`` are integer columns; ``among`` restricts each position to some rows.
+    Each pass counts rows in at most BINS intervals per position and keeps the one
+    that holds it, until at most FEW rows are left to look at; so the driver sees
+    a bounded number of values and no task sees the whole order.
     """
     keys = [f"_o{i}" for i in range(len(order))]
     marks = {f"_a{i}": c for i, c in enumerate(among or ())}
     slim = df.select(*[c.cast("long").alias(k) for c, k in zip(order, keys)], *[c.alias(m) for m, c in marks.items()])
-    found: list[list[int]] = [[] for _ in positions]
-    left = list(positions)
-    for key in keys:
-        fixed = keys[: keys.index(key)]
-        inside = [F.expr(" AND ".join([*(["true"] if not among else [f"_a{i}"]), *[f"{k} = {v}" for k, v in zip(fixed, f)]]))
-                  for i, f in enumerate(found)]
-        spans = slim.agg(*[f(F.when(c, F.col(key))).alias(f"{n}{i}") for i, c in enumerate(inside)
-                           for n, f in (("lo", F.min), ("hi", F.max))]).first()
-        lo, hi = [spans[f"lo{i}"] for i in range(len(left))], [spans[f"hi{i}"] for i in range(len(left))]
-        while any(a < b for a, b in zip(lo, hi)):
-            widths = [max(1, -(-(b - a + 1) // BINS)) for a, b in zip(lo, hi)]
-            parts = [F.when(c & F.col(key).between(a, b), F.struct(F.lit(i).alias("i"), F.floor((F.col(key) - a) / F.lit(w)).cast("long").alias("b")))
-                     for i, (c, a, b, w) in enumerate(zip(inside, lo, hi, widths)) if a < b]
-            counts = slim.select(F.explode(F.array_compact(F.array(*parts))).alias("p")).groupBy("p.i", "p.b").count().collect()
-            for i in range(len(left)):
-                if lo[i] >= hi[i]:
-                    continue
-                for b, n in sorted((r["b"], r["count"]) for r in counts if r["i"] == i):
-                    if left[i] < n:
-                        start = lo[i] + b * widths[i]
-                        lo[i], hi[i] = start, min(hi[i], start + widths[i] - 1)
-                        break
-                    left[i] -= n
-                if widths[i] == 1:
-                    hi[i] = lo[i]
-        for f, v in zip(found, lo):
-            f.append(v)
-    return [tuple(f) for f in found]
+    found: list[tuple[int, ...] | None] = [None] * len(positions)
+    fixed: list[list[int]] = [[] for _ in positions]
+    span: list[tuple[int, int] | None] = [None] * len(positions)
+    left, inside = list(positions), [FEW + 1] * len(positions)
+
+    def within(i):
+        tests = ([f"_a{i}"] if among else []) + [f"{k} = {v}" for k, v in zip(keys, fixed[i])]
+        if span[i]:
+            tests.append(f"{keys[len(fixed[i])]} BETWEEN {span[i][0]} AND {span[i][1]}")
+        return F.expr(" AND ".join(tests) or "true")
+
+    def tagged(which, value):
+        """(i, value) for every position i a row may still decide."""
+        marked = [F.when(within(i), F.struct(F.lit(i).alias("i"), value(i).alias("v"))) for i in which]
+        return slim.select(F.explode(F.array_compact(F.array(*marked))).alias("p")).select("p.i", "p.v")
+
+    while True:
+        few = [i for i, f in enumerate(found) if f is None and inside[i] <= FEW]
+        if few:
+            rows = tagged(few, lambda i: F.struct(*keys)).collect()
+            for i in few:
+                found[i] = sorted(tuple(r["v"]) for r in rows if r["i"] == i)[left[i]]
+        many = [i for i, f in enumerate(found) if f is None]
+        if not many:
+            return found
+        unknown = [i for i in many if span[i] is None]
+        if unknown:
+            ends = tagged(unknown, lambda i: F.col(keys[len(fixed[i])])).groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+            for r in ends:
+                span[r["i"]] = (r["lo"], r["hi"])
+        width = {i: max(1, -(-(span[i][1] - span[i][0] + 1) // BINS)) for i in many}
+        bin_ = lambda i: F.floor((F.col(keys[len(fixed[i])]) - span[i][0]) / F.lit(width[i])).cast("long")
+        counts = tagged(many, bin_).groupBy("i", "v").count().collect()
+        for i in many:
+            for v, n in sorted((r["v"], r["count"]) for r in counts if r["i"] == i):
+                if left[i] < n:
+                    low = span[i][0] + v * width[i]
+                    span[i], inside[i] = (low, min(span[i][1], low + width[i] - 1)), n
+                    break
+                left[i] -= n
+            if span[i][0] == span[i][1]:  # one value holds the position: go on with the next key
+                fixed[i].append(span[i][0])
+                span[i] = None
+                if len(fixed[i]) == len(keys):
+                    found[i] = tuple(fixed[i])
 
 
 def _before(order: Sequence[Column], border: tuple[int, ...]) -> Column:

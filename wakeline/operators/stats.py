@@ -123,24 +123,38 @@ def _draws(df: DataFrame, keys: Sequence[str], value: str, row: str, n: int, see
     return drawn.select(*keys, "_x", "replicate", weight.alias("w")).filter(F.col("w") > 0)
 
 
-def replicates(df: DataFrame, keys: Sequence[str], value: str, row: str, n: int = 200, seed: int = 42) -> DataFrame:
-    """Mean of every bootstrap replicate per key.
+def weighted_mean(x: Column, w: Column) -> Column:
+    return F.sum(w * x) / F.sum(w)
+
+
+def replicates(df: DataFrame, keys: Sequence[str], value: str, row: str, n: int = 200, seed: int = 42,
+               statistic: Callable[[Column, Column], Column] = weighted_mean) -> DataFrame:
+    """Mean (or a user's weighted aggregate) of every bootstrap replicate per key.
 
     The draws are the same under any partitioning, and sums are combined before
     the shuffle: only (key, replicate) totals travel.
     """
     drawn = _draws(df, keys, value, row, n, seed)
-    return drawn.groupBy(*keys, "replicate").agg((F.sum(F.col("w") * F.col("_x")) / F.sum("w")).alias("mean"))
+    return drawn.groupBy(*keys, "replicate").agg(statistic(F.col("_x"), F.col("w")).alias("mean"))
 
 
 def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, row: str, n: int = 200, seed: int = 42,
-                 confidence: float = 0.95, method: str = "percentile") -> DataFrame:
-    """Interval of the mean per key: percentile, basic or BCa."""
+                 confidence: float = 0.95, method: str = "percentile",
+                 statistic: Callable[[Column, Column], Column] = weighted_mean) -> DataFrame:
+    """Interval of the mean per key: percentile, basic or BCa.
+
+    ``statistic`` may be any aggregate of (values, weights) columns; BCa is for
+    the mean only and falls back to the percentile method otherwise.
+    """
     if method not in ("percentile", "basic", "BCa"):
         raise ValueError(f"unknown method {method!r}")
+    if statistic is not weighted_mean and method == "BCa":
+        method = "percentile"
     alpha = (1 - confidence) / 2
-    reps = replicates(df, keys, value, row, n, seed)
-    observed = df.groupBy(*keys).agg(F.avg(value).alias("value"), F.count(value).alias("n"))
+    reps = replicates(df, keys, value, row, n, seed, statistic)
+    mean = statistic is weighted_mean
+    own = F.avg(value) if mean else statistic(F.col(value), F.when(F.col(value).isNotNull(), 1))
+    observed = df.groupBy(*keys).agg(own.alias("value"), F.count(value).alias("n"))
     if method != "BCa":
         ends = reps.groupBy(*keys).agg(  # n numbers per key
             F.percentile("mean", F.lit(alpha)).alias("_a"), F.percentile("mean", F.lit(1 - alpha)).alias("_b"))

@@ -378,6 +378,13 @@ def bootstrap_bca(spark, sf):
     return TS.bootstrap_ci(A.positions(spark, sf).withColumn("h", F.hour("time")), ["h"], "sog", "event_id", 100, method="BCa")
 
 
+@query("udf2_bootstrap_statistic", with_sql("pos") + _boot("pos", [], "sog", "event_id", 60).replace("sum(w*x)/sum(w)", "sqrt(sum(w*x*x)/sum(w))") + """
+SELECT (SELECT sqrt(avg(sog*sog)) FROM pos) AS value, (SELECT count(sog) FROM pos) AS n, quantile_cont(m,0.025) AS low, quantile_cont(m,0.975) AS high FROM rep""", "value low high")
+def bootstrap_statistic(spark, sf):
+    rms = lambda x, w: F.sqrt(F.sum(w * x * x) / F.sum(w))
+    return TS.bootstrap_ci(A.positions(spark, sf), [], "sog", "event_id", 60, statistic=rms)
+
+
 @query("bst2_bootstrap_difference", with_sql("pos") + _boot("pos", ["msg_type"], "sog", "event_id", 100) + """, df AS (SELECT replicate, max(m) FILTER (msg_type=1)-max(m) FILTER (msg_type=18) AS gap FROM rep GROUP BY 1)
 SELECT (SELECT avg(sog) FILTER (msg_type=1)-avg(sog) FILTER (msg_type=18) FROM pos) AS difference, quantile_cont(gap,0.025) AS low, quantile_cont(gap,0.975) AS high FROM df""", "difference low high")
 def bootstrap_difference(spark, sf):
