@@ -22,11 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a raw message, sentinels and all."""
+MOVING_EVENTS = "event_type IN ('click', 'view', 'purchase')"
+
+
+def messages(spark: SparkSession, sf_dir: str, events: str = "true") -> DataFrame:
+    """Every event as a raw message, sentinels and all.
+
+    ``events`` narrows the scan itself, where Parquet can skip row groups.
+    """
     # one-element arrays pin the derived values: each is computed once per row,
     # however often filters and expressions above refer to it
-    ev = table(spark, sf_dir, "events").selectExpr(
+    ev = table(spark, sf_dir, "events").filter(events).selectExpr(
         "event_id", "ts", "event_type", "value", "user_id AS u",
         "explode(array(cast(get_json_object(props, '$.k') AS int))) AS k")
     return ev.selectExpr(f"""inline(array(struct(
@@ -44,7 +50,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def static_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Type 5 and type 24 messages; what a part does not carry is NULL."""
-    m = messages(spark, sf_dir).filter(F.col("msg_type").isin(5, 24))
+    m = messages(spark, sf_dir, f"NOT {MOVING_EVENTS}")
     u, k = F.col("u"), F.col("k")
     five, part = F.col("msg_type") == 5, F.when(F.col("msg_type") == 24, k % 2)
     with_name = five | (part == 0)
@@ -67,7 +73,7 @@ def static_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean position reports (types 1, 3 and 18 here)."""
-    m = messages(spark, sf_dir).filter(F.col("msg_type").isin(1, 2, 3, 18, 19)).drop("k", "u")
+    m = messages(spark, sf_dir, MOVING_EVENTS).drop("k", "u")
     cleaned = C.clean(m).withColumn("heading", F.col("heading").cast("double"))
     # the size check reads the table once per session, not once per query
     known = (spark.sparkContext.applicationId, sf_dir)
