@@ -46,10 +46,16 @@ OPERATORS = {
     "behaviour": lambda d: FE.behaviour_windows(FE.step_features(TR.with_segments(d))),
     "reckoning": lambda d: M.dead_reckoning(TR.with_segments(d).drop("prev"), 4),
     "temporal": QU.temporal,
+    "arrivals": lambda d: QU.temporal(d.withColumn("event_id", F.col("event_id").bitwiseXOR(F.lit(5)))),
     "positions": lambda d: O.with_positions(d),
 }
 
 
+@pytest.fixture(autouse=True)
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(QU, "ARRIVALS", 50)
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_chunks_change_nothing(fleet, name):
     run = OPERATORS[name]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from wakeline.functions import geo, times
 from wakeline.functions.pin import pinned
 from wakeline.operators import ordered as O
+from wakeline.session import saved
 
 MAX_MPS = 50.0 * geo.KNOTS_TO_MPS
 SEGMENT = ("mmsi", "segment_id")
@@ -204,6 +205,8 @@ def fit_forest(matrix: DataFrame, horizons: Sequence[int] = (1, 3), cols: Sequen
                trees: int = 20, depth: int = 6, seed: int = 42) -> dict:
     """One random forest per (horizon, column) on design-matrix rows with delta targets."""
     names = _features(cols)
+    # every model passes over the rows several times, so they are written once
+    matrix = saved(matrix.select(*names, *[f"{c}_t{h}" for h in horizons for c in cols]), "matrix")
     ready = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(matrix)
     return {(h, c): RandomForestRegressor(featuresCol="features", labelCol=f"{c}_t{h}", predictionCol=f"pred_{c}_t{h}",
                                           numTrees=trees, maxDepth=depth, seed=seed).fit(
@@ -270,6 +273,7 @@ def fit_boosted(sequences: DataFrame, steps: Sequence[int], targets: Sequence[st
     """One boosted regressor per (step, target) on flattened windows."""
     rows = sequences.select(_flat(cols).alias("features"),
                             *[F.element_at("target", s)[c].alias(f"y_{c}_{s}") for s in steps for c in targets])
+    rows = saved(rows, "windows")
     return {(s, c): GBTRegressor(featuresCol="features", labelCol=f"y_{c}_{s}", predictionCol=f"pred_{c}_{s}",
                                  maxIter=rounds, maxDepth=depth, seed=seed).fit(rows.select("features", f"y_{c}_{s}"))
             for s in steps for c in targets}

@@ -99,7 +99,8 @@ def simplify(segments: DataFrame, eps: float = 0.03, local_points: int = LOCAL_P
     is the same.
     """
     cols = ["event_id", "mmsi", "segment_id", "time", "lat", "lon", "position"]
-    points = O.unchunked(O.with_positions(segments, SEGMENT)).select(*cols, "segment_points")
+    # the ordered points are read twice (short and long tracks), so they are written once
+    points = saved(O.with_positions(segments, SEGMENT).select(*cols, "segment_points"), "points")
     short = _local_simplify(points.filter(F.col("segment_points") <= local_points).drop("segment_points"), SEGMENT, eps)
     long = points.filter(F.col("segment_points") > local_points).drop("segment_points")
     if long.isEmpty():
