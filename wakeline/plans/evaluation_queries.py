@@ -16,6 +16,7 @@ from wakeline.operators import stats as TS
 from wakeline.plans import adapter as A
 from wakeline.plans.adapter import circ, fold, hav, secs, with_sql
 from wakeline.plans.proximity_queries import FORECAST, forecast
+from wakeline.plans.proximity_queries import _pairs as _pairs_sql
 from wakeline.plans.registry import query
 
 _SQ = "((pred_lat-true_lat)*(pred_lat-true_lat)+(pred_lon-true_lon)*(pred_lon-true_lon))"
@@ -312,7 +313,10 @@ def weighted_error(spark, sf):
     return EV.weighted_error(fc).withColumn("decay", F.lit(False)).unionByName(EV.weighted_error(fc, decay=True).withColumn("decay", F.lit(True)))
 
 
-@query("col16_stepwise_risk")
+@query("col16_stepwise_risk", with_sql("seg") + FORECAST + _pairs_sql(radius=2.0) + """, tr AS (SELECT sample_id, step, pred_lat AS lat, pred_lon AS lon, pred_lat-lag(pred_lat) OVER w AS vlat, pred_lon-lag(pred_lon) OVER w AS vlon FROM fc WINDOW w AS (PARTITION BY sample_id ORDER BY step)),
+j AS (SELECT a.sample_id, a.lat-b.lat AS px, a.lon-b.lon AS py, a.vlat-b.vlat AS vx, a.vlon-b.vlon AS vy FROM tr a JOIN pair p ON p.event_id=a.sample_id JOIN tr b ON b.sample_id=p.oid AND b.step=a.step WHERE a.vlat IS NOT NULL),
+t AS (SELECT *, greatest(0, CASE WHEN vx*vx+vy*vy>1e-6 THEN -(px*vx+py*vy)/(vx*vx+vy*vy) ELSE 0 END) AS t FROM j)
+SELECT sample_id, avg(1/(1+exp((sqrt((px+t*vx)*(px+t*vx)+(py+t*vy)*(py+t*vy))*111000-500)/100))*exp(-0.1::DOUBLE*t)) AS risk FROM t GROUP BY 1""", "risk")
 def stepwise_risk(spark, sf):
     fc = forecast(spark, sf)
     own = fc.select("sample_id", "step", F.col("pred_lat").alias("lat"), F.col("pred_lon").alias("lon"))
@@ -391,7 +395,9 @@ def bootstrap_difference(spark, sf):
     return TS.bootstrap_difference(A.positions(spark, sf), "msg_type", 1, 18, "sog", "event_id", 100)
 
 
-@query("bst2_bootstrap_medians")
+@query("bst2_bootstrap_medians", with_sql("pos") + _boot("pos", ["msg_type"], "cog", "event_id", 20).rsplit(",\nrep AS", 1)[0] + f""", ws AS (SELECT *, {"+".join(f"(u>={e})::INT" for e in TS._POISSON)} AS w FROM rep3 WHERE msg_type IN (1,18)),
+md AS (SELECT msg_type, replicate, quantile_cont(x,0.5) AS m FROM ws, range(0,10) c(k) WHERE k<w GROUP BY 1,2), gp AS (SELECT replicate, max(m) FILTER (msg_type=1)-max(m) FILTER (msg_type=18) AS gap FROM md GROUP BY 1)
+SELECT (SELECT quantile_cont(cog,0.5) FILTER (msg_type=1)-quantile_cont(cog,0.5) FILTER (msg_type=18) FROM pos) AS difference, quantile_cont(gap,0.025) AS low, quantile_cont(gap,0.975) AS high FROM gp""", "difference low high")
 def bootstrap_medians(spark, sf):
     return TS.bootstrap_medians(A.positions(spark, sf), "msg_type", 1, 18, "cog", "event_id", 20)
 
