@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from wakeline.functions import codes, geo, times
 from wakeline.operators import clean as C
 from wakeline.operators import features as FE
-from wakeline.operators import ordered as O
 from wakeline.operators import proximity as P
 from wakeline.operators import tracks as TR
 from wakeline.plans import adapter as A
