@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from wakeline.llm import near_dedup
+from wakeline.llm import bpe, near_dedup
 from wakeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,9 @@ def query(name: str, sql: str | None = None):
 @query("op3_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), near_dedup.NearDedup(k=4))
+
+
+@query("op8_byte_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
