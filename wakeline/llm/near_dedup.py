@@ -8,7 +8,7 @@ count only when the full sets confirm them.
 
 Buckets of any size are resolved without forming all their pairs: some rounds compare every member with
 one pivot of its bucket; what then still lies in several groups of one bucket is compared block by
-block on signatures, between different groups only, and confirmed on the full sets.
+block, on the full sets. A pair of blocks returns a spanning forest of its links at most.
 
 Defined results: a text without words, empty or null has an empty set and no links. A document's group
 is named by the smallest doc_id in it; rows with a null doc_id take part and never name a group (a group
@@ -41,8 +41,6 @@ class NearDedup:
     rows: int = 4
     pivot_rounds: int = 3
     block: int = 128
-    #: Below this share of equal slots (five standard deviations under 0.8) a block pair isn't verified.
-    least_estimate: float = 0.58
 
 
 _EMPTY = np.uint64(2**64 - 1)
@@ -113,14 +111,12 @@ def _profiles(p: NearDedup):
                 n = len(counts)
                 sig = signatures(s, counts, slots)
                 keys = mix((mix(sig) * weights).reshape(n, p.bands, p.rows).sum(axis=2, dtype=np.uint64) + np.arange(p.bands, dtype=np.uint64))
-                short = mix(sig).astype(np.uint16)
                 some = counts > 0
                 yield pa.record_batch({
                     "doc_id": batch.column(0).slice(first, n),
                     "n_shingles": pa.array(counts, pa.int64()),
                     "node": pa.array(_nodes(s, counts), pa.binary()),
                     "keys": pa.array([list(k) if ok else None for k, ok in zip(keys.view(np.int64), some)], pa.list_(pa.int64())),
-                    "sig": pa.array([r.tobytes() if ok else None for r, ok in zip(short, some)], pa.binary()),
                 })
 
     return run
@@ -171,25 +167,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.filter(100 * common >= percent * (na + nb - common)).select("a", "b")
 
 
-def _block_pairs(p: NearDedup):
-    """Pairs of different groups in one pair of blocks that agree in enough slots, each in its first common band only."""
-    slots = p.bands * p.rows
+def _block_links(percent: int, columns: int = 20_000):
+    """Links between different groups inside one pair of blocks, enough to connect what is connected.
+
+    All intersection sizes come from products of 0/1 matrices over the shingles that two members or more
+    share, some columns at a time.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, slots)
-        keys = np.array(rows["keys"].tolist(), np.int64)
-        label, node = rows["label"].to_numpy(), rows["node"].to_numpy()
-        left = np.flatnonzero(rows["own"].to_numpy() == rows["lo"].to_numpy())
-        right = np.flatnonzero(rows["own"].to_numpy() == rows["hi"].to_numpy())
-        same = rows["lo"].iat[0] == rows["hi"].iat[0]
-        key, a, b = rows["key"].iat[0], [], []
-        for i in left:
-            js = right[right > i] if same else right
-            js = js[(sig[js] == sig[i]).mean(axis=1) >= p.least_estimate]
-            for j in js:
-                if label[i] != label[j] and keys[i][np.argmax(keys[i] == keys[j])] == key:
-                    a.append(node[i])
-                    b.append(node[j])
+        n, sets = len(rows), rows["members"].tolist()
+        size = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(n), size)
+        value, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[place]
+        common = np.zeros((n, n), np.float32)
+        for start in range(0, int((times > 1).sum()), columns):
+            part = (column >= start) & (column < start + columns)
+            matrix = np.zeros((n, columns), np.float32)
+            matrix[owner[part], column[part] - start] = 1
+            common += matrix @ matrix.T
+        name = {label: i for i, label in enumerate(dict.fromkeys(rows["label"]))}
+        group = np.array([name[label] for label in rows["label"]])
+        linked = (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (group[:, None] < group[None, :])
+        a, b = [], []
+        for i, j in np.argwhere(linked):
+            if group[i] != group[j]:
+                a.append(rows["node"].iat[i])
+                b.append(rows["node"].iat[j])
+                group[group == group[j]] = group[i]
         return pd.DataFrame({"a": a, "b": b})
 
     return run
@@ -198,11 +203,10 @@ def _block_pairs(p: NearDedup):
 def near_groups(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs(doc_id, text)``."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = saved(slim.mapInArrow(_profiles(p), "doc_id long, n_shingles long, node binary, keys array<long>, sig binary"), "profile")
+    profile = saved(slim.mapInArrow(_profiles(p), "doc_id long, n_shingles long, node binary, keys array<long>"), "profile")
     filled = profile.filter("n_shingles > 0")
     # one row a node; equal sets have equal keys and signatures
-    nodes = saved(filled.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"),
-                                             F.first("keys").alias("keys"), F.first("sig").alias("sig")), "nodes")
+    nodes = saved(filled.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "nodes")
     banded = nodes.select("node", "n", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = saved(banded.join(buckets, "key"), "shared")
@@ -220,14 +224,17 @@ def near_groups(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
         if turn:
             other = labels.select(F.col("node").alias("b"), F.col("label").alias("b_label"))
             pairs = pairs.join(other, "b").filter("label <> b_label")
-        labels = unite(labels, _confirmed(pairs.select(F.col("node").alias("a"), "b").distinct(), sets, p.percent))
-    rest = _unresolved(shared.filter("size > 2"), labels).withColumn("blocks", F.ceil(F.col("size") / p.block).cast("int"))
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
-    rest = rest.join(nodes.select("node", "keys", "sig"), "node")
+        labels = unite(labels, saved(_confirmed(pairs.select(F.col("node").alias("a"), "b").distinct(), sets, p.percent), "links"))
+    rest = _unresolved(shared.filter("size > 2"), labels)
+    # buckets of the same members are compared once
+    same = rest.groupBy("key").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"), F.count("*").alias("size"))
+    rest = rest.drop("size").join(same.groupBy("all", "size").agg(F.min("key").alias("key")), "key")
+    rest = rest.withColumn("blocks", F.ceil(F.col("size") / p.block).cast("int"))
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")).join(sets, "node")
     rest = rest.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "node", "label", "keys", "sig", "own", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"))
-    pairs = rest.groupBy("key", "lo", "hi").applyInPandas(_block_pairs(p), "a binary, b binary")
-    labels = unite(labels, _confirmed(saved(pairs, "pairs"), sets, p.percent))
+    rest = rest.select("key", "node", "label", "members", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"))
+    links = rest.groupBy("key", "lo", "hi").applyInPandas(_block_links(p.percent), "a binary, b binary")
+    labels = unite(labels, saved(links, "links"))
     named = labels.join(nodes.select("node", "first"), "node")
     names = named.join(named.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("node", "component_id")
     names = nodes.select("node", "first").join(names, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
