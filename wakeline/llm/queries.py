@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from wakeline.llm import bpe, near_dedup, toxicity
+from wakeline.llm import bpe, near_dedup, quality, secrets, toxicity
 from wakeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,45 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def joined(found: str, kinds: tuple[str, ...] | None = None):
+    """Spans as ``kind:start:end`` in their order, comma-joined."""
+    spans = F.filter(found, lambda s: s.kind.isin(*kinds)) if kinds else F.col(found)
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+
+def counted(found: str, kinds: tuple[str, ...]) -> list:
+    def number(kind: str):
+        return F.size(F.filter(found, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return [number(kind) for kind in kinds]
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *counted("found", secrets.BASE), F.sha2(joined("found", secrets.BASE), 256).alias("base_sha256"),
+                        joined("found").alias("spans"))
+
+
+@query("op10_quality_rules", r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+win AS (SELECT r, i, list_slice(w, i, i + 4) AS g FROM w, unnest(range(1, len(w) - 3)) AS t(i)),
+dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM dup, range(5) AS t(k) GROUP BY r),
+c AS (SELECT r, doc_id, text, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM w),
+j AS (SELECT c.*, coalesce(n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS up,
+             length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters FROM c LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words
+            OR word_chars > 15 * n_words OR 2 * up > letters OR 10 * letters < 6 * word_chars) AS kept
+FROM b""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

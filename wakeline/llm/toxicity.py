@@ -34,16 +34,16 @@ from wakeline.session import saved
 
 @dataclass(frozen=True)
 class Toxicity:
-    window_words: int = 8
-    level: int = 11
-    toxic_bytes: int = 4096
+    window_words: int = 5
+    level: int = 12
+    toxic_bytes: int = 2048
     plain_bytes: int = 110_000
     toxic_sample: int = 2000
     plain_sample: int = 4000
     sample_chars: int = 8000
     #: A word belongs to the toxic samples if at least this share of them hold it, and so many times the share of ordinary ones.
-    word_share: float = 0.01
-    word_ratio: float = 5.0
+    word_share: float = 0.02
+    word_ratio: float = 10.0
     threshold: float = 0.3
 
 
