@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from wakeline.llm import bpe, near_dedup, quality, secrets, toxicity
+from wakeline.llm import bpe, near_dedup, personal_data, quality, secrets, toxicity
 from wakeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,10 @@ FROM b""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op7_personal_data")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *counted("found", personal_data.BASE), F.sha2(joined("found", personal_data.BASE), 256).alias("base_sha256"),
+                        joined("found").alias("spans"))
