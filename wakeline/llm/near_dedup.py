@@ -218,12 +218,10 @@ def near_groups(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     sets = saved(sets.filter("node is not null").dropDuplicates(["node"]), "sets")
     for turn in range(p.pivot_rounds):
         open_ = shared if not turn else _unresolved(shared.filter("size > 2"), labels)
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")
-        pivots = open_.groupBy("key").agg(F.min(order).alias("pivot")).select("key", "pivot.node", "pivot.n").toDF("key", "b", "nb")
-        pairs = open_.join(pivots, "key").filter("node <> b").filter(100 * F.least("n", "nb") >= p.percent * F.greatest("n", "nb"))
-        if turn:
-            other = labels.select(F.col("node").alias("b"), F.col("label").alias("b_label"))
-            pairs = pairs.join(other, "b").filter("label <> b_label")
+        open_ = open_ if turn else open_.withColumn("label", F.col("node"))
+        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "label")
+        pivots = open_.groupBy("key").agg(F.min(order).alias("pivot")).select("key", "pivot.node", "pivot.n", "pivot.label").toDF("key", "b", "nb", "b_label")
+        pairs = open_.join(pivots, "key").filter("label <> b_label").filter(100 * F.least("n", "nb") >= p.percent * F.greatest("n", "nb"))
         labels = unite(labels, saved(_confirmed(pairs.select(F.col("node").alias("a"), "b").distinct(), sets, p.percent), "links"))
     rest = _unresolved(shared.filter("size > 2"), labels)
     # buckets of the same members are compared once
