@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from wakeline.llm import bpe, near_dedup, personal_data, quality, secrets, toxicity
+from wakeline.llm import bpe, line_dedup, near_dedup, personal_data, quality, secrets, toxicity
 from wakeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *counted("found", personal_data.BASE), F.sha2(joined("found", personal_data.BASE), 256).alias("base_sha256"),
                         joined("found").alias("spans"))
+
+
+@query("op4_line_dedup", r"""
+WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id) AS d, doc_id, text, string_split(text, chr(10)) AS all_lines FROM documents),
+raw AS (SELECT d, p, trim(all_lines[p], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM docs, unnest(range(1, len(all_lines) + 1)) AS t(p)),
+seq AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY p) AS i, count(*) OVER (PARTITION BY line) AS n FROM raw WHERE line <> ''),
+rep AS (SELECT *, i - row_number() OVER (PARTITION BY d ORDER BY i) AS seg FROM seq WHERE n > 1),
+segs AS (SELECT d, seg, list(line ORDER BY i) AS lines, list(p ORDER BY i) AS ps,
+                list(len(regexp_extract_all(line, '[^ 	-]+')) ORDER BY i) AS ws FROM rep GROUP BY d, seg),
+win AS (SELECT d, seg, s, e, ps, lines[s:e] AS g, list_sum(ws[s:e]) AS w, d * 67108864 + ps[s] AS pos
+        FROM segs, unnest(range(1, len(lines) + 1)) AS a(s), unnest(range(s, len(lines) + 1)) AS b(e)),
+hit AS (SELECT d, s, e, ps FROM (SELECT *, min(pos) OVER (PARTITION BY g) AS first FROM win) WHERE first < pos AND w >= 20),
+gone AS (SELECT DISTINCT d, ps[k] AS p FROM hit, unnest(range(s, e + 1)) AS t(k)),
+kept AS (SELECT d, count(g.p) AS n_gone, string_agg(CASE WHEN g.p IS NULL THEN all_lines[q.p] END, chr(10) ORDER BY q.p) AS text
+         FROM (SELECT d, all_lines, unnest(range(1, len(all_lines) + 1)) AS p FROM docs) q LEFT JOIN gone g USING (d, p) GROUP BY d)
+SELECT doc_id, n_gone::BIGINT AS n_deleted, sha256(coalesce(kept.text, '')) AS text_sha256 FROM docs JOIN kept USING (d)""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_lines_deleted").alias("n_deleted"), F.sha2("text", 256).alias("text_sha256"))
