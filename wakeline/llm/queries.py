@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from wakeline.llm import bpe, line_dedup, near_dedup, personal_data, quality, secrets, toxicity
+from wakeline.llm import bpe, decontaminate, line_dedup, near_dedup, personal_data, quality, secrets, toxicity
 from wakeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,7 +97,8 @@ raw AS (SELECT d, p, trim(all_lines[p], ' ' || chr(9) || chr(10) || chr(11) || c
 seq AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY p) AS i, count(*) OVER (PARTITION BY line) AS n FROM raw WHERE line <> ''),
 rep AS (SELECT *, i - row_number() OVER (PARTITION BY d ORDER BY i) AS seg FROM seq WHERE n > 1),
 segs AS (SELECT d, seg, list(line ORDER BY i) AS lines, list(p ORDER BY i) AS ps,
-                list(len(regexp_extract_all(line, '[^ 	-]+')) ORDER BY i) AS ws FROM rep GROUP BY d, seg),
+                list(len(regexp_extract_all(line, '[^ 	-
+]+')) ORDER BY i) AS ws FROM rep GROUP BY d, seg),
 win AS (SELECT d, seg, s, e, ps, lines[s:e] AS g, list_sum(ws[s:e]) AS w, d * 67108864 + ps[s] AS pos
         FROM segs, unnest(range(1, len(lines) + 1)) AS a(s), unnest(range(s, len(lines) + 1)) AS b(e)),
 hit AS (SELECT d, s, e, ps FROM (SELECT *, min(pos) OVER (PARTITION BY g) AS first FROM win) WHERE first < pos AND w >= 20),
@@ -108,3 +109,10 @@ SELECT doc_id, n_gone::BIGINT AS n_deleted, sha256(coalesce(kept.text, '')) AS t
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_lines_deleted").alias("n_deleted"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op2_benchmark_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"),
+                        F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"))
