@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from wakeline.llm import bpe, decontaminate, line_dedup, near_dedup, personal_data, quality, secrets, toxicity, warc
+from wakeline.llm import bpe, decontaminate, licences, line_dedup, near_dedup, personal_data, quality, secrets, toxicity, warc
 from wakeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ FROM g""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_licence_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).withColumn("families", F.array_join("families", ","))
