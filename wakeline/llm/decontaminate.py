@@ -33,7 +33,7 @@ NUMBER, UNIT, NAME = "\u2115", "\u2124", "\u2119"
 #: Common units of measure.
 UNITS = "mm cm dm m km mg g kg t ml cl l s ms min h hz khz mhz ghz w kw mw v kv a ma j kj mj kcal cal pa kpa bar k c f mi ft in yd lb lbs oz mph kmh eur usd gbp"
 # a form's first character is tested before what stands in front of it
-_NAME_FORM = r"\p{Lu}(?<=[\p{L}\p{N},;)] \p{Lu})\p{Ll}\p{L}*+"
+_NAME_FORM = r"\p{Lu}(?<=[\p{L},;)] \p{Lu})\p{Ll}\p{L}*+"
 _NUMBER_FORM = r"[0-9](?<![\p{L}\p{N}][0-9])(?:[.,]?[0-9])*+"
 _UNIT_FORM = rf"(?i)({NUMBER}[0-9.,]*+ {{1,3}})({'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])"
 
