@@ -6,7 +6,7 @@ the merge table and contracts each match's leftmost pair of minimum rank, until
 joins ids with the vocabulary and aggregates the bytes in the order of their positions.
 
 Equal matches of a run of texts are encoded once, and a worker keeps the latest results in a cache of
-bounded size. Memory: one run of texts (2 MB, or one longer text), the cache and DuckDB's limit. A match
+bounded size. Memory: one run of texts (4 million characters, or one longer text), the cache and DuckDB's limit. A match
 of n bytes takes up to n rounds over n rows.
 
 Defined results: a null or empty text has no ids, and decodes to nothing. Repeated rows are encoded each.
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import duckdb
 import numpy as np
@@ -27,34 +27,36 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Matches whose results a worker keeps, and characters of text encoded at once.
-CACHE, RUN_CHARS = 250_000, 2_000_000
+CACHE, RUN_CHARS = 400_000, 4_000_000
 #: The rank file goes to the executors with the task; larger ones are refused.
 MOST_RANK_BYTES = 32 << 20
 
+#: A round turns every word's ids into token-position rows of neighbours; rank and place share one number.
 _CONTRACT = """
 WITH RECURSIVE step AS (
-    SELECT 0 AS turn, word, pos, id FROM start
+    SELECT word, ids FROM start
     UNION ALL
-    SELECT * FROM (
-        WITH pairs AS (
-            SELECT turn, word, pos, id, lead(id) OVER w AS next_id, lead(pos) OVER w AS next_pos
-            FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)
-        ), best AS (
-            SELECT p.word, min_by({'pos': p.pos, 'id': m.id, 'gone': p.next_pos}, m.id::BIGINT * 4294967296 + p.pos) AS pair
-            FROM pairs p JOIN merges m ON p.id = m.a AND p.next_id = m.b GROUP BY p.word
+    SELECT word, ids[:pos - 1] || [id] || ids[pos + 2:]
+    FROM step JOIN (
+        SELECT word, (least >> 40)::INT AS id, least & 1099511627775 AS pos
+        FROM (
+            SELECT p.word, min((m.id::BIGINT << 40) + p.pos) AS least
+            FROM (
+                SELECT word, unnest(ids[:-2]) AS a, unnest(ids[2:]) AS b, generate_subscripts(ids[2:], 1) AS pos
+                FROM step WHERE len(ids) > 1
+            ) p JOIN merges m ON m.pair = p.a::BIGINT * 2097152 + p.b
+            GROUP BY p.word
         )
-        SELECT s.turn + 1, s.word, s.pos, CASE WHEN s.pos = pair.pos THEN pair.id ELSE s.id END
-        FROM pairs s JOIN best USING (word) WHERE s.pos <> pair.gone
-    )
+    ) USING (word)
 )
-SELECT word, string_agg(id::VARCHAR, ',' ORDER BY pos) AS ids
-FROM step JOIN (SELECT word, max(turn) AS turn FROM step GROUP BY word) USING (word, turn)
-GROUP BY word ORDER BY word
+SELECT word, min_by(ids, len(ids)) AS ids FROM step GROUP BY word
 """
 
+_JOINED = "SELECT word, array_to_string(ids, ',') AS text FROM coded"
+
 _DECODE = """
-WITH ids AS (SELECT row, unnest(string_split(ids, ','))::INT AS id, generate_subscripts(string_split(ids, ','), 1) AS pos FROM coded)
-SELECT row, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM ids JOIN vocabulary USING (id) GROUP BY row ORDER BY row
+WITH tokens AS (SELECT word, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded)
+SELECT word, unhex(string_agg(hex, '' ORDER BY pos)) AS text FROM tokens JOIN vocabulary USING (id) GROUP BY word
 """
 
 
@@ -68,58 +70,61 @@ class Coder:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         halves = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items()
                   for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        table = np.array(halves, np.int32).reshape(-1, 3)
-        self._load("merges", pa.table({name: table[:, i] for i, name in enumerate(("a", "b", "id"))}))
+        table = np.array(halves, np.int64).reshape(-1, 3)
+        self._load("merges", pa.table({"pair": table[:, 0] * 2097152 + table[:, 1], "id": table[:, 2].astype(np.int32)}))
         self._load("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
         self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _query(self, sql: str, name: str, rows: pa.Table) -> list[list]:
+    def _query(self, sql: str, name: str, rows: pa.Table) -> pa.Table:
         self.db.register(name, rows)
         try:
-            found = self.db.sql(sql).to_arrow_table()
+            return self.db.sql(sql).to_arrow_table()
         finally:
             self.db.unregister(name)
-        return [column.to_pylist() for column in found.columns]
-
-    def _ids(self, matches: list[bytes]) -> list[str]:
-        """Ids of each match, as decimal numbers joined by commas."""
-        out = [str(self.ranks[m]) if m in self.ranks else "" for m in matches]
-        todo = [i for i, ids in enumerate(out) if not ids]
-        if todo:
-            sizes = np.array([len(matches[i]) for i in todo])
-            ends = np.cumsum(sizes)
-            data = np.frombuffer(b"".join(matches[i] for i in todo), np.uint8)
-            rows = pa.table({"word": np.repeat(np.arange(len(todo), dtype=np.int32), sizes),
-                             "pos": (np.arange(len(data)) - np.repeat(ends - sizes, sizes)).astype(np.int32),
-                             "id": self.byte_ids[data]})
-            for i, ids in zip(todo, self._query(_CONTRACT, "start", rows)[1]):
-                out[i] = ids
-        return out
 
-    def decode(self, ids: list[str]) -> list[bytes]:
-        """Bytes of comma-joined ids; an empty string holds none."""
-        some = [i for i, s in enumerate(ids) if s]
-        out = [b""] * len(ids)
-        if some:
-            rows = pa.table({"row": pa.array(some, pa.int64()), "ids": [ids[i] for i in some]})
-            for i, found in zip(*self._query(_DECODE, "coded", rows)):
-                out[i] = found
+    def _ids(self, matches: list[bytes]) -> pa.Table:
+        """word (place in the list) and ids of each match."""
+        whole = [i for i, m in enumerate(matches) if m in self.ranks]
+        split = [i for i, m in enumerate(matches) if m not in self.ranks]
+        found = pa.table({"word": pa.array(whole, pa.int32()), "ids": pa.array([[self.ranks[matches[i]]] for i in whole], pa.list_(pa.int32()))})
+        if split:
+            ends = np.cumsum([0, *(len(matches[i]) for i in split)])
+            data = self.byte_ids[np.frombuffer(b"".join(matches[i] for i in split), np.uint8)]
+            start = pa.table({"word": pa.array(split, pa.int32()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(data))})
+            found = pa.concat_tables([found, self._query(_CONTRACT, "start", start).cast(found.schema)])
+        return found
+
+    def _texts(self, sql: str, coded: pa.Table, empty: str | bytes) -> list:
+        out = [empty] * coded.num_rows
+        found = self._query(sql, "coded", coded)
+        for i, text in zip(found.column("word").to_pylist(), found.column("text").to_pylist()):
+            out[i] = text
         return out
 
+    def decode(self, coded: pa.Table) -> list[bytes]:
+        """Bytes of the ids of each word, in the order of the words' numbers from 0."""
+        return self._texts(_DECODE, coded, b"")
+
     def learn(self, matches: Iterable[str]) -> None:
-        """Encode and decode what isn't known yet."""
+        """Make sure that ``known`` has the ids (joined by commas) and the decoded bytes of the matches.
+
+        The cache has two generations; what is used moves to the newer one, and a full one replaces the older.
+        """
         new = [m for m in matches if m not in self.known]
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
+            self.older, self.known = self.known, {}
             new = list(matches)
         if new:
-            ids = self._ids([m.encode() for m in new])
-            self.known.update(zip(new, zip(ids, self.decode(ids))))
+            self.known.update((m, self.older[m]) for m in new if m in self.older)
+            new = [m for m in new if m not in self.known]
+            coded = self._ids([m.encode() for m in new])
+            self.known.update(zip(new, zip(self._texts(_JOINED, coded, ""), self.decode(coded))))
 
 
 _CODERS: dict[str, Coder] = {}
@@ -153,11 +158,22 @@ def rank_bytes(path: str) -> bytes:
     return found
 
 
-def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> DataFrame:
-    """doc_id, n_tokens and the ids (``ids array<int>``) of every text, with its decoded bytes.
+#: What ``encode`` can return beside doc_id and n_tokens. The digests are SHA-256 in hex, of the comma-joined decimal ids and of the decoded bytes.
+OUTPUTS = {"ids": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
 
-    With ``digests`` the ids and bytes come as SHA-256 of the comma-joined decimal ids and of the bytes.
-    """
+
+def _outputs(ids: list[str], data: list[bytes], wanted: Sequence[str]) -> dict[str, pa.Array]:
+    made = {
+        "ids": lambda: pa.array([np.fromstring(s, np.int32, sep=",") for s in ids], pa.list_(pa.int32())),
+        "decoded": lambda: pa.array(data, pa.binary()),
+        "ids_sha256": lambda: pa.array([hashlib.sha256(s.encode()).hexdigest() for s in ids]),
+        "decoded_sha256": lambda: pa.array([hashlib.sha256(d).hexdigest() for d in data]),
+    }
+    return {name: made[name]() for name in wanted}
+
+
+def encode(docs: DataFrame, path: str, pattern: str, outputs: Sequence[str] = ("ids", "decoded")) -> DataFrame:
+    """doc_id, n_tokens and the ``outputs`` (see ``OUTPUTS``) of every text, which is encoded and decoded again."""
     rank_file = rank_bytes(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,20 +187,11 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> D
                 ids = [",".join([f[0] for f in row]) for row in found]
                 data = [b"".join([f[1] for f in row]) for row in found]
                 n = [s.count(",") + 1 if s else 0 for s in ids]
-                doc_id = batch.column(0).slice(at, len(texts))
+                yield pa.record_batch({"doc_id": batch.column(0).slice(at, len(texts)), "n_tokens": pa.array(n, pa.int64()), **_outputs(ids, data, outputs)})
                 at += len(texts)
-                if digests:
-                    yield pa.record_batch({"doc_id": doc_id, "n_tokens": pa.array(n, pa.int64()),
-                                           "ids_sha256": [hashlib.sha256(s.encode()).hexdigest() for s in ids],
-                                           "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in data]})
-                else:
-                    yield pa.record_batch({"doc_id": doc_id, "n_tokens": pa.array(n, pa.int64()),
-                                           "ids": pa.array([np.array(s.split(","), np.int32) if s else [] for s in ids], pa.list_(pa.int32())),
-                                           "decoded": pa.array(data, pa.binary())})
-
-    out = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
+
     slim = docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text")
-    return slim.mapInArrow(run, f"doc_id long, n_tokens long, {out}")
+    return slim.mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"{name} {OUTPUTS[name]}" for name in outputs))
 
 
 def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -194,7 +201,7 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(rank_file, pattern)
         for batch in batches:
-            ids = [",".join(map(str, row or ())) for row in batch.column(1).to_pylist()]
-            yield pa.record_batch({"doc_id": batch.column(0), "decoded": pa.array(coder.decode(ids), pa.binary())})
+            coded = pa.table({"word": np.arange(batch.num_rows, dtype=np.int32), "ids": pc.fill_null(batch.column(1), [])})
+            yield pa.record_batch({"doc_id": batch.column(0), "decoded": pa.array(coder.decode(coded), pa.binary())})
 
     return coded.selectExpr("cast(doc_id AS long) AS doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")

@@ -32,7 +32,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
+    return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ("ids_sha256", "decoded_sha256"))
 
 
 @query("op9_toxicity")
