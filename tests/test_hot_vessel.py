@@ -56,6 +56,13 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(QU, "ARRIVALS", 50)
 
 
+@pytest.mark.parametrize("name", ["steps", "positions", "segments", "spatial", "rolling"])
+def test_rows_without_vessel_or_time_stay(spark, fleet, name):
+    gaps = fleet.withColumns({"mmsi": F.when(F.col("event_id") % 11 != 3, F.col("mmsi")), "time": F.when(F.col("event_id") % 13 != 5, F.col("time"))})
+    plain, split = (_flat(OPERATORS[name](d)) for d in (gaps, O.chunked(gaps, hours=0.4)))
+    assert plain == split and len(plain) >= 0.5 * fleet.count()
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_chunks_change_nothing(fleet, name):
     run = OPERATORS[name]

@@ -115,17 +115,68 @@ def test_near_pairs_match_brute_force(spark, centre, crowded):
     assert got == want and want
 
 
-@pytest.mark.parametrize("planar", [True, False])
-def test_ring_search_finds_the_nearest(spark, planar, monkeypatch):
+@pytest.mark.parametrize("planar,places", [(True, 30), (False, 30), (True, 700), (False, 1)])
+def test_nearest_place(spark, planar, places):
     rng = np.random.default_rng(5)
     points = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-20, 20, (40, 2)))]
-    places = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-30, 30, (30, 2)))]
-    df = spark.createDataFrame(points, "event_id long, lat double, lon double")
-    spots = spark.createDataFrame(places, "port_id long, lat double, lon double")
-    near = {r.event_id: (r.port_id, round(r.d, 6)) for r in P.nearest_place(df, spots, "port_id", "port_id", "d", planar).collect()}
-    monkeypatch.setattr(P, "FEW_PLACES", 3)
-    ring = {r.event_id: (r.port_id, round(r.d, 6)) for r in P.nearest_place(df, spots, "port_id", "port_id", "d", planar).collect()}
-    assert near == ring
+    spots = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-30, 30, (places, 2)))]
+    df = spark.createDataFrame(points + [(90, None, 1.0), (91, None, None)], "event_id long, lat double, lon double")
+    there = spark.createDataFrame(spots + [(9000, None, None)], "port_id long, lat double, lon double")
+    got = {r.event_id: (r.port_id, r.d) for r in P.nearest_place(df, there, "port_id", "port_id", "d", planar).collect()}
+    assert got.pop(90) == got.pop(91) == (None, None)
+
+    def far(p, q):
+        if planar:
+            return math.hypot(p[1] - q[1], p[2] - q[2])
+        a, b = math.radians(p[1]), math.radians(q[1])
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6371 * math.asin(min(1, math.sqrt(h)))
+
+    for p in points:
+        d, port = min((far(p, q), q[0]) for q in spots)
+        assert got[p[0]][0] == port and got[p[0]][1] == pytest.approx(d, rel=1e-9)
+
+
+def test_nearest_of_no_places(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "event_id long, lat double, lon double")
+    none = spark.createDataFrame([(1, None, None)], "port_id long, lat double, lon double")
+    for there in (none, none.limit(0)):
+        assert P.nearest_place(df, there, "port_id", "p", "d").first()[-2:] == (None, None)
+
+
+def test_logs_of_one_day_add_up(spark, fleet, tmp_path):
+    day = fleet.withColumn("time", F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, event_id)"))
+    for log, rows in (("a", "event_id % 2 = 0"), ("b", "event_id % 2 = 1"), ("a", "event_id % 2 = 0")):
+        TB.write_daily(day.filter(rows), str(tmp_path), log)
+    assert spark.read.parquet(str(tmp_path)).count() == fleet.count()
+
+
+def test_flat_samples_take_the_longest_arrays(spark):
+    rows = [(1, [(1.0,)], [(5.0,)]), (2, [(1.0,), (2.0,)], []), (3, None, [(6.0,), (7.0,), (8.0,)])]
+    df = spark.createDataFrame(rows, "sample_id long, input array<struct<lat: double>>, target array<struct<lat: double>>")
+    got = {tuple(r) for r in TB.flat_samples(df).select("sample_id", "x_0_lat", "x_1_lat", "y_0_lat", "y_2_lat").collect()}
+    assert got == {(1, 1.0, None, 5.0, None), (2, 1.0, 2.0, None, None), (3, None, None, 6.0, 8.0)}
+
+
+def test_an_outlier_leaves_the_bins_even(spark):
+    values = [i / 1000 for i in range(20_000)] + [1e15]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert Q.percentiles(df, [], "v", {"a": 0.5, "b": 1.0}).first().asDict() == {"a": 10.0, "b": 1e15}
+    counts = Q._with_bins(df.withColumn("k", F.lit(1)), "v", ["k"]).groupBy("_bin").count().collect()
+    assert max(r["count"] for r in counts) < 4 * len(values) / Q.BINS
+
+
+@pytest.mark.parametrize("rate", [0.01, -0.01])
+def test_turn_model_follows_a_circle(rate):
+    """Ten fixes of a steady turn, then ten steps ahead, against the true circle."""
+    k, metre = np.arange(20), geo.M_PER_DEG
+    east, north = 5 / rate * (1 - np.cos(rate * 10 * k)), 5 / rate * np.sin(rate * 10 * k)
+    lat, lon = 60 + north / metre, 10 + east / (metre * np.cos(np.radians(60)))
+    miss = {}
+    for kind in ("turn", "velocity"):
+        got = M.kalman_batch(kind, lat[None, :10], lon[None, :10], 10.0 * k[None, :10], 10)
+        miss[kind] = np.hypot((got[0][0, -1] - lat[-1]) * metre, (got[1][0, -1] - lon[-1]) * metre * np.cos(np.radians(60)))
+    assert miss["turn"] < 20 < miss["velocity"]
 
 
 def test_percentiles_match_numpy(spark):

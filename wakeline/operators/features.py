@@ -182,7 +182,11 @@ def rolling_statistics(df: DataFrame, cols: Sequence[str] = MOTION, rows: int =
 def design_matrix(df: DataFrame, cols: Sequence[str] = MOTION, keys: Sequence[str] = SEGMENT,
                   lags: Sequence[int] = (1, 2, 3), windows: Sequence[int] = (3, 5, 10),
                   horizons: Sequence[int] = (1,)) -> DataFrame:
-    """Lag, difference and rolling features plus delta targets, one row per usable step."""
+    """Lag, difference and rolling features plus delta targets, one row per step with enough history.
+
+    A target beyond the end of the track is NULL; its row still serves shorter
+    horizons and forecasts.
+    """
     df = O.with_positions(df, keys)
     df = O.with_margins(df, before=max(max(lags), max(windows) - 1), after=max(horizons), keys=keys)
     w = O.frame_window(df, keys)
@@ -195,7 +199,7 @@ def design_matrix(df: DataFrame, cols: Sequence[str] = MOTION, keys: Sequence[st
             out |= {f"{c}_mean{r}": F.avg(c).over(frame), f"{c}_std{r}": F.stddev_pop(c).over(frame)}
         out |= {f"{c}_t{h}": F.lead(c, h).over(w) - F.col(c) for h in horizons}
     df = O.drop_margins(df.withColumns(out))
-    return O.unchunked(df.filter((F.col("position") >= max(lags)) & F.col(f"{cols[0]}_t{max(horizons)}").isNotNull()))
+    return O.unchunked(df.filter(F.col("position") >= max(lags)))
 
 
 def horizon_targets(df: DataFrame, horizon: int, cols: Sequence[str] = ("lat", "lon"),

@@ -78,9 +78,12 @@ def _transition(kind: str, dt: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, n
     if kind == "turn":
         w = np.where(np.abs(x[:, 4]) > 1e-6, x[:, 4], 1e-6)
         s, c = np.sin(w * dt), np.cos(w * dt)
-        move = _stack([[one, s / w, zero, (1 - c) / w, zero], [zero, c, zero, -s, zero],
-                       [zero, -(1 - c) / w, one, s / w, zero], [zero, s, zero, c, zero],
-                       [zero, zero, zero, zero, one]])
+        # w turns the course clockwise: east' = cos east + sin north, north' = cos north - sin east;
+        # the way travelled is the integral of that over dt
+        along, across = s / w, (1 - c) / w
+        east = [one, along, zero, across, zero], [zero, c, zero, s, zero]
+        north = [zero, -across, one, along, zero], [zero, -s, zero, c, zero]
+        move = _stack([*east, *north, [zero, zero, zero, zero, one]])
         p, v, t = NOISE["position"] ** 2, NOISE["velocity"] ** 2, NOISE["turn"] ** 2
         q = np.zeros_like(move)
         for i, n in enumerate((p * dt**2, v * dt, p * dt**2, v * dt, t * dt)):

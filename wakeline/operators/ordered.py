@@ -13,12 +13,15 @@ travels through a summary with one row per (vessel, chunk):
 * :func:`with_margins` copies the K bordering rows, for any row-frame window,
 * :func:`with_totals` spreads group aggregates back to the rows.
 
-Results are the same either way.
+Results are the same either way, also for rows with a NULL key or time, which are
+chunks of their own and come first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -56,6 +59,13 @@ def frame_window(df: DataFrame, keys: Sequence[str] = VESSEL, order: Sequence[st
     return Window.partitionBy(*keys, *inside).orderBy(*order)
 
 
+def _carry(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join a summary to the rows of its keys; rows with a NULL key or time meet theirs too."""
+    there = {c: f"_of_{c}" for c in keys}
+    same = reduce(and_, [df[c].eqNullSafe(F.col(n)) for c, n in there.items()])
+    return df.join(summary.withColumnsRenamed(there), same).drop(*there.values())
+
+
 def _neighbour(df, cols, keys, order, out, forward):
     packed = F.struct(*[F.col(c) for c in cols])
     step = F.lead if forward else F.lag
@@ -68,7 +78,7 @@ def _neighbour(df, cols, keys, order, out, forward):
     )
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     carried = borders.select(*keys, CHUNK, step("_border").over(across).alias("_carried"))
-    return df.join(carried, [*keys, CHUNK]).withColumn(out, F.coalesce(near, F.col("_carried"))).drop("_carried")
+    return _carry(df, carried, [*keys, CHUNK]).withColumn(out, F.coalesce(near, F.col("_carried"))).drop("_carried")
 
 
 def with_previous(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = VESSEL,
@@ -104,7 +114,7 @@ def with_running(df: DataFrame, sums: dict[str, Column] | None = None,
         *[F.sum(f"_all_{n}").over(before).alias(f"_pre_{n}") for n in sums],
         *[F.last(f"_all_{n}", ignorenulls=True).over(before).alias(f"_pre_{n}") for n in lasts],
     )
-    df = df.join(carried, [*keys, CHUNK])
+    df = _carry(df, carried, [*keys, CHUNK])
     new = {}
     for n in sums:
         own, pre = F.sum(f"_in_{n}").over(so_far), F.col(f"_pre_{n}")
@@ -158,8 +168,8 @@ def with_totals(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column]) ->
         return df.withColumns({n: c.over(whole) for n, c in aggs.items()})
     totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
     # the chunk is part of the join key, so a hot key meets its totals in many tasks
-    spread = df.select(*keys, CHUNK).distinct().join(totals, list(keys))
-    return df.join(spread, [*keys, CHUNK])
+    spread = _carry(df.select(*keys, CHUNK).distinct(), totals, keys)
+    return _carry(df, spread, [*keys, CHUNK])
 
 
 def with_positions(df: DataFrame, keys: Sequence[str] = VESSEL,

@@ -111,25 +111,19 @@ def in_port(df: DataFrame, ports: DataFrame, radius_nm: float = 1.0, row_id: str
     return df.join(hits, row_id, "left").withColumn("in_port", F.coalesce("in_port", F.lit(False)))
 
 
-FEW_PLACES = 500
-
-
 def nearest_place(df: DataFrame, places: DataFrame, place_id: str, out_id: str, out_distance: str,
                   planar: bool = False, row_id: str = "event_id") -> DataFrame:
     """Closest place per row, in km, or in plain degrees if ``planar``.
 
-    Up to FEW_PLACES the places become an array inside the plan (no join at all);
-    more are found by :func:`_search_rings`.
+    Rows without position, and all rows if no place has one, get NULLs.  Among
+    equally near places the smallest id wins.
     """
-    rows = places.select(place_id, "lat", "lon").limit(FEW_PLACES + 1).collect()
-    if len(rows) > FEW_PLACES:
-        found = _search_rings(df, places, place_id, out_id, out_distance, planar, row_id)
-        return df.join(found, row_id, "left")
-    table = F.array(*[F.struct(F.lit(float(r["lat"])).alias("lat"), F.lit(float(r["lon"])).alias("lon"),
-                               F.lit(r[place_id]).alias("id")) for r in rows])
-    offer = lambda p: F.struct(_distance(F.col("lat"), F.col("lon"), p["lat"], p["lon"], planar).alias("d"), p["id"].alias("id"))
-    best = F.array_min(F.transform(table, offer))
-    return df.withColumn("_best", best).withColumns({out_id: F.col("_best.id"), out_distance: F.col("_best.d")}).drop("_best")
+    known = lambda t: t.filter("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)")
+    spots = known(places.select(place_id, "lat", "lon"))
+    if spots.isEmpty():
+        return df.withColumns({out_id: F.lit(None).cast(places.schema[place_id].dataType), out_distance: F.lit(None).cast("double")})
+    found = _search_rings(known(df), spots, place_id, out_id, out_distance, planar, row_id)
+    return df.join(found, row_id, "left")
 
 
 def _distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, planar: bool) -> Column:
@@ -163,7 +157,7 @@ def _search_rings(df: DataFrame, places: DataFrame, place_id: str, out_id: str,
         best = saved(best.select(row_id, F.col("_b._id").alias(out_id), F.col("_b._d").alias(out_distance)), "ring")
         done = best if done is None else done.unionByName(best)
         left = left.join(best.select(row_id), row_id, "left_anti")
-        if radius > 512 or left.isEmpty():
+        if left.isEmpty():
             return done
         radius *= 2
 

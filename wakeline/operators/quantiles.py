@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-BINS = 1024
+BINS = 128
 _ALL = "_all"
 
 
@@ -24,11 +24,18 @@ def side_by_side(*one_row: DataFrame) -> DataFrame:
 
 
 def _with_bins(counts: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Equal-width value bin of each row, between its key's extremes."""
-    spans = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    share = (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    bin_ = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BINS), F.lit(BINS - 1))
-    return counts.join(spans, list(keys)).withColumn("_bin", bin_).drop("_lo", "_hi")
+    """A bin of each row, between borders that share out the key's distinct values.
+
+    The borders are approximate percentiles, so a value far from the others takes a
+    bin of its own instead of all bins; they steer the work and not the result.
+    """
+    number = F.col(value).cast("double")
+    shares = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    spans = counts.groupBy(*keys).agg(F.percentile_approx(number, shares, F.lit(20 * BINS)).alias("_borders"))
+    # how many borders the value reaches, by halving steps
+    steps = F.array(*[F.lit(BINS >> i) for i in range(1, BINS.bit_length())])
+    bin_ = F.aggregate(steps, F.lit(0), lambda low, step: low + F.when(F.get("_borders", low + step - 1) <= number, step).otherwise(0))
+    return counts.join(spans, list(keys)).withColumn("_bin", bin_).drop("_borders")
 
 
 def with_running_counts(counts: DataFrame, value: str, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

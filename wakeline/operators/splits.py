@@ -13,6 +13,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wakeline.functions import times
+from wakeline.operators.quantiles import with_running_counts
+from wakeline.session import saved
 
 BINS = 4096
 FEW = 20_000
@@ -30,6 +32,7 @@ def cut_points(df: DataFrame, order: Sequence[Column], positions: Sequence[int],
     keys = [f"_o{i}" for i in range(len(order))]
     marks = {f"_a{i}": c for i, c in enumerate(among or ())}
     slim = df.select(*[c.cast("long").alias(k) for c, k in zip(order, keys)], *[c.alias(m) for m, c in marks.items()])
+    slim = saved(slim, "order")  # every pass reads these few columns only
     found: list[tuple[int, ...] | None] = [None] * len(positions)
     fixed: list[list[int]] = [[] for _ in positions]
     span: list[tuple[int, int] | None] = [None] * len(positions)
@@ -152,15 +155,15 @@ def time_series_folds(df: DataFrame, folds: int = 5, time: str = "time", key: st
 def group_folds(df: DataFrame, folds: int = 5, group: str = "mmsi") -> DataFrame:
     """Fold of every group: sizes in descending order dealt back and forth.
 
-    Groups of one size are numbered together, so only the distinct sizes pass
-    through one ordered window.
+    Only the distinct sizes pass through one ordered window; groups of one size
+    are numbered by running counts over bins of their (numeric) ids.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("rows"))
     per_size = sizes.groupBy("rows").agg(F.count("*").alias("groups"))
     larger = Window.orderBy(F.desc("rows")).rowsBetween(Window.unboundedPreceding, -1)
     per_size = per_size.withColumn("ahead", F.coalesce(F.sum("groups").over(larger), F.lit(0)))
-    rank = F.col("ahead") + F.row_number().over(Window.partitionBy("rows").orderBy(group)) - 1
-    ranked = sizes.join(per_size.drop("groups"), "rows").withColumn("rank", rank)
+    numbered = with_running_counts(sizes.withColumn("one", F.lit(1)), group, ["one"], ["rows"])
+    ranked = numbered.join(per_size.drop("groups"), "rows").withColumn("rank", F.col("ahead") + F.col("_beforeone"))
     lap, seat = F.floor(F.col("rank") / folds), F.col("rank") % folds
     fold = F.when(lap % 2 == 0, seat).otherwise(folds - 1 - seat)
     return ranked.select(group, "rows", fold.cast("int").alias("test_fold"))

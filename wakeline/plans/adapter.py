@@ -15,7 +15,6 @@ from wakeline.operators import tracks as TR
 
 EPOCH_US = 1704067200000000
 SHIP_TYPES = (70, 71, 80, 81, 30, 60, 0)
-_HOT: dict[tuple[str, str], bool] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,11 +74,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean position reports (types 1, 3 and 18 here)."""
     m = messages(spark, sf_dir, MOVING_EVENTS).drop("k", "u")
     cleaned = C.clean(m).withColumn("heading", F.col("heading").cast("double"))
-    # the size check reads the table once per session, not once per query
-    known = (spark.sparkContext.applicationId, sf_dir)
-    if known not in _HOT:
-        _HOT[known] = O.is_chunked(O.spread_hot(cleaned))
-    return O.chunked(cleaned) if _HOT[known] else cleaned
+    return O.spread_hot(cleaned)
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

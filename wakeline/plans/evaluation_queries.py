@@ -277,17 +277,20 @@ def failure_clusters(spark, sf):
 @query("evl17_cluster_profiles", _WORST + """, cl AS (SELECT *, CASE WHEN port_km<3 THEN 0 WHEN port_km<6 THEN 1 ELSE 2 END AS cluster, coalesce(ship_type,0) AS vt FROM wc),
 tc AS (SELECT cluster, vt, count(*) AS n FROM cl GROUP BY 1,2), tp AS (SELECT cluster, arg_max(vt,(n,vt)) AS dominant_type, max(n) AS m FROM tc GROUP BY 1)
 SELECT cl.cluster, count(*) AS cases, avg(port_km) AS mean_port_km, stddev_pop(port_km) AS std_port_km, avg(error) AS mean_error, avg(vc) AS mean_vessel_count_5km, stddev_pop(vc) AS std_vessel_count_5km,
-  any_value(dominant_type) AS dominant_type, any_value(m)/count(*)::DOUBLE AS type_share FROM cl JOIN tp USING (cluster) GROUP BY 1""", "mean_port_km std_port_km mean_error mean_vessel_count_5km std_vessel_count_5km type_share")
+  any_value(dominant_type) AS dominant_type, any_value(m)/count(*)::DOUBLE AS type_share,
+  any_value(dominant_type) || CASE WHEN avg(port_km)<5 THEN '/harbour' WHEN avg(port_km)<20 THEN '/coast' ELSE '/sea' END || CASE WHEN avg(error)>2 THEN '/critical' WHEN avg(error)>1 THEN '/high' ELSE '/medium' END AS label
+FROM cl JOIN tp USING (cluster) GROUP BY 1""", "mean_port_km std_port_km mean_error mean_vessel_count_5km std_vessel_count_5km type_share")
 def cluster_profiles(spark, sf):
     km = F.col("port_km")
     c = _worst(spark, sf).withColumns({"cluster": F.when(km < 3, 0).when(km < 6, 1).otherwise(2), "vessel_type": F.coalesce("ship_type", F.lit(0))})
-    return FA.cluster_profiles(c, ["vessel_count_5km"]).drop("label")
+    return FA.cluster_profiles(c, ["vessel_count_5km"])
 
 
 @query("evl18_case_cards", _WORST + """, ar AS (SELECT sample_id, list(pred_lat ORDER BY step)||list(pred_lon ORDER BY step) AS p, list(true_lat ORDER BY step)||list(true_lon ORDER BY step) AS t FROM fc WHERE sample_id IN (SELECT sample_id FROM wc) GROUP BY 1),
 ub AS (SELECT sample_id, unnest(p) AS p, unnest(t) AS t FROM ar), nm AS (SELECT sample_id, avg(abs(p-t)) AS mean_absolute_diff, max(abs(p-t)) AS max_absolute_diff, sqrt(sum((p-t)*(p-t))) AS diff_norm, sqrt(sum((p-t)*(p-t)))/(sqrt(sum(t*t))+1e-8) AS relative_error FROM ub GROUP BY 1)
 SELECT sample_id, error, sqrt(port_km*port_km+vc*vc) AS feature_norm, (port_km+vc)/2 AS feature_mean, mean_absolute_diff, max_absolute_diff, diff_norm, relative_error,
-  CASE WHEN ship_type IN (70,71) THEN 1 WHEN ship_type IN (80,81) THEN 1 WHEN ship_type=30 THEN 1 ELSE 0 END + CASE WHEN port_km<5 OR port_km>20 THEN 1 ELSE 0 END + CASE WHEN error>2 THEN 2 ELSE 0 END AS tips FROM wc JOIN nm USING (sample_id)""",
+  coalesce(nullif(concat_ws(',', CASE WHEN ship_type IN (70,71) THEN 'cargo_motion' WHEN ship_type IN (80,81) THEN 'tanker_turns' WHEN ship_type=30 THEN 'fishing_motion' END,
+    CASE WHEN port_km<5 THEN 'harbour_motion' WHEN port_km>20 THEN 'open_water_motion' END, CASE WHEN error>2 THEN 'check_data,combine_models' END), ''), 'inspect') AS tips FROM wc JOIN nm USING (sample_id)""",
        "error feature_norm feature_mean mean_absolute_diff max_absolute_diff diff_norm relative_error")
 def case_cards(spark, sf):
     w = _worst(spark, sf)
@@ -297,8 +300,7 @@ def case_cards(spark, sf):
     flat = lambda s: F.concat(F.transform(s, lambda p: p[f"{s}_lat"]), F.transform(s, lambda p: p[f"{s}_lon"]))
     cases = w.join(arrays, "sample_id").select("*", flat("pred").alias("prediction"), flat("true").alias("target"), F.col("ship_type").alias("vessel_type"))
     cards = FA.case_cards(cases, ["port_km", "vessel_count_5km"])
-    first = F.element_at("recommendations", 1)
-    tips = F.when(first.startswith("Further"), 0).otherwise(F.size("recommendations"))
+    tips = F.array_join("recommendations", ",")
     return cards.select("sample_id", "error", "feature_norm", "feature_mean", "mean_absolute_diff", "max_absolute_diff", "diff_norm", "relative_error", tips.alias("tips"))
 
 

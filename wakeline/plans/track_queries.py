@@ -431,7 +431,7 @@ SELECT event_id, seg_row-1 AS position, lag(sog,1) OVER s AS sog_lag1, lag(sog,3
   lead(sog) OVER s-sog AS sog_t1, lead(lat) OVER s-lat AS lat_t1 FROM step
 WINDOW s AS (PARTITION BY mmsi, segment_id ORDER BY time, event_id), r3 AS (PARTITION BY mmsi, segment_id ORDER BY time, event_id ROWS 2 PRECEDING),
  r5 AS (PARTITION BY mmsi, segment_id ORDER BY time, event_id ROWS 4 PRECEDING), r10 AS (PARTITION BY mmsi, segment_id ORDER BY time, event_id ROWS 9 PRECEDING))
-WHERE position>=3 AND lat_t1 IS NOT NULL""", " ".join(_DM), 9)
+WHERE position>=3""", " ".join(_DM), 9)
 def design_matrix(spark, sf):
     return FE.design_matrix(A.segments(spark, sf)).select("event_id", "position", *_DM)
 

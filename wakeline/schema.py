@@ -7,6 +7,13 @@ from pyspark.sql import types as T
 # ITU "not available" sentinels per column.
 SENTINELS = {"lat": 91.0, "lon": 181.0, "sog": 102.3, "heading": 511, "draught": 25.5}
 
+#: Types of the known columns of track files without types (CSV).
+CSV_TYPES = {
+    "mmsi": "bigint", "event_id": "bigint", "segment_id": "bigint", "time": "timestamp", "msg_type": "int",
+    "lat": "double", "lon": "double", "sog": "double", "cog": "double", "heading": "double", "draught": "double",
+    "imo": "bigint", "ship_type": "int", "length": "double", "width": "double",
+}
+
 # Closed validity ranges per column.
 RANGES = {
     "lat": (-90.0, 90.0),

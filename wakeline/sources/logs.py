@@ -58,11 +58,9 @@ def records(parsed: DataFrame) -> DataFrame:
     return C.with_message_class(C.null_out_of_range(C.null_sentinels(df)), "basic")
 
 
-def receiver_tables(parsed: DataFrame, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
+def receiver_tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Position and static tables keyed on the log time, from `class = AIS` lines."""
     ais = parsed.filter((F.col("class") == "AIS") & F.col("log_time").isNotNull() & F.col("type").isNotNull())
-    if max_records is not None:
-        ais = ais.limit(max_records)
     ais = C.rename_aliases(ais.drop("time", "reject").withColumnRenamed("log_time", "time"), S.LOG_ALIASES)
     valid = ais.filter(C.valid_mmsi(F.col("mmsi"), "text"))
     places = C.repair_motion(C.filter_positions(valid.filter(F.col("msg_type").isin(*S.RECEIVER_POSITION_TYPES))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,16 +15,20 @@ SEGMENT = ("mmsi", "segment_id")
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
-def read_tracks(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Parquet and CSV files as one table; columns a file lacks are NULL."""
+def read_tracks(spark: SparkSession, paths: Sequence[str], csv_types: Mapping[str, str] = S.CSV_TYPES) -> DataFrame:
+    """Parquet and CSV files as one table; columns a file lacks are NULL.
+
+    CSV columns get the type named for them and are text otherwise, so all files
+    agree and none is read twice.  Each Parquet path has one schema of its own.
+    """
     frames = []
-    columnar = [p for p in paths if not p.endswith((".csv", ".csv.gz"))]
-    if columnar:
-        frames.append(spark.read.option("mergeSchema", "true").parquet(*columnar))
     for p in paths:
-        if p not in columnar:
-            frames.append(spark.read.csv(p, header=True, inferSchema=True))
-    return union_all([C.rename_aliases(f) for f in frames])
+        if not p.endswith((".csv", ".csv.gz")):
+            frames.append(C.rename_aliases(spark.read.parquet(p)))
+            continue
+        plain = C.rename_aliases(spark.read.csv(p, header=True))
+        frames.append(plain.select(*[F.col(c).try_cast(csv_types[c]).alias(c) if c in csv_types else F.col(c) for c in plain.columns]))
+    return union_all(frames)
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -59,16 +63,17 @@ def write_vessel_documents(docs: DataFrame, path: str) -> None:
     docs.write.option("timestampFormat", TIME_FORMAT).json(path)
 
 
-def write_daily(df: DataFrame, path: str, files_per_day: int = 16) -> None:
-    """Parquet partitioned by day; a day already there is replaced, others stay.
+def write_daily(df: DataFrame, path: str, log: str, files_per_day: int = 16) -> None:
+    """Parquet partitioned by day and ``log``, the name of what the rows come from.
 
-    A day is spread over a few files by vessel and hour, so neither a busy day
-    nor a busy vessel is one task.
+    Many logs add up to a day; a log written again replaces its own rows of the
+    days it holds, and nothing else.  A day is spread over a few files by vessel
+    and hour, so neither a busy day nor a busy vessel is one task.
     """
-    day = df.withColumn("date", F.to_date("time"))
+    day = df.withColumns({"date": F.to_date("time"), "log": F.lit(log)})
     spread = F.pmod(F.hash("mmsi", F.hour("time")), F.lit(files_per_day))
     (day.repartition("date", spread).sortWithinPartitions("date", "mmsi", "time")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "log").parquet(path))
 
 
 def write_flat(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -90,12 +95,13 @@ def write_dataset(samples: DataFrame, path: str, flatten: bool = False) -> None:
 
 def flat_samples(samples: DataFrame) -> DataFrame:
     """``input`` and ``target`` arrays as columns ``x_<i>_<name>`` and ``y_<i>_<name>``."""
-    probe = samples.select(F.size("input").alias("a"), F.size("target").alias("b")).first()
-    lengths = {"input": probe["a"] if probe else 0, "target": probe["b"] if probe else 0}
+    # the longest arrays of the table give the width; shorter ones end in NULL
+    widest = samples.agg(*[F.max(F.size(c)).alias(c) for c in ("input", "target")]).first()
+    lengths = {c: max(0, widest[c] or 0) for c in ("input", "target")}
     cols: list[Column] = [F.col(c) for c in samples.columns if c not in lengths]
     for array, mark in (("input", "x"), ("target", "y")):
         names = [f.name for f in samples.schema[array].dataType.elementType.fields if f.name != "time"]
-        cols += [F.col(array)[i][n].alias(f"{mark}_{i}_{n}") for i in range(lengths[array]) for n in names]
+        cols += [F.get(array, F.lit(i))[n].alias(f"{mark}_{i}_{n}") for i in range(lengths[array]) for n in names]
     return samples.select(*cols)
 
 
