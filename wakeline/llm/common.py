@@ -30,6 +30,14 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK_RUN))
 
 
+def drawn(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """At most ``n`` rows, those of the keys lowest in a hash. Only keys are sorted; rows without key are never drawn."""
+    lot = F.xxhash64(key)
+    keys = docs.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(lot, key).limit(n)
+    # broadcast: at most n keys
+    return docs.join(F.broadcast(keys), key, "left_semi").limit(n)
+
+
 # numpy: words of many texts at once -------------------------------------------------------------------------------
 
 #: Odd 64-bit constants of the hash functions (any fixed odd numbers serve).

@@ -27,7 +27,7 @@ from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wakeline.llm.common import BLANKS, whole_text
+from wakeline.llm.common import BLANKS, drawn, whole_text
 from wakeline.session import saved
 
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 8000
@@ -124,7 +124,7 @@ def _rank(words: DataFrame, model: LicenceModel) -> DataFrame:
 def train(docs: DataFrame) -> LicenceModel:
     """The classifier, with ordinary paragraphs from a bounded sample of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
-    small = docs.filter(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS)
+    small = drawn(docs.select("doc_id", F.col("text").cast("string").alias("text")), SAMPLE_DOCS).filter(F.length("text") <= SAMPLE_CHARS)
     paragraphs = saved(small.select(F.explode(F.split("text", "\n")).alias("line")), "sample")
     examples = saved(_examples(spark, paragraphs).coalesce(1), "examples")
     features = Pipeline(stages=[NGram(n=2, inputCol="words", outputCol="pairs"), HashingTF(numFeatures=FEATURES, binary=True, inputCol="words", outputCol="f1"),

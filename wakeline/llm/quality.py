@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wakeline.llm.common import BLANK_RUN, whole_text, words
+from wakeline.llm.common import BLANK_RUN, drawn, whole_text, words
 from wakeline.session import saved
 
 WINDOW = 5
@@ -80,9 +80,9 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_w", "_lines", "_h", "_s", "_p")
 
 
-def order_rules(counted: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id") -> list[Rule]:
-    """The rules by rejections per second, measured on the rows lowest in a hash of the key."""
-    sample = saved(counted.orderBy(F.xxhash64(key), key).limit(SAMPLE_ROWS), "sample")
+def order_rules(counted: DataFrame, rules: Sequence[Rule] = RULES) -> list[Rule]:
+    """The rules by rejections per second, measured on a sample that already has its counts."""
+    sample = saved(counted, "sample")
     n = max(1, sample.count())
     sample.agg(*[F.count_if(F.expr(r.reject)) for r in rules]).collect()  # compiled and read once before the clock runs
     worth = []
@@ -106,7 +106,6 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: DataFrame | No
 
     ``sample``: documents on which the order of the rules is measured; by default a bounded part of docs.
     """
-    drawn = sample if sample is not None else docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    ordered = order_rules(counts(drawn), rules)
+    ordered = order_rules(counts(drawn(docs, SAMPLE_ROWS) if sample is None else sample), rules)
     out = counts(docs).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rejected_by", rejected_by(ordered))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
