@@ -379,7 +379,26 @@ def bootstrap_basic(spark, sf):
     return TS.bootstrap_ci(p, ["h"], "sog", "event_id", 100, method="basic")
 
 
-@query("bst1_bootstrap_bca")
+def _normal(x: str) -> str:
+    """Normal distribution function in SQL, by its power series."""
+    series = f"list_sum(list_transform(range(0, 100), lambda k: exp((2*k+1)*ln(greatest(abs({x}), 1e-300)) + k*ln(2) + lgamma(k+1) - lgamma(2*k+2))))"
+    return f"(0.5 + sign({x})*exp(-({x})*({x})/2)/sqrt(2*pi())*{series})"
+
+
+# The bias as a normal quantile comes from Newton steps; both ends are then ranks among the replicates.
+_BCA = (with_sql("pos") + ", hp AS (SELECT *, hour(time)::INT AS h FROM pos)" + _boot("hp", ["h"], "sog", "event_id", 100)).replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+ob AS (SELECT h, avg(sog) AS value, count(sog) AS n FROM hp GROUP BY 1),
+cu AS (SELECT hp.h, avg((sog-value)*(sog-value)*(sog-value))/nullif(var_pop(sog)*stddev_pop(sog), 0)/(6*sqrt(count(sog))) AS a FROM hp JOIN ob USING (h) GROUP BY 1),
+sh AS (SELECT h, avg((m<value)::INT) AS share, list(m ORDER BY m) AS ms FROM rep JOIN ob USING (h) GROUP BY 1),
+nw(h, share, i, z) AS (SELECT h, share, 0, 0::DOUBLE FROM sh WHERE share>0 AND share<1 UNION ALL SELECT h, share, i+1, z-({_normal("z")}-share)*sqrt(2*pi())*exp(z*z/2) FROM nw WHERE i<25),
+lv AS (SELECT h, ms, coalesce(a, 0) AS a, z, unnest([-1, 1]) AS side FROM sh JOIN cu USING (h) LEFT JOIN (SELECT h, z FROM nw WHERE i=25) USING (h)),
+sf AS (SELECT h, ms, side, CASE WHEN z IS NULL THEN 0.5+side*0.475 ELSE z+(z+side*1.959963984540054)/(1-a*(z+side*1.959963984540054)) END AS u, z IS NULL AS plain FROM lv),
+rk AS (SELECT h, ms, side, CASE WHEN plain THEN u ELSE {_normal("u")} END*(len(ms)-1) AS r FROM sf),
+en AS (SELECT h, side, ms[floor(r)::INT+1]+(ms[ceil(r)::INT+1]-ms[floor(r)::INT+1])*(r-floor(r)) AS v FROM rk)
+SELECT h, value, n, max(v) FILTER (side=-1) AS low, max(v) FILTER (side=1) AS high FROM ob JOIN en USING (h) GROUP BY ALL"""
+
+
+@query("bst1_bootstrap_bca", _BCA, "value low high")
 def bootstrap_bca(spark, sf):
     return TS.bootstrap_ci(A.positions(spark, sf).withColumn("h", F.hour("time")), ["h"], "sog", "event_id", 100, method="BCa")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wakeline.functions import geo
 from wakeline.operators import evaluate as EV
 from wakeline.operators import features as FE
 from wakeline.operators import models as M
@@ -81,10 +82,54 @@ def _scored(spark, sf, kind):
     pred = M.kalman_forecast(seq, 3, kind)
     true = seq.select("sample_id", F.posexplode("target").alias("i", "t")).select(
         "sample_id", (F.col("i") + 1).alias("step"), F.col("t.lat").alias("true_lat"), F.col("t.lon").alias("true_lon"))
-    return EV.match(pred, true)
-
-
-@query("mdl2_kalman_velocity")
+    # variances span many powers of ten, so their logarithms are compared
+    logs = {f"log_{c}": F.log(c) for c in ("var_x", "var_y")}
+    return EV.match(pred.withColumns(logs).drop("var_x", "var_y"), true)
+
+
+def _kalman_sql(kind: str) -> str:
+    """The filter of one axis (its covariance serves both), unrolled by recursion over fixes and then over steps."""
+    n = 2 if kind == "velocity" else 3
+    names = ["p", "v", "a"][:n]
+    g = ["w*w/2", "w", "1"][:n]
+    power = {0: "1", 1: "w", 2: "(w*w/2)"}
+    cells = [(i, j) for i in range(n) for j in range(i, n)]
+    cell = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+    cov = ", ".join(cell(i, j) for i, j in cells)
+    state = lambda t="": ", ".join(f"{t}{axis}{k}" for axis in "xy" for k in names)
+    moved = ", ".join(" + ".join(f"{power[j - i]}*{axis}{names[j]}" for j in range(i, n)) + f" AS {axis}{names[i]}" for axis in "xy" for i in range(n))
+    spread = ", ".join(" + ".join(f"{power[k - i]}*{power[m - j]}*{cell(k, m)}" for k in range(i, n) for m in range(j, n))
+                       + f" + {M.NOISE[kind] ** 2!r}*({g[i]})*({g[j]}) AS {cell(i, j)}" for i, j in cells)
+    gain = ", ".join(f"c0{i}/(c00+{M.MEASURED_M ** 2!r}) AS k{i}" for i in range(n))
+    fixed = ", ".join(f"{axis}{names[i]} + k{i}*({axis}m - {axis}p) AS {axis}{names[i]}" for axis in "xy" for i in range(n))
+    lower = ", ".join(f"{cell(i, j)} - k{i}*c0{j} AS {cell(i, j)}" for i, j in cells)
+    start = [f"{M.START[k] ** 2!r}::DOUBLE" for k in ("position", "velocity", "acceleration")[:n]]
+    begin = ", ".join(f"{start[i] if i == j else '0::DOUBLE'} AS {cell(i, j)}" for i, j in cells)
+    v = lambda axis, i: f"({axis}[{i + 1}]-{axis}[{i}])/w[{i}]"
+    first = {"p": "{0}[6]", "v": v("{0}", 5), "a": f"({v('{0}', 5)}-{v('{0}', 4)})/w[5]"}
+    opening = ", ".join(f"{first[k].format(axis)} AS {axis}{k}" for axis in "xy" for k in names)
+    limit = lambda k, most: f"least(1, {most!r}/greatest(sqrt(x{k}*x{k}+y{k}*y{k}), 1e-12))"
+    most = {"v": M.MAX_MPS, "a": M.MAX_ACCELERATION}
+    caps = ", ".join(f"{axis}{k}" if k == "p" else f"{axis}{k}*{limit(k, most[k])} AS {axis}{k}" for axis in "xy" for k in names)
+    return with_sql("seg").replace("WITH ", "WITH RECURSIVE ", 1) + f""", wn AS (
+ SELECT event_id AS sample_id, list(lat) OVER o AS la, list(lon) OVER o AS lo, list(epoch_us(time)) OVER o AS ts FROM seg
+ WINDOW o AS (PARTITION BY mmsi, segment_id ORDER BY time, event_id ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING)),
+hs AS (SELECT *, list_avg(la[1:6]) AS rla, list_avg(lo[1:6]) AS rlo, {geo.M_PER_DEG!r}::DOUBLE AS ky, {geo.M_PER_DEG!r}::DOUBLE*cos(radians(list_avg(la[1:6]))) AS kx FROM wn WHERE len(la)=9),
+ax AS (SELECT sample_id, rla, rlo, kx, ky, list_transform(lo[1:6], lambda q: (q-rlo)*kx) AS x, list_transform(la[1:6], lambda q: (q-rla)*ky) AS y,
+  list_transform(range(1, 6), lambda i: greatest((ts[i+1]-ts[i])/1e6, 1e-6)) AS w, greatest((ts[6]-ts[4])/2e6, 1e-6) AS gap FROM hs),
+kf(sample_id, i, {state()}, {cov}) AS (SELECT sample_id, 0, {opening}, {begin} FROM ax
+ UNION ALL SELECT sample_id, i+1, {fixed}, {lower} FROM (SELECT *, {gain} FROM (
+  SELECT sample_id, i, xm, ym, {moved}, {spread} FROM (SELECT kf.*, ax.w[i+1] AS w, ax.x[i+2] AS xm, ax.y[i+2] AS ym FROM kf JOIN ax USING (sample_id) WHERE i<5)))),
+fo(sample_id, step, {state()}, {cov}) AS (SELECT sample_id, 0, {state()}, {cov} FROM kf WHERE i=5
+ UNION ALL SELECT sample_id, step+1, {caps}, {cov} FROM (SELECT sample_id, step, {moved}, {spread} FROM (SELECT fo.*, gap AS w FROM fo JOIN ax USING (sample_id) WHERE step<3)))
+SELECT sample_id, step, yp/ky+rla AS pred_lat, xp/kx+rlo AS pred_lon, ln(c00) AS log_var_x, ln(c00) AS log_var_y, 0::DOUBLE AS cov_xy, la[6+step] AS true_lat, lo[6+step] AS true_lon
+FROM fo JOIN ax USING (sample_id) JOIN (SELECT sample_id, la, lo FROM wn) USING (sample_id) WHERE step>0"""
+
+
+_FORECAST = "pred_lat pred_lon log_var_x log_var_y cov_xy true_lat true_lon"
+
+
+@query("mdl2_kalman_velocity", _kalman_sql("velocity"), _FORECAST, 5)
 def kalman_velocity(spark, sf):
     return _scored(spark, sf, "velocity")
 
@@ -94,7 +139,7 @@ def kalman_turn(spark, sf):
     return _scored(spark, sf, "turn")
 
 
-@query("mdl3_kalman_acceleration")
+@query("mdl3_kalman_acceleration", _kalman_sql("acceleration"), _FORECAST, 5)
 def kalman_acceleration(spark, sf):
     return _scored(spark, sf, "acceleration")
 
