@@ -423,16 +423,43 @@ def bootstrap_medians(spark, sf):
     return TS.bootstrap_medians(A.positions(spark, sf), "msg_type", 1, 18, "cog", "event_id", 20)
 
 
+def _tail(density: str, x: str) -> str:
+    """Logarithm of a two-sided probability: the density beyond |x| at x/u, by Simpson's rule over u from 0 to 1."""
+    return (f"CASE WHEN {x}=0 THEN 0 ELSE ln(2*list_sum(list_transform(range(1, 4001), lambda k: (CASE WHEN k=4000 THEN 1 WHEN k%2=1 THEN 4 ELSE 2 END)"
+            f"*{density.format(x=f'(abs({x})*4000.0/k)')}*abs({x})*16000000.0/k/k))/12000) END")
+
+
+def _student(t: str, v: str) -> str:
+    return _tail(f"exp(lgamma(({v}+1)/2.0)-lgamma({v}/2.0)-0.5*ln({v}*pi())-({v}+1)/2.0*ln(1+{{x}}*{{x}}/{v}))", t)
+
+
+_GAUSS = "exp(-0.5*{x}*{x})/sqrt(2*pi())"
+# ways to reach each rank sum with ranks 1..r, row by row
+_WAYS = """, wy(r, ways) AS (SELECT 0, [1::DOUBLE] || list_transform(range(0, 1275), lambda q: 0::DOUBLE) UNION ALL
+ SELECT r+1, list_transform(range(1, 1277), lambda q: ways[q]+CASE WHEN q>r+1 THEN ways[q-r-1] ELSE 0 END) FROM wy WHERE r<50)"""
+_RANKED = """, rk AS (SELECT model_a, model_b, a-b AS d, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(a-b))+(count(*) OVER (PARTITION BY model_a, model_b, abs(a-b))-1)/2.0::DOUBLE AS r,
+  count(*) OVER (PARTITION BY model_a, model_b, abs(a-b)) AS same FROM pr WHERE a<>b),
+wc0 AS (SELECT model_a, model_b, coalesce(sum(r) FILTER (d>0),0) AS w_plus, coalesce(sum(r) FILTER (d<0),0) AS w_minus, count(*) AS n, sum(same*same-1) AS ties FROM rk GROUP BY 1,2),
+wc1 AS (SELECT w.*, least(w_plus, w_minus) AS w, pairs FROM wc0 w JOIN (SELECT model_a, model_b, count(a-b) AS pairs FROM pr GROUP BY 1,2) USING (model_a, model_b)),
+wx AS (SELECT wc1.*, CASE WHEN n<=50 AND ties=0 AND n=pairs THEN ln(least(1, 2*list_sum(ways[1:w::INT+1])/pow(2, n))) ELSE """ + _tail(_GAUSS, "((w-n*(n+1)/4.0)/sqrt(n*(n+1)*(2*n+1)/24.0-ties/48.0))") + """ END AS log_p
+ FROM wc1 LEFT JOIN wy ON wy.r=n)"""
+
+
+def _log_p(df, name="p"):
+    """Probabilities span many powers of ten, so their logarithms are compared."""
+    return df.withColumn(f"log_{name}", F.log(name)).drop(name)
+
+
 @query("tst1_paired_t", _PAIR + """, d AS (SELECT model_a, model_b, avg(a-b) AS mean_difference, stddev_samp(a-b) AS sd, count(*) AS n FROM pr GROUP BY 1,2)
-SELECT model_a, model_b, mean_difference, n, n-1 AS df, mean_difference/(sd/sqrt(n)) AS t, mean_difference/sd AS effect, CASE WHEN abs(mean_difference/sd)<0.2 THEN 'negligible' WHEN abs(mean_difference/sd)<0.5 THEN 'small' WHEN abs(mean_difference/sd)<0.8 THEN 'medium' ELSE 'large' END AS effect_label FROM d""", "mean_difference t effect", 4)
+SELECT model_a, model_b, mean_difference, n, n-1 AS df, mean_difference/(sd/sqrt(n)) AS t, mean_difference/sd AS effect, CASE WHEN abs(mean_difference/sd)<0.2 THEN 'negligible' WHEN abs(mean_difference/sd)<0.5 THEN 'small' WHEN abs(mean_difference/sd)<0.8 THEN 'medium' ELSE 'large' END AS effect_label,
+ """ + _student("(mean_difference/(sd/sqrt(n)))", "(n-1)") + """ AS log_p FROM d""", "mean_difference t effect log_p", 4)
 def paired_t(spark, sf):
-    return TS.paired_t(_pairs(spark, sf), "a", "b", ["model_a", "model_b"]).drop("p", "significant")
+    return _log_p(TS.paired_t(_pairs(spark, sf), "a", "b", ["model_a", "model_b"])).drop("significant")
 
 
-@query("tst2_wilcoxon", _PAIR + """, rk AS (SELECT model_a, model_b, a-b AS d, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(a-b))+(count(*) OVER (PARTITION BY model_a, model_b, abs(a-b))-1)/2.0::DOUBLE AS r FROM pr WHERE a<>b)
-SELECT model_a, model_b, coalesce(sum(r) FILTER (d>0),0) AS w_plus, coalesce(sum(r) FILTER (d<0),0) AS w_minus, count(*) AS n, least(coalesce(sum(r) FILTER (d>0),0),coalesce(sum(r) FILTER (d<0),0)) AS w FROM rk GROUP BY 1,2""", "w_plus w_minus w")
+@query("tst2_wilcoxon", _PAIR.replace("WITH ", "WITH RECURSIVE ", 1) + _WAYS + _RANKED + " SELECT model_a, model_b, w_plus, w_minus, n, w, log_p FROM wx", "w_plus w_minus w log_p", 4)
 def wilcoxon(spark, sf):
-    return TS.wilcoxon(_pairs(spark, sf), "a", "b", ["model_a", "model_b"]).select("model_a", "model_b", "w_plus", "w_minus", "n", "w")
+    return _log_p(TS.wilcoxon(_pairs(spark, sf), "a", "b", ["model_a", "model_b"])).select("model_a", "model_b", "w_plus", "w_minus", "n", "w", "log_p")
 
 
 @query("tst3_cliffs_delta", with_sql("pos") + """, g AS (SELECT msg_type, sog FROM pos WHERE sog IS NOT NULL), c AS (SELECT (SELECT count(*) FROM g WHERE msg_type=1) AS n1, (SELECT count(*) FROM g WHERE msg_type=18) AS n2,
@@ -443,11 +470,12 @@ def cliffs_delta(spark, sf):
 
 
 @query("tst4_mcnemar", _SCORED + """, r AS (SELECT (score>=0.5)=(quality=1) AS x, (score<0.3)=(quality=1) AS y FROM sc), c AS (SELECT count(*) FILTER (x AND NOT y) AS b, count(*) FILTER (NOT x AND y) AS c, count(*) FILTER (x AND y) AS "both", count(*) FILTER (NOT x AND NOT y) AS neither FROM r)
-SELECT *, CASE WHEN b+c<25 THEN 'exact' ELSE 'chi-square' END AS test, CASE WHEN b+c<25 THEN least(b,c) ELSE (abs(b-c)-1)*(abs(b-c)-1)/(b+c)::DOUBLE END AS statistic FROM c""", "statistic")
+SELECT *, CASE WHEN b+c<25 THEN 'exact' ELSE 'chi-square' END AS test, CASE WHEN b+c<25 THEN least(b,c) ELSE (abs(b-c)-1)*(abs(b-c)-1)/(b+c)::DOUBLE END AS statistic,
+ CASE WHEN b+c<25 THEN ln(least(1, 2*list_sum(list_transform(range(0, least(b,c)+1), lambda i: exp(lgamma(b+c+1)-lgamma(i+1)-lgamma(b+c-i+1))))/pow(2, b+c))) ELSE """ + _tail(_GAUSS, "((abs(b-c)-1)/sqrt((b+c)::DOUBLE))") + """ END AS log_p FROM c""", "statistic log_p", 4)
 def mcnemar(spark, sf):
     right = F.col("quality") == 1
     s = scored(spark, sf).select(((F.col("score") >= 0.5) == right).alias("x"), ((F.col("score") < 0.3) == right).alias("y"))
-    return TS.mcnemar(s, "x", "y").drop("p", "significant")
+    return _log_p(TS.mcnemar(s, "x", "y")).drop("significant")
 
 
 _P = with_sql("pos") + """, pv AS (SELECT 'f'||(mmsi%3) AS family, mmsi AS test_id, round(least(1.0,0.0005::DOUBLE*count(*)*((mmsi%17)+1)),6) AS p FROM pos GROUP BY mmsi), rk AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, test_id) AS i, count(*) OVER (PARTITION BY family) AS m FROM pv)
@@ -480,10 +508,19 @@ def model_summary(spark, sf):
     return TS.model_summary(fold_scores(spark, sf), n=40)
 
 
-@query("tst6_compare_models", _PAIR + """
-SELECT 'mae' AS metric, model_a, model_b, count(*) AS n, avg(a-b) AS mean_difference, (SELECT sum(sign(x.a-y.b)) FROM pr x, pr y WHERE x.model_a=pr.model_a AND x.model_b=pr.model_b AND y.model_a=pr.model_a AND y.model_b=pr.model_b)/(count(*)*count(*)) AS delta FROM pr GROUP BY pr.model_a, pr.model_b""", "mean_difference delta")
+@query("tst6_compare_models", _PAIR.replace("WITH ", "WITH RECURSIVE ", 1) + _WAYS + _RANKED + """,
+tt AS (SELECT model_a, model_b, count(*) AS n, avg(a-b) AS mean_difference, avg(a-b)/(stddev_samp(a-b)/sqrt(count(*))) AS t,
+  (SELECT sum(sign(x.a-y.b)) FROM pr x, pr y WHERE x.model_a=pr.model_a AND x.model_b=pr.model_b AND y.model_a=pr.model_a AND y.model_b=pr.model_b)/(count(*)*count(*)) AS delta FROM pr GROUP BY pr.model_a, pr.model_b),
+pp AS (SELECT tt.*, wx.w, wx.log_p AS log_w_p, """ + _student("t", "(tt.n-1)") + """ AS log_t_p FROM tt JOIN wx USING (model_a, model_b)),
+ch AS (SELECT *, CASE WHEN n<20 THEN log_w_p ELSE log_t_p END AS log_p FROM pp),
+hm AS (SELECT *, log_p+ln(count(*) OVER ()-row_number() OVER (ORDER BY log_p, model_a, model_b)+1) AS up FROM ch)
+SELECT 'mae' AS metric, model_a, model_b, n, mean_difference, delta, t, w, log_t_p, log_w_p, log_p, least(0, max(up) OVER (ORDER BY log_p, model_a, model_b)) AS log_corrected FROM hm""",
+       "mean_difference delta t w log_t_p log_w_p log_p log_corrected", 4)
 def compare_models(spark, sf):
-    return TS.compare_models(fold_scores(spark, sf)).select("metric", "model_a", "model_b", "n", "mean_difference", "delta")
+    out = TS.compare_models(fold_scores(spark, sf))
+    for name in ("t_p", "w_p", "p", "corrected"):
+        out = _log_p(out, name)
+    return out.drop("significant")
 
 
 # ------------------------------------------------------------- splits
