@@ -69,19 +69,28 @@ def near_pairs(df: DataFrame, radius_nm: float = 10.0, bucket_s: int = 60, same_
     mine = with_own_cell(df, step)
     hot = mine.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select(
         *key, F.ceil(F.col("n") / crowded).cast("int").alias("salts"))
+    hot = saved(hot, "crowded")
+    # of two cells only the later one gets copies of the other's rows, so a pair meets once
+    home = mine.withColumns({"_band": F.col("band"), "_col": F.col("col")})
+    theirs = with_reachable_cells(home, radius_km, step)
+    theirs = theirs.filter((F.col("band") > F.col("_band")) | ((F.col("band") == F.col("_band")) & (F.col("col") >= F.col("_col"))))
+    theirs = theirs.withColumn("_home", (F.col("band") == F.col("_band")) & (F.col("col") == F.col("_col"))).drop("_band", "_col")
+    theirs = theirs.withColumnsRenamed({c: f"other_{c}" for c in state})
     mine = mine.join(hot, key, "left").withColumn(
         "salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.hash("event_id"), F.col("salts")))).drop("salts")
-    theirs = with_reachable_cells(df, radius_km, step).withColumnsRenamed({c: f"other_{c}" for c in state})
     theirs = theirs.join(hot, key, "left").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    apart = F.col("event_id") != F.col("other_event_id")
+    apart = F.when(F.col("_home"), F.col("event_id") < F.col("other_event_id")).otherwise(F.col("event_id") != F.col("other_event_id"))
     if not same_vessel:
         apart = apart & (F.col("mmsi") != F.col("other_mmsi"))
     distance = geo.haversine_nm(F.col("lat"), F.col("lon"), F.col("other_lat"), F.col("other_lon"))
     # pairs outgrow their rows, so keep all tasks: partitions merged by input size would be too few
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = mine.repartition(tasks, *key, "salt").join(theirs, [*key, "salt"]).filter(apart)
-    return pairs.withColumn("distance_nm", distance).filter(F.col("distance_nm") < radius_nm).drop("band", "col", "salt")
+    met = mine.repartition(tasks, *key, "salt").join(theirs, [*key, "salt"]).filter(apart)
+    met = met.withColumn("distance_nm", distance).filter(F.col("distance_nm") < radius_nm)
+    one = [F.col(c).alias(c) for c in state] + [F.col(f"other_{c}").alias(f"other_{c}") for c in state]
+    two = [F.col(f"other_{c}").alias(c) for c in state] + [F.col(c).alias(f"other_{c}") for c in state]
+    return met.select("bucket", F.inline(F.array(F.struct(*one), F.struct(*two))), "distance_nm")
 
 
 def nearest_neighbours(pairs: DataFrame) -> DataFrame:
