@@ -327,6 +327,17 @@ def test_vessel_documents_round_trip(spark, fleet, tmp_path):
     assert back.count() == segments.count()
 
 
+def test_graph_windows_stay_whole(fleet):
+    samples = TK.build_dataset("graph_network", fleet, TK.TaskConfig(min_rows=5)).collect()
+    sides, sizes = {}, {}
+    for r in samples:
+        sides.setdefault(r.window, set()).add(r.split)
+        sizes[r.window] = sizes.get(r.window, 0) + 1
+        assert 0 <= r.target[0].interaction_score <= 1 and r.input[0].degree >= 0
+    assert all(len(s) == 1 for s in sides.values()) and all(r.window_size == sizes[r.window] >= 2 for r in samples)
+    assert {r.split for r in samples} == {"train", "validation", "test"} and len({r.sample_id for r in samples}) == len(samples)
+
+
 @pytest.mark.parametrize("task", ["trajectory_prediction", "anomaly_detection", "collision_avoidance"])
 def test_task_builders(fleet, task):
     samples = TK.build_dataset(task, fleet, TK.TaskConfig(length=5, horizon=2, min_rows=5))

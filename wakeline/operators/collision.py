@@ -66,8 +66,14 @@ def collision_targets(features: DataFrame) -> DataFrame:
         "time_to_collision": F.col("min_tcpa")})
 
 
-def edge_features(df: DataFrame, radius_nm: float = 10.0, same_vessel: bool = False) -> DataFrame:
+def known_pairs(df: DataFrame, radius_nm: float = 10.0, same_vessel: bool = False) -> DataFrame:
+    """What the per-row features need of every pair; save it to use it several times."""
     pairs = with_cpa(P.near_pairs(_usable(df), radius_nm, same_vessel=same_vessel))
+    return pairs.select("bucket", "event_id", "other_event_id", "distance_nm", "relative_knots", "tcpa_s", "cpa_m")
+
+
+def edge_features(df: DataFrame, radius_nm: float = 10.0, same_vessel: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    pairs = pairs if pairs is not None else known_pairs(df, radius_nm, same_vessel)
     return pairs.groupBy("event_id").agg(
         F.avg("distance_nm").alias("avg_distance"), F.min("distance_nm").alias("min_distance"),
         F.avg("relative_knots").alias("avg_relative_velocity"),
@@ -75,7 +81,7 @@ def edge_features(df: DataFrame, radius_nm: float = 10.0, same_vessel: bool = Fa
 
 
 def graph_features(df: DataFrame, radius_nm: float = 10.0, bucket_s: int = 60, min_rows: int = 3,
-                   same_vessel: bool = False) -> DataFrame:
+                   same_vessel: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     """Density, mean degree and mean local clustering of each bucket's proximity graph.
 
     Each edge points from its lower-degree end, so a row keeps at most
@@ -84,9 +90,13 @@ def graph_features(df: DataFrame, radius_nm: float = 10.0, bucket_s: int = 60, m
     """
     bucket = F.floor(F.unix_micros("time") / F.lit(bucket_s * 1_000_000)) * bucket_s
     nodes = df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_rows)
-    pairs = P.near_pairs(df, radius_nm, bucket_s, same_vessel, state=("event_id", "mmsi", "time", "lat", "lon"))
-    # the pair join is the costly part and its result is used several times
-    edges = saved(pairs.select("bucket", F.col("event_id").alias("u"), F.col("other_event_id").alias("v")), "edges")
+    ends = [F.col("bucket"), F.col("event_id").alias("u"), F.col("other_event_id").alias("v")]
+    if pairs is None:
+        # the pair join is the costly part and its result is used several times
+        pairs = P.near_pairs(df, radius_nm, bucket_s, same_vessel, state=("event_id", "mmsi", "time", "lat", "lon"))
+        edges = saved(pairs.select(*ends), "edges")
+    else:
+        edges = pairs.select(*ends)
     degree = edges.groupBy("bucket", "u").agg(F.count("*").alias("d"))
     both = edges.join(degree, ["bucket", "u"]).join(
         degree.select("bucket", F.col("u").alias("v"), F.col("d").alias("dv")), ["bucket", "v"])
@@ -110,9 +120,9 @@ def graph_features(df: DataFrame, radius_nm: float = 10.0, bucket_s: int = 60, m
 
 
 def interaction_scores(df: DataFrame, radius_nm: float = 10.0, cpa_nm: float = 0.27,
-                       same_vessel: bool = False) -> DataFrame:
+                       same_vessel: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     """0.6 closeness + 0.4 low CPA against the nearest neighbour, 0 without one."""
-    pairs = with_cpa(P.near_pairs(_usable(df), radius_nm, same_vessel=same_vessel))
+    pairs = pairs if pairs is not None else known_pairs(df, radius_nm, same_vessel)
     near = pairs.groupBy("event_id").agg(
         F.min_by(F.struct("distance_nm", "cpa_m"), F.struct("distance_nm", "other_event_id")).alias("n"))
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))

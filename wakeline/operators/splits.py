@@ -102,11 +102,15 @@ def random_key(seed: int, key: str) -> Column:
     return F.conv(F.substring(text, 1, 15), 16, 10).cast("long")
 
 
-def random_split(df: DataFrame, key: str, seed: int = 42, test: float = 0.1, val: float = 0.2) -> DataFrame:
-    """Exact shares in a seeded random order: test, then validation, the rest train."""
+def random_split(df: DataFrame, key: str, seed: int = 42, test: float = 0.1, val: float = 0.2,
+                 ties: Sequence[Column] | None = None) -> DataFrame:
+    """Exact shares in a seeded random order: test, then validation, the rest train.
+
+    ``ties``: integer columns that tell rows with equal hash bits apart (the key, if it is a number).
+    """
     n = df.count()
     n_test, n_val = int(n * test), int(n * val)
-    order = [random_key(seed, key), F.col(key)]
+    order = [random_key(seed, key), *(ties or [F.col(key)])]
     return _by_borders(df, order, ["test", "validation", "train"], [n_test, n_test + n_val], n)
 
 

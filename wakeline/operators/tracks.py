@@ -83,16 +83,15 @@ def _grid(df: DataFrame, step_s: int, width: int) -> DataFrame:
 
 
 def _binned(df: DataFrame, cols: Sequence[str], step_s: int) -> DataFrame:
-    """First non-NULL value per bin on the full grid; chunked by slot if the input was."""
+    """First non-NULL value per bin on the full grid, chunked by slot: a sparse vessel's grid may far outgrow its rows."""
     width = max(int(O.CHUNK_HOURS * 3600) // step_s, 1) * step_s
     bin_ = F.floor(F.unix_micros("time") / F.lit(step_s * 1_000_000)) * step_s
-    hot = O.is_chunked(df)
     df = O.unchunked(df).withColumn("bin", bin_).withColumn("_slot", F.floor(F.col("bin") / width))
     at = F.struct(*O.ORDER)
     firsts = df.groupBy("mmsi", "_slot", "bin").agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in cols])
     grid = _grid(firsts, step_s, width).join(firsts, ["mmsi", "_slot", "bin"], "left")
-    return grid.withColumnRenamed("_slot", O.CHUNK) if hot else grid.drop("_slot")
+    return grid.withColumnRenamed("_slot", O.CHUNK)
 
 
 def _long_enough(df: DataFrame, min_rows: int, min_span_s: float) -> DataFrame:

@@ -236,6 +236,55 @@ def longest(spark, sf):
 
 
 
+# the resampled rows of every builder: first value per minute, carried forward
+_RESAMPLED = with_sql("pos") + """, b AS (SELECT *, epoch_us(time)//60000000*60 AS bin FROM pos WHERE mmsi IN (SELECT mmsi FROM pos GROUP BY 1 HAVING count(*)>=20 AND epoch_us(max(time))-epoch_us(min(time))>=300000000)),
+f AS (SELECT mmsi, bin, arg_min(lat, event_id) AS lat, arg_min(lon, event_id) AS lon, arg_min(sog, event_id) FILTER (sog IS NOT NULL) AS sog, arg_min(cog, event_id) FILTER (cog IS NOT NULL) AS cog FROM b GROUP BY 1,2),
+g AS (SELECT mmsi, unnest(range(min(bin), max(bin)+60, 60)) AS bin FROM f GROUP BY 1),
+rs0 AS (SELECT mmsi, bin, last_value(lat IGNORE NULLS) OVER v AS lat, last_value(lon IGNORE NULLS) OVER v AS lon, last_value(sog IGNORE NULLS) OVER v AS sog, last_value(cog IGNORE NULLS) OVER v AS cog
+  FROM g LEFT JOIN f USING (mmsi, bin) WINDOW v AS (PARTITION BY mmsi ORDER BY bin)),
+rs AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY mmsi) AS rows FROM rs0 WHERE sog IS NOT NULL AND cog IS NOT NULL) WHERE rows>=20)"""
+
+
+def _windows_sql(length: int, value: str) -> str:
+    """Windows of ``length`` rows by split, with the sum of a value of their last row."""
+    return _RESAMPLED + f""", wn AS (SELECT *, lag(bin, {length - 1}) OVER v AS start FROM (SELECT *, {value} AS value FROM rs) WINDOW v AS (PARTITION BY mmsi ORDER BY bin)),
+sp AS (SELECT value, row_number() OVER (ORDER BY substr(md5(mmsi||'-'||start||'-42'),1,15), mmsi, start)-1 AS i, count(*) OVER () AS n FROM wn WHERE start IS NOT NULL)
+SELECT CASE WHEN i<n//10 THEN 'test' WHEN i<n//10+n//5 THEN 'validation' ELSE 'train' END AS split, count(*) AS n, sum(value) AS total FROM sp GROUP BY 1"""
+
+
+@query("udf3_anomaly_dataset", _windows_sql(30, "avg(sog) OVER (PARTITION BY mmsi)"), "total", 4)
+def anomaly_dataset(spark, sf):
+    from wakeline.operators import tasks as TK
+
+    samples = TK.build_dataset("anomaly_detection", A.positions(spark, sf))
+    return samples.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.element_at("target", -1)["sog_mean"]).alias("total"))
+
+
+# neighbours within 10 NM in the same minute
+_NEARBY = """(SELECT count(*) FROM rs o WHERE o.bin=rs1.bin AND o.mmsi<>rs1.mmsi AND 2*6371.0*asin(least(1, sqrt(sin(radians(o.lat-rs1.lat)/2)*sin(radians(o.lat-rs1.lat)/2)
+ +cos(radians(rs1.lat))*cos(radians(o.lat))*sin(radians(o.lon-rs1.lon)/2)*sin(radians(o.lon-rs1.lon)/2))))/1.852<10)"""
+
+
+@query("udf3_collision_dataset", _windows_sql(30, _NEARBY.replace("rs1", "rs")), "total", 4)
+def collision_dataset(spark, sf):
+    from wakeline.operators import tasks as TK
+
+    samples = TK.build_dataset("collision_avoidance", A.positions(spark, sf))
+    return samples.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.element_at("input", -1)["num_nearby"]).cast("double").alias("total"))
+
+
+@query("udf3_graph_dataset", _RESAMPLED + f""", nd AS (SELECT bin//600*600 AS win, {_NEARBY.replace("rs1", "rs")} AS degree FROM rs),
+wn AS (SELECT win, count(*) AS size, sum(degree) AS degree FROM nd GROUP BY 1 HAVING count(*)>=2),
+sp AS (SELECT *, row_number() OVER (ORDER BY substr(md5(win||'-42'),1,15), win)-1 AS i, count(*) OVER () AS n FROM wn)
+SELECT CASE WHEN i<n//10 THEN 'test' WHEN i<n//10+n//5 THEN 'validation' ELSE 'train' END AS split, sum(size)::BIGINT AS n, count(*) AS windows, sum(degree)::DOUBLE AS total FROM sp GROUP BY 1""", "total", 4)
+def graph_dataset(spark, sf):
+    from wakeline.operators import tasks as TK
+
+    samples = TK.build_dataset("graph_network", A.positions(spark, sf))
+    return samples.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("window").alias("windows"),
+                                        F.sum(F.element_at("input", 1)["degree"]).cast("double").alias("total"))
+
+
 @query("udf3_task_dataset", with_sql("pos") + """, b AS (SELECT mmsi, epoch_us(time)//60000000 AS m, event_id, sog, cog FROM pos WHERE mmsi IN (SELECT mmsi FROM pos GROUP BY 1 HAVING count(*)>=20)),
 v AS (SELECT mmsi, max(m)-greatest(min(m) FILTER (sog IS NOT NULL),min(m) FILTER (cog IS NOT NULL))+1 AS rows FROM b GROUP BY 1),
 w AS (SELECT CAST(sum(greatest(rows-34,0)) AS BIGINT) AS n FROM v WHERE rows>=20)
