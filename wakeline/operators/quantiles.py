@@ -51,6 +51,18 @@ def with_running_counts(counts: DataFrame, value: str, cols: Sequence[str], keys
     return out.drop("_bin", _ALL, *[f"_pre{c}" for c in cols])
 
 
+def with_extreme_so_far(rows: DataFrame, order: str, value: str, keys: Sequence[str], out: str, falling: bool = False) -> DataFrame:
+    """Largest ``value`` up to each row in ascending ``order``, or smallest from each row on if ``falling``."""
+    binned = _with_bins(rows, order, keys)
+    best, pick = (F.min, F.least) if falling else (F.max, F.greatest)
+    by = (lambda c: F.col(c).desc()) if falling else F.col
+    ahead = Window.partitionBy(*keys).orderBy(by("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy(*keys, "_bin").agg(best(value).alias("_own")).withColumn("_ahead", best("_own").over(ahead)).drop("_own")
+    inside = Window.partitionBy(*keys, "_bin").orderBy(by(order)).rowsBetween(Window.unboundedPreceding, 0)
+    # least and greatest skip NULL, which the first bin has
+    return binned.join(bins, [*keys, "_bin"]).withColumn(out, pick(best(value).over(inside), F.col("_ahead"))).drop("_bin", "_ahead")
+
+
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float],
                 weight: str | None = None) -> DataFrame:
     """Linearly interpolated percentiles of ``value`` per key, one column each.

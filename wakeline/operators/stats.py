@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wakeline.functions.pin import pinned
 from wakeline.operators import quantiles as Q
+from wakeline.session import saved
 
 NORMAL = NormalDist()
 
@@ -301,32 +302,43 @@ def mcnemar(df: DataFrame, right_1: str, right_2: str, alpha: float = 0.05) -> D
 
 # ------------------------------------------------------------- corrections
 
+EULER = 0.5772156649015329
 METHODS = ("bonferroni", "sidak", "holm", "holm-sidak", "simes-hochberg", "fdr_bh", "fdr_by")
 
 
 def corrected(df: DataFrame, method: str = "holm", family: str = "family", p: str = "p", test: str = "test_id",
               alpha: float = 0.05) -> DataFrame:
-    """Corrected p-values per family (one row per hypothesis test)."""
+    """Corrected p-values per family (one row per hypothesis test); tests without p aren't counted.
+
+    Ranks and running extremes come from bins of the distinct p-values, so no
+    family is sorted in one task.
+    """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
-    up = Window.partitionBy(family).orderBy(p, test)
-    m = F.count("*").over(Window.partitionBy(family))
-    df = df.withColumns({"_m": m, "_i": F.row_number().over(up)})
-    x, i, n = F.col(p), F.col("_i"), F.col("_m")
-    so_far = up.rowsBetween(Window.unboundedPreceding, 0)
-    to_come = up.rowsBetween(0, Window.unboundedFollowing)
+    # equal p-values get equal results, so each is one row with the places its tests take
+    sizes = df.filter(F.col(p).isNotNull()).groupBy(F.col(family).alias("_f"), F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    sizes = saved(sizes, "sizes")
+    totals = sizes.groupBy("_f").agg(F.sum("_n").alias("_m"))
     if method == "fdr_by":
-        harmonic = F.aggregate(F.sequence(F.lit(1).cast("long"), n), F.lit(0.0), lambda a, k: a + F.lit(1.0) / k)
-    raw = {
-        "bonferroni": lambda: x * n,
-        "sidak": lambda: 1 - F.pow(1 - x, n),
-        "holm": lambda: F.max(x * (n - i + 1)).over(so_far),
-        "holm-sidak": lambda: F.max(1 - F.pow(1 - x, n - i + 1)).over(so_far),
-        "simes-hochberg": lambda: F.min(x * (n - i + 1)).over(to_come),
-        "fdr_bh": lambda: F.min(x * n / i).over(to_come),
-        "fdr_by": lambda: F.min(x * n * harmonic / i).over(to_come),
-    }[method]()
-    out = df.withColumn("corrected", F.least(raw, F.lit(1.0))).drop("_m", "_i")
+        few = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least("_m", F.lit(1000))), F.lit(0.0), lambda a, k: a + F.lit(1.0) / k)
+        m = F.col("_m").cast("double")
+        series = F.log(m) + EULER + 1 / (2 * m) - 1 / (12 * m * m)  # exact to a double from 1,000 on
+        totals = totals.withColumn("_harmonic", F.when(F.col("_m") <= 1000, few).otherwise(series))
+    ranked = saved(Q.with_running_counts(sizes, "_p", ["_n"], ["_f"]).join(totals, "_f"), "ranked")
+    x, n = F.col("_p"), F.col("_m")
+    first, last = F.col("_before_n") + 1, F.col("_before_n") + F.col("_n")
+    plain = {"bonferroni": x * n, "sidak": 1 - F.pow(1 - x, n)}
+    upward = {"holm": x * (n - first + 1), "holm-sidak": 1 - F.pow(1 - x, n - first + 1)}
+    downward = {"simes-hochberg": x * (n - last + 1), "fdr_bh": x * n / last, "fdr_by": x * n * F.col("_harmonic") / last if method == "fdr_by" else x}
+    if method in plain:
+        values = ranked.withColumn("corrected", plain[method])
+    elif method in upward:
+        values = Q.with_extreme_so_far(ranked.withColumn("_v", upward[method]), "_p", "_v", ["_f"], "corrected")
+    else:
+        values = Q.with_extreme_so_far(ranked.withColumn("_v", downward[method]), "_p", "_v", ["_f"], "corrected", falling=True)
+    values = values.select("_f", "_p", F.least("corrected", F.lit(1.0)).alias("corrected"))
+    same = df[family].eqNullSafe(F.col("_f")) & (df[p] == F.col("_p"))
+    out = df.join(values, same, "left").drop("_f", "_p")
     return out.withColumn("significant", F.col("corrected") <= alpha)
 
 

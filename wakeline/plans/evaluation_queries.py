@@ -274,6 +274,16 @@ def failure_clusters(spark, sf):
     return near.withColumn("silhouette", F.lit(silhouette))
 
 
+@query("evl16_cluster_facts", _WORST + " SELECT count(*) AS cases, 5::BIGINT AS clusters, true AS nearest, true AS apart FROM wc")
+def failure_cluster_facts(spark, sf):
+    """Every case is in a cluster, representatives are its nearest cases, and clusters are apart."""
+    found, silhouette = FA.cluster_cases(_worst(spark, sf), _CASE_COLS, k=5)
+    near = FA.representatives(found).groupBy("cluster").agg(F.max("distance").alias("far"), F.count("*").alias("shown"))
+    closer = found.join(near, "cluster").groupBy("cluster").agg(F.count("*").alias("cases"), F.count_if(F.col("distance") < F.col("far")).alias("closer"), F.first("shown").alias("shown"))
+    return closer.agg(F.sum("cases").alias("cases"), F.count("*").alias("clusters"), F.bool_and(F.col("closer") < F.col("shown")).alias("nearest"),
+                      F.lit(silhouette > 0).alias("apart"))
+
+
 @query("evl17_cluster_profiles", _WORST + """, cl AS (SELECT *, CASE WHEN port_km<3 THEN 0 WHEN port_km<6 THEN 1 ELSE 2 END AS cluster, coalesce(ship_type,0) AS vt FROM wc),
 tc AS (SELECT cluster, vt, count(*) AS n FROM cl GROUP BY 1,2), tp AS (SELECT cluster, arg_max(vt,(n,vt)) AS dominant_type, max(n) AS m FROM tc GROUP BY 1)
 SELECT cl.cluster, count(*) AS cases, avg(port_km) AS mean_port_km, stddev_pop(port_km) AS std_port_km, avg(error) AS mean_error, avg(vc) AS mean_vessel_count_5km, stddev_pop(vc) AS std_vessel_count_5km,

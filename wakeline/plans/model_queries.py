@@ -157,6 +157,24 @@ def forest(spark, sf):
     return out.select("event_id", "pred_lat_h1", "pred_lon_h1", "pred_lat_h3", "pred_lon_h3")
 
 
+@query("mdl4_forest_facts", with_sql("step") + """, t AS (SELECT time, seg_row, lead(lat) OVER s-lat AS move FROM step WINDOW s AS (PARTITION BY mmsi, segment_id ORDER BY time, event_id))
+SELECT count(*) AS scored, count(move) AS with_truth, avg(abs(move)) AS no_change_error, true AS complete, true AS better FROM t WHERE seg_row>3 AND time>=TIMESTAMP '2024-01-01 08:00:00'""", "no_change_error", 9)
+def forest_facts(spark, sf):
+    """All later rows get a forecast, and on the whole it beats standing still."""
+    m = _matrix(spark, sf)
+    models = M.fit_forest(m.filter("split = 'train'"), horizons=(1,), trees=8, depth=5)
+    out = M.apply_forest(models, m.filter("split <> 'train'"))
+    still, miss = F.avg(F.abs("lat_t1")), F.avg(F.abs(F.col("pred_lat_t1") - F.col("lat_t1")))
+    return out.agg(F.count("*").alias("scored"), F.count("lat_t1").alias("with_truth"), still.alias("no_change_error"),
+                   (F.count_if(F.col("pred_lat_h1").isNull()) == 0).alias("complete"), (miss < still).alias("better"))
+
+
+@query("mdl4_importance_sums", "SELECT unnest([1, 1, 3, 3])::INT AS horizon, unnest(['lat', 'lon', 'lat', 'lon']) AS target, 22 AS features, 1.0::DOUBLE AS total", "total")
+def importance_sums(spark, sf):
+    found = importances(spark, sf)
+    return found.groupBy("horizon", "target").agg(F.count("*").cast("int").alias("features"), F.sum("importance").alias("total"))
+
+
 @query("mdl4_forest_rolling")
 def forest_rolling(spark, sf):
     m = _matrix(spark, sf)
@@ -181,6 +199,20 @@ def boosted(spark, sf):
     return out.select("sample_id", *[f"pred_{c}_{s}" for s in (1, 2) for c in ("lat", "lon")])
 
 
+@query("mdl5_boosted_facts", with_sql("seg") + """, wn AS (SELECT list(lat) OVER o AS la, time FROM seg WINDOW o AS (PARTITION BY mmsi, segment_id ORDER BY time, event_id ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+w AS (SELECT la, time<TIMESTAMP '2024-01-01 08:00:00' AS train FROM wn WHERE len(la)=8)
+SELECT count(*) AS scored, avg(abs(la[7]-mean)) AS mean_error, true AS complete, true AS better FROM w, (SELECT avg(la[7]) AS mean FROM w WHERE train) WHERE NOT train""", "mean_error", 9)
+def boosted_facts(spark, sf):
+    """All later windows get a forecast, and on the whole it beats the training mean."""
+    seq = SP.by_cut_date(FE.sequences(A.segments(spark, sf), 6, 2, keys=("mmsi", "segment_id")), "start_time", "2024-01-01 08:00:00", 1)
+    train = seq.filter("split = 'train'")
+    out = M.apply_boosted(M.fit_boosted(train, (1,), ("lat",), rounds=5, depth=3), seq.filter("split <> 'train'"))
+    true = F.element_at("target", 1)["lat"]
+    mean = train.agg(F.avg(true).alias("mean")).first()["mean"]
+    plain, miss = F.avg(F.abs(true - F.lit(mean))), F.avg(F.abs(true - F.col("pred_lat_1")))
+    return out.agg(F.count("*").alias("scored"), plain.alias("mean_error"), (F.count_if(F.col("pred_lat_1").isNull()) == 0).alias("complete"), (miss < plain).alias("better"))
+
+
 @query("mdl6_batch_scoring", with_sql("pos") + """
 SELECT event_id, CASE WHEN sog<=25 THEN sqrt(sog) END AS score, CASE WHEN sog>25 THEN 'ValueError: too fast' END AS error FROM pos WHERE sog IS NOT NULL""", "score")
 def batch_scoring(spark, sf):

@@ -29,7 +29,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back (cuts lineage)."""
-    path = scratch_path(df.sparkSession, label)
+    """Write a frame to the shared folder and read it back (cuts lineage).
+
+    The table stays as long as the application, as results may read it late.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _drop_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system delete a written table when the application ends."""
+    written = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(written)
