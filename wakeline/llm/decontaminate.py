@@ -15,7 +15,7 @@ Only windows of the benchmark and hits are shuffled. The benchmark side of the j
 size check. Windows are compared by 64-bit hashes.
 
 Defined results: a null or empty text is clean. Rows with equal doc_id and text count as one document and
-get equal results; null doc_ids take part. Items that repeat are separate items. Other columns are kept
+get equal results; null doc_ids take part. Items without id count as item -1. Other columns are kept
 (``decontaminate``) or ignored (``hits``), whatever their names.
 """
 
@@ -75,8 +75,8 @@ def _hashes(found: DataFrame, size: int) -> Column:
 def _items(benchmark: DataFrame, p: Decontamination) -> DataFrame:
     """item, its window size, its windows (pos, hash) and their number."""
     text = whole_text(F.col("text").cast("string"))
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"))
-    # items have a name of their own, so that equal or null ids stay apart
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), text.alias("text"))
+    # items of one id stay apart by their texts
     rows = rows.withColumn("item", F.struct("item_id", F.xxhash64("text").alias("of"))).withColumn("words", tokens(F.col("text")))
     rows = rows.filter(F.size("words") > 0).withColumn("size", F.least(F.size("words"), F.lit(p.window)))
     starts = F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)
