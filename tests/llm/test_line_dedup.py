@@ -45,6 +45,11 @@ def test_overlaps_chains_and_ends(spark):
     check(spark, [(len(texts) - i, "\n".join(t)) for i, t in enumerate(texts)], 9)
 
 
+def test_large_lists_join_by_sorting(spark, monkeypatch):
+    monkeypatch.setattr(L, "BROADCAST_BYTES", -1)
+    check(spark, odd_texts(), 20)
+
+
 def test_long_copy_without_doubling_to_its_length(spark):
     lines = [f"line number {i} of a long text" for i in range(400)]
     check(spark, [(1, "\n".join(lines)), (2, "\n".join(lines)), (3, "\n".join(["start", *lines[100:300], "end"]))], 20)

@@ -30,6 +30,8 @@ from wakeline.llm.common import BLANKS, words
 from wakeline.session import saved
 
 MIN_WORDS = 20
+#: Up to this measured size the list of deleted lines is broadcast, so that the texts needn't be shuffled.
+BROADCAST_BYTES = 16 << 20
 _LINE_BITS = 26
 
 
@@ -125,6 +127,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without their repeated lines; ``_lines_deleted`` has the number of deleted lines."""
     gone = saved(repeated_lines(docs, min_words), "places").select(F.col("doc_id").alias("_of"), F.col("h").alias("_h"), F.col("places").alias("_places"))
+    size = gone.agg((24 * F.count("*") + 4 * F.coalesce(F.sum(F.size("_places")), F.lit(0))).alias("bytes")).first()["bytes"]
+    if size <= BROADCAST_BYTES:  # a small list travels to the texts; a larger one meets them by a sort-merge join
+        gone = F.broadcast(gone)
     text = F.col("text").cast("string")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_of")) & (F.xxhash64(text) == F.col("_h"))
     joined = docs.join(gone, same, "left")
