@@ -273,14 +273,18 @@ def collision_dataset(spark, sf):
     return samples.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.element_at("input", -1)["num_nearby"]).cast("double").alias("total"))
 
 
-@query("udf3_graph_dataset", _RESAMPLED + f""", nd AS (SELECT bin//600*600 AS win, {_NEARBY.replace("rs1", "rs")} AS degree FROM rs),
+# graphs from a fix every five minutes
+_SPARSE = _RESAMPLED.replace("//60000000*60 AS bin", "//300000000*300 AS bin").replace("max(bin)+60, 60)", "max(bin)+300, 300)")
+
+
+@query("udf3_graph_dataset", _SPARSE + f""", nd AS (SELECT bin//600*600 AS win, {_NEARBY.replace("rs1", "rs")} AS degree FROM rs),
 wn AS (SELECT win, count(*) AS size, sum(degree) AS degree FROM nd GROUP BY 1 HAVING count(*)>=2),
 sp AS (SELECT *, row_number() OVER (ORDER BY substr(md5(win||'-42'),1,15), win)-1 AS i, count(*) OVER () AS n FROM wn)
 SELECT CASE WHEN i<n//10 THEN 'test' WHEN i<n//10+n//5 THEN 'validation' ELSE 'train' END AS split, sum(size)::BIGINT AS n, count(*) AS windows, sum(degree)::DOUBLE AS total FROM sp GROUP BY 1""", "total", 4)
 def graph_dataset(spark, sf):
     from wakeline.operators import tasks as TK
 
-    samples = TK.build_dataset("graph_network", A.positions(spark, sf))
+    samples = TK.build_dataset("graph_network", A.positions(spark, sf), TK.TaskConfig(step_s=300))
     return samples.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("window").alias("windows"),
                                         F.sum(F.element_at("input", 1)["degree"]).cast("double").alias("total"))
 
