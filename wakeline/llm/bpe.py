@@ -5,8 +5,8 @@ else its bytes are token-position rows, and each round of a recursive query join
 the merge table and contracts each match's leftmost pair of minimum rank, until no pair merges. Decoding
 joins ids with the vocabulary and aggregates the bytes in the order of their positions.
 
-Equal matches of a run of texts are encoded once, and a worker keeps the latest results in a cache of
-bounded size. Memory: one run of texts (4 million characters, or one longer text), the cache and DuckDB's limit. A match
+Equal matches of a run of texts are encoded once, and a task keeps the latest results in a cache of
+bounded size, which it gives back. Memory: one run of texts (a million characters, or one longer text), the cache and DuckDB's limit. A match
 of n bytes takes up to n rounds over n rows.
 
 Defined results: a null or empty text has no ids, and decodes to nothing. Repeated rows are encoded each.
@@ -16,8 +16,10 @@ An unpaired surrogate can't occur in a Spark string. Other columns are ignored,
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import duckdb
 import numpy as np
@@ -26,8 +28,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-#: Matches whose results a worker keeps, and characters of text encoded at once.
-CACHE, RUN_CHARS = 400_000, 4_000_000
+#: Matches whose results a task keeps (twice as many over two generations), and characters of text encoded at once.
+CACHE, RUN_CHARS = 120_000, 1_000_000
 #: The rank file goes to the executors with the task; larger ones are refused.
 MOST_RANK_BYTES = 32 << 20
 
@@ -67,7 +69,7 @@ class Coder:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in rank_file.splitlines() if line.strip())}
         self.split = regex.compile(pattern).findall
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB"})
         halves = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items()
                   for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         table = np.array(halves, np.int64).reshape(-1, 3)
@@ -127,19 +129,25 @@ class Coder:
             self.known.update(zip(new, zip(self._texts(_JOINED, coded, ""), self.decode(coded))))
 
 
-_CODERS: dict[str, Coder] = {}
+@contextmanager
+def _coder(rank_file: bytes, pattern: str) -> Iterator[Coder]:
+    """A coder for one task. Workers live on between tasks, so what it holds is given back."""
+    coder = Coder(rank_file, pattern)
+    try:
+        yield coder
+    finally:
+        coder.known.clear()
+        coder.older.clear()
+        coder.db.close()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
-def _coder(rank_file: bytes, pattern: str) -> Coder:
-    name = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
-    if name not in _CODERS:
-        _CODERS[name] = Coder(rank_file, pattern)
-    return _CODERS[name]
-
-
-def _runs(texts: list[str]) -> Iterator[list[str]]:
+def _runs(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in runs; nulls are empty. Only one run at a time becomes Python strings."""
     run, size = [], 0
-    for text in texts:
+    for value in texts:
+        text = value.as_py() or ""
         if run and size + len(text) > RUN_CHARS:
             yield run
             run, size = [], 0
@@ -177,18 +185,18 @@ def encode(docs: DataFrame, path: str, pattern: str, outputs: Sequence[str] = ("
     rank_file = rank_bytes(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(rank_file, pattern)
-        for batch in batches:
-            at = 0
-            for texts in _runs(pc.fill_null(batch.column(1), "").to_pylist()):
-                split = [coder.split(t) for t in texts]
-                coder.learn(set().union(*split))
-                found = [[coder.known[m] for m in matches] for matches in split]
-                ids = [",".join([f[0] for f in row]) for row in found]
-                data = [b"".join([f[1] for f in row]) for row in found]
-                n = [s.count(",") + 1 if s else 0 for s in ids]
-                yield pa.record_batch({"doc_id": batch.column(0).slice(at, len(texts)), "n_tokens": pa.array(n, pa.int64()), **_outputs(ids, data, outputs)})
-                at += len(texts)
+        with _coder(rank_file, pattern) as coder:
+            for batch in batches:
+                at = 0
+                for texts in _runs(batch.column(1)):
+                    split = [coder.split(t) for t in texts]
+                    coder.learn(set().union(*split))
+                    found = [[coder.known[m] for m in matches] for matches in split]
+                    ids = [",".join([f[0] for f in row]) for row in found]
+                    data = [b"".join([f[1] for f in row]) for row in found]
+                    n = [s.count(",") + 1 if s else 0 for s in ids]
+                    yield pa.record_batch({"doc_id": batch.column(0).slice(at, len(texts)), "n_tokens": pa.array(n, pa.int64()), **_outputs(ids, data, outputs)})
+                    at += len(texts)
 
     slim = docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text")
     return slim.mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"{name} {OUTPUTS[name]}" for name in outputs))
@@ -199,9 +207,9 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     rank_file = rank_bytes(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(rank_file, pattern)
-        for batch in batches:
-            coded = pa.table({"word": np.arange(batch.num_rows, dtype=np.int32), "ids": pc.fill_null(batch.column(1), [])})
-            yield pa.record_batch({"doc_id": batch.column(0), "decoded": pa.array(coder.decode(coded), pa.binary())})
+        with _coder(rank_file, pattern) as coder:
+            for batch in batches:
+                rows = pa.table({"word": np.arange(batch.num_rows, dtype=np.int32), "ids": pc.fill_null(batch.column(1), [])})
+                yield pa.record_batch({"doc_id": batch.column(0), "decoded": pa.array(coder.decode(rows), pa.binary())})
 
     return coded.selectExpr("cast(doc_id AS long) AS doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")

@@ -117,7 +117,7 @@ def scan(docs: DataFrame) -> DataFrame:
         automaton = _automaton()
         kind = pa.list_(pa.struct({"kind": pa.string(), "start": pa.int64(), "end": pa.int64()}))
         for batch in batches:
-            found = [[dict(zip(("kind", "start", "end"), s)) for s in find(t or "", automaton)] for t in batch.column(1).to_pylist()]
+            found = [[dict(zip(("kind", "start", "end"), s)) for s in find(t.as_py() or "", automaton)] for t in batch.column(1)]
             yield pa.record_batch({"doc_id": batch.column(0), "found": pa.array(found, kind)})
 
     slim = docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text")

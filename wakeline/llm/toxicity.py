@@ -25,7 +25,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -141,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_other = [_measure(*pairs[1], p), _measure(*pairs[0], p)]
         for batch in batches:
-            found = [by_other[half](t) for t, half in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
+            found = [by_other[half](t.as_py()) for t, half in zip(batch.column(1), batch.column(3).to_pylist())]
             yield pa.record_batch({"doc_id": batch.column(0), "toxic": batch.column(2), "x": pa.array(found, pa.list_(pa.float64()))})
 
     fitted = sample.select("doc_id", "text", "toxic", "half").mapInArrow(run, "doc_id long, toxic int, x array<double>").orderBy("doc_id").collect()
@@ -160,7 +159,7 @@ def score(docs: DataFrame, model: Model, p: Toxicity = Toxicity()) -> DataFrame:
         w = np.array(model.weights)
         for batch in batches:
             if len(w):
-                x = np.array([measure(t) for t in pc.fill_null(batch.column(1), "").to_pylist()]).reshape(-1, len(w))
+                x = np.array([measure(t.as_py() or "") for t in batch.column(1)]).reshape(-1, len(w))
                 found = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             else:
                 found = np.full(batch.num_rows, model.prior)
