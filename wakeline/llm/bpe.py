@@ -5,8 +5,8 @@ else its bytes are token-position rows, and each round of a recursive query join
 the merge table and contracts each match's leftmost pair of minimum rank, until no pair merges. Decoding
 joins ids with the vocabulary and aggregates the bytes in the order of their positions.
 
-Equal matches of a run of texts are encoded once, and a task keeps the latest results in a cache of
-bounded size, which it gives back. Memory: one run of texts (a million characters, or one longer text), the cache and DuckDB's limit. A match
+Equal matches of a run of texts are encoded once, and a worker keeps the latest results in a cache of
+bounded size, half of which a task gives back. Memory: one run of texts (a million characters, or one longer text), the cache and DuckDB's limit. A match
 of n bytes takes up to n rounds over n rows.
 
 Defined results: a null or empty text has no ids, and decodes to nothing. Repeated rows are encoded each.
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-#: Matches whose results a task keeps (twice as many over two generations), and characters of text encoded at once.
+#: Matches whose results a worker keeps (twice as many over two generations), and characters of text encoded at once.
 CACHE, RUN_CHARS = 120_000, 1_000_000
 #: The rank file goes to the executors with the task; larger ones are refused.
 MOST_RANK_BYTES = 32 << 20
@@ -129,16 +129,19 @@ class Coder:
             self.known.update(zip(new, zip(self._texts(_JOINED, coded, ""), self.decode(coded))))
 
 
+_CODERS: dict[str, Coder] = {}
+
+
 @contextmanager
 def _coder(rank_file: bytes, pattern: str) -> Iterator[Coder]:
-    """A coder for one task. Workers live on between tasks, so what it holds is given back."""
-    coder = Coder(rank_file, pattern)
+    """A worker's coder. Workers idle between tasks, so a task gives back the older half of the cache."""
+    name = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
+    if name not in _CODERS:
+        _CODERS[name] = Coder(rank_file, pattern)
     try:
-        yield coder
+        yield _CODERS[name]
     finally:
-        coder.known.clear()
-        coder.older.clear()
-        coder.db.close()
+        _CODERS[name].older.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
 
