@@ -65,3 +65,20 @@ def test_empty_tables(spark, no_documents, bench, odd):
 def test_main_path_runs_no_python(odd, bench):
     plan = D.mark(odd, bench)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def _found(spark, items, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {r.doc_id: list(r["items"]) for r in D.mark(docs, bench).collect()}
+
+
+def test_what_precedes_a_text_changes_nothing(spark):
+    items = ["What is the largest planet in our solar system today?", "What is the oldest bridge?",
+             "Tom has 3 red balls. Tom buys 4 more balls. Tom gives 2 to Ann. How many are left?"]
+    other = "Eva has 8 red balls. Eva buys 9 more balls. Eva gives 5 to Lea. How many are left?"
+    texts = [f"{before}{items[i]} {after}" for i in (0, 1) for before in ("1) ", "He asked, ", "and so on ", "Here: ", "") for after in ("", "And more")]
+    texts += [items[0].lower(), "It is in our solar system today", other, f"He said, {other}", other.replace("Eva gives", "Ida gives")]
+    got = _found(spark, items, texts)
+    assert [got[i] for i in range(20)] == [[0]] * 10 + [[1]] * 10
+    assert [got[i] for i in range(20, 25)] == [[0], [], [2], [2], []]
