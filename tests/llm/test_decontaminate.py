@@ -82,3 +82,12 @@ def test_what_precedes_a_text_changes_nothing(spark):
     got = _found(spark, items, texts)
     assert [got[i] for i in range(20)] == [[0]] * 10 + [[1]] * 10
     assert [got[i] for i in range(20, 25)] == [[0], [], [2], [2], []]
+
+
+def test_copies_rich_in_numbers_and_names_are_found(spark):
+    items = ["Compute 12 + 45 - 7 * 3 / 9.", "Solve 3x + 5 = 20 and 2, 4, 6, 8, 10, 12.", "Sort 14, 3, 9, 27, 81, 5, 60.",
+             "1 2 3 4 5 6 7 8 9 10 11 12 13 14", "with Anna, Bert, Carl, Dora, Emil, Fred, Gerd, Hans, Ida"]
+    texts = [f"Some words. {i} And more." for i in items]
+    texts += ["Compute 13 + 46 - 8 * 4 / 10.", "20 21 22 23 24 25 26 27 28 29 30 31 32 33", "with Nina, Olaf, Paul, Rosa, Sven, Tina, Udo, Vera, Willi"]
+    got = _found(spark, items, texts)
+    assert [got[i] for i in range(len(texts))] == [[0], [1], [2], [3], [4], [], [], []]

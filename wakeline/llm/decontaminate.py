@@ -10,8 +10,9 @@ it counts with ``least_windows`` windows or all of the item's. Then the slots ar
 alignment, every value of the item must stand for one value of the document (3 -> 5 everywhere), which
 keeps re-parameterised questions and drops texts that merely share a form.
 
-Fixed by definition: windows with more than half placeholders say nothing and are left out, on both sides.
-Items shorter than a window are matched as a whole; items without words match nothing.
+Fixed by definition: template windows with more than half placeholders say nothing and are left out, on both
+sides; literal windows are never left out, so copies of texts rich in numbers or names are found by them.
+Items shorter than a window are matched as a whole; items without a word or number match nothing.
 
 Only windows of the benchmark and hits are shuffled. The benchmark side of the join is left to Spark's own
 size check. Windows are compared by 64-bit hashes.
@@ -133,7 +134,7 @@ def _items(benchmark: DataFrame, p: Decontamination) -> DataFrame:
     window = F.transform(starts, lambda i: F.struct(
         i.alias("place"), *[_hash(t, i, F.col("size")).alias(t) for t in ("t0", "t1", "t2")],
         filled(i, NUMBER, UNIT, NAME).alias("filled1"), filled(i, NUMBER, UNIT, NAME, FIRST).alias("filled2")))
-    return rows.select("item", "marked", "size", window.alias("windows"), "opens").withColumn("n_all", F.size(F.filter(F.col("windows.filled1"), lambda full: full)))
+    return rows.select("item", "marked", "size", window.alias("windows"), "opens").withColumn("n_all", F.size("windows"))
 
 
 def _known(items: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def _known(items: DataFrame) -> DataFrame:
         n = F.size(F.filter(F.col(f"windows.filled{form}"), lambda full: full))
         # without a word that opens a sentence the open template is the template
         of = items.filter("opens") if form == 2 else items
-        of = of.select("item", "size", "n_all", n.alias("n_filled"), F.lit(form).alias("form"), F.explode("windows").alias("w")).filter("w.filled1")
+        of = of.select("item", "size", "n_all", n.alias("n_filled"), F.lit(form).alias("form"), F.explode("windows").alias("w"))
         literal = F.struct(F.col("w.t0").alias("hash"), F.lit(True).alias("literal"))
         template = F.struct(F.col(f"w.t{form}").alias("hash"), F.lit(False).alias("literal"))
         either = F.when(filled & (F.col("w.t0") != F.col(f"w.t{form}")), F.array(literal, template)).otherwise(F.array(literal))
