@@ -91,3 +91,16 @@ def test_copies_rich_in_numbers_and_names_are_found(spark):
     texts += ["Compute 13 + 46 - 8 * 4 / 10.", "20 21 22 23 24 25 26 27 28 29 30 31 32 33", "with Nina, Olaf, Paul, Rosa, Sven, Tina, Udo, Vera, Willi"]
     got = _found(spark, items, texts)
     assert [got[i] for i in range(len(texts))] == [[0], [1], [2], [3], [4], [], [], []]
+
+
+def test_an_edited_slot_spoils_only_its_run(spark):
+    words = "the old harbour was closed by the council after storms had broken every wall along its northern side"
+    year = f"in 2020 {words} and in 2020 it was opened again"
+    german = "damals sah der Hafen noch anders aus als heute und viele kleine boote lagen dort am ufer bis der Hafen dann geschlossen wurde"
+    roles = "she pays 3 coins for every loaf of bread that he bakes, then some quite unlike things follow and he sells 3 sheep to the farmer who lives by the river"
+    # runs of 11 and 13 tokens: the roles of 3 are asked for in each alone
+    changed = roles.replace("3 coins", "7 coins").replace("3 sheep", "9 sheep")
+    texts = [year.replace("in 2020 it", "in 2021 it"), german.replace("der Hafen dann", "der Kanal dann"),
+             changed.replace("some quite unlike things", "a few very other words"), changed, "in 2021 the old harbour was closed by the mayor and in 2022 it was opened again"]
+    got = _found(spark, [year, german, roles], texts)
+    assert [got[i] for i in range(5)] == [[0], [1], [2], [2], []]

@@ -6,9 +6,10 @@ into typed placeholders (words in capitals are no names). As an open template: c
 sentence or a list item are placeholders of names, too, so a reading never hangs on what precedes the text.
 Windows of ``window`` tokens of the documents are hash-joined with those of the benchmark items, any reading
 with any. Hits of a document and an item on one diagonal (same distance between their places) are an alignment;
-it counts with ``least_windows`` windows or all of the item's. Then the slots are checked: along an
-alignment, every value of the item must stand for one value of the document (3 -> 5 everywhere), which
-keeps re-parameterised questions and drops texts that merely share a form.
+it counts with ``least_windows`` windows or all of the item's. Then the slots are checked: in a run of matched
+windows that touch, every value of the item must stand for one value of the document (3 -> 5 everywhere), which
+keeps re-parameterised questions and drops texts that merely share a form. Windows equal in their literal
+values count whatever the slots of their run say.
 
 Fixed by definition: template windows with more than half placeholders say nothing and are left out, on both
 sides; literal windows are never left out, so copies of texts rich in numbers or names are found by them.
@@ -178,8 +179,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamina
     line, before = Window.partitionBy(*_LINE), Window.partitionBy(*_LINE).orderBy("place")
     met = met.withColumns({"n": F.count("*").over(line), "n_met": F.count_if("filled").over(line), "n_literal": F.count_if("literal").over(line),
                            "_new": F.when(F.col("place") - F.lag("place").over(before) <= F.col("size"), 0).otherwise(1)})
-    met = met.withColumn("run", F.lit(1)).filter(_counts(p, F.col("n"), F.col("n_met")))
-    sure = F.lit(False)
+    met = met.withColumn("run", F.sum("_new").over(before)).filter(_counts(p, F.col("n"), F.col("n_met")))
+    sure = F.col("n_literal") >= F.least(F.lit(p.least_windows), F.col("n_all"))
     met = saved(met.withColumn("sure", sure).drop("n", "n_met", "n_literal", "_new"), "alignments")
     good = met.filter("sure").unionByName(_consistent(slim, items, met.filter("not sure")))
     lines = good.groupBy(*_LINE, "n_all", "n_filled").agg(F.count("*").alias("n"), F.count_if("filled").alias("n_met"))
@@ -188,7 +189,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamina
 
 
 def _consistent(slim: DataFrame, items: DataFrame, met: DataFrame) -> DataFrame:
-    """Windows of the runs in which every value of the item stands for one value of the document."""
+    """Windows of the runs in which every value of the item stands for one value of the document, and literal ones."""
     runs = met.groupBy(*_LINE, "run").agg(F.min("place").alias("lo"), F.max(F.col("place") + F.col("size") - 1).alias("hi"))
     given = items.select("item", F.posexplode("marked").alias("at", "value")).withColumn("at", F.col("at") + 1)
     given = given.filter(_kind(F.col("value")).isin(NUMBER, UNIT, NAME, FIRST))
@@ -208,6 +209,7 @@ def _consistent(slim: DataFrame, items: DataFrame, met: DataFrame) -> DataFrame:
     broken = pairs.groupBy(*_LINE, "run", "value").agg(F.countDistinct("other").alias("n")).filter("n > 1")
     broken = broken.select(*[F.col(c).alias(f"bad_{c}") for c in (*_LINE, "run")]).distinct()
     kept = [met[c].eqNullSafe(F.col(f"bad_{c}")) for c in (*_LINE, "run")]
+    kept.append(~met["literal"])
     return met.join(broken, kept, "left_anti")
 
 
