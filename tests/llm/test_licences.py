@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -40,3 +41,15 @@ def test_scan_counts(spark, odd, no_documents):
 def test_main_path_runs_no_python(odd, model):
     plan = L.findings(odd, model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_notices_in_long_lines_are_found(spark, odd, model):
+    rnd = random.Random(5)
+    ordinary = lambda n: " ".join(f"w{rnd.randrange(300)}" for _ in range(n))
+    notices = [(name, t) for name in L.FAMILIES for t in L.TEMPLATES[name]]
+    rows = [(i, f"{ordinary(800 + 7 * i)} {t} {ordinary(5 * i)}") for i, (_, t) in enumerate(notices)]
+    rows += [(100, f"{ordinary(300)} Licensed under the Mozilla Public License 2.0. {ordinary(300)} Released under the MIT License."), (101, ordinary(3000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.family) for r in L.findings(docs, model).collect()}
+    assert sum((i, name) in found for i, (name, _) in enumerate(notices)) >= 0.9 * len(notices)
+    assert {(100, "mit"), (100, "mpl-2.0")} <= found and 101 not in {d for d, _ in found}

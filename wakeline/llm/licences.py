@@ -6,7 +6,8 @@ a sparse multinomial logistic regression separates the licence families, other l
 at either end, with a word left out, between ordinary words) and from a bounded number of paragraphs of
 the corpus that hold no licence word. A held-out part of them calibrates the probabilities (temperature)
 and the least probability at which a family is named; below it the verdict is ``unknown``. A named family
-is confirmed by the share of one of its templates' word pairs that the paragraph holds.
+is confirmed by the share of one of its templates' word pairs that the paragraph holds. A paragraph longer
+than the examples is classified in overlapping pieces of their length, so that every notice is whole in one.
 
 Bounds (documented parameters): ``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS`` characters give the
 ordinary paragraphs. Every paragraph of every document is classified.
@@ -61,6 +62,8 @@ TEMPLATES = {
 }
 FAMILIES = tuple(k for k in TEMPLATES if k not in ("unknown", "none"))
 CLASSES = tuple(TEMPLATES)
+#: Ordinary words around a template in the examples.
+AROUND = 24
 _TRIGGERS = "licen|copyright|reserved|permission|redistribut|permitted|public domain|proprietary"
 
 
@@ -82,6 +85,16 @@ def _plain(template: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in template.lower()).split()
 
 
+#: Words of a piece: those of the longest template and the words around it. Pieces overlap by the longest template.
+PIECE = AROUND + max(len(_plain(t)) for of in TEMPLATES.values() for t in of)
+
+
+def _pieces(words: Column) -> Column:
+    """The words of a line in overlapping pieces; a line of at most ``PIECE`` words is one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (PIECE - AROUND)), F.lit(AROUND))
+    return F.when(F.size(words) <= PIECE, F.array(words)).otherwise(F.transform(starts, lambda i: F.slice(words, i, PIECE)))
+
+
 def _pairs(words: Column) -> Column:
     """Two-word sequences; a single word stands for itself."""
     return F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(words)
@@ -92,8 +105,8 @@ def _variants(words: list[str], ordinary: list[str]) -> list[list[str]]:
     n = len(words)
     found = [words] + [words[i:] for i in (1, 2, 3) if n - i >= 4] + [words[:-i] for i in (1, 2, 3) if n - i >= 4]
     found += [words[:i] + words[i + 1:] for i in range(n) if n >= 6]
-    for i in range(0, max(0, len(ordinary) - 24), 24):
-        found.append(ordinary[i:i + 8] + words + ordinary[i + 8:i + 24])
+    for i in range(0, max(0, len(ordinary) - AROUND), AROUND):
+        found.append(ordinary[i:i + 8] + words + ordinary[i + 8:i + AROUND])
     return found
 
 
@@ -156,11 +169,15 @@ def _calibrated(model: LicenceModel, held: DataFrame) -> LicenceModel:
 
 
 def findings(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """doc_id, h (hash of the text), place of the line, ``family`` or unknown, probability and similarity of every licence paragraph."""
+    """doc_id, h (hash of the text), place of the line, ``family`` or unknown, probability and similarity of every licence paragraph.
+
+    A paragraph in which several pieces name families has a row for each of them, with the highest values.
+    """
     spark = docs.sparkSession
     text = whole_text(F.col("text").cast("string"))
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
     rows = lines.select("doc_id", "h", "place", _word_list(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    rows = rows.withColumn("words", F.explode(_pieces(F.col("words"))))
     ranked = _rank(rows, model).filter("family <> 'none'")
     known = [(name, _plain(t)) for name in FAMILIES for t in TEMPLATES[name]]
     templates = spark.createDataFrame(known, "family string, template array<string>").select("family", F.array_distinct(_pairs(F.col("template"))).alias("of"))
@@ -170,14 +187,20 @@ def findings(docs: DataFrame, model: LicenceModel) -> DataFrame:
     share = F.transform("templates", lambda t: F.size(F.array_intersect("own", t)) / F.size(t))
     out = joined.withColumn("similarity", F.coalesce(F.array_max(share), F.lit(0.0)))
     sure = (F.col("similarity") >= LEAST_SIMILARITY) & (F.col("probability") >= model.least)
-    return out.select("doc_id", "h", "place", F.when(sure, F.col("family")).otherwise("unknown").alias("family"), "probability", "similarity")
+    best = [F.max(c).alias(c) for c in ("probability", "similarity")]
+    out = out.withColumn("sure", sure).groupBy("doc_id", "h", "place", F.col("family").alias("named")).agg(
+        F.max("sure").alias("sure"), *[F.coalesce(F.max(F.when(F.col("sure"), F.col(c))), F.max(c)).alias(c) for c in ("probability", "similarity")])
+    # a family named by one piece isn't unknown for another that holds a part of the notice
+    return out.groupBy("doc_id", "h", "place", F.when(F.col("sure"), F.col("named")).otherwise("unknown").alias("family")).agg(*best)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs, n_licences, n_unknown and ``families`` (sorted names) of every document."""
     found = saved(findings(docs, train(docs)), "licences")
-    per = found.dropDuplicates(["doc_id", "h", "place"]).groupBy(F.col("doc_id").alias("_of"), F.col("h").alias("_h")).agg(
-        F.count("*").alias("n_licences"), F.count_if(F.col("family") == "unknown").alias("n_unknown"), F.sort_array(F.collect_set("family")).alias("families"))
+    lines = found.groupBy("doc_id", "h", "place").agg(F.collect_set("family").alias("named"))
+    per = lines.groupBy(F.col("doc_id").alias("_of"), F.col("h").alias("_h")).agg(
+        F.count("*").alias("n_licences"), F.count_if(F.array_contains("named", "unknown")).alias("n_unknown"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("named")))).alias("families"))
     text = whole_text(F.col("text").cast("string"))
     n = F.size(F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != ""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), n.cast("long").alias("n_paragraphs"))
