@@ -361,3 +361,11 @@ def test_severity_ladders(spark):
             c=codes.ops_severity(F.lit(9999.0), F.lit(60.0), F.lit("grounding")), d=codes.cpa_warning(F.lit(240.0), F.lit(500.0)),
             e=codes.vessel_category(F.lit(89)), f=codes.behaviour(F.lit(None).cast("double")), g=times.parse_rxtime(F.lit("20240230000000")))
     assert tuple(r) == (1.0, 0.0, "critical", "critical", "tanker", "unknown", None)
+
+
+def test_csv_whole_numbers_with_a_point_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("mmsi,event_id,ship_type,lat,sog\n219000001.0,9007199254740993,70.0,62.5,x\n219000002,2,70.5,,1.5\n,3.0,,1,\n")
+    rows = {r.event_id: r for r in TB.read_tracks(spark, [str(tmp_path / "a.csv")]).collect()}
+    assert (rows[9007199254740993].mmsi, rows[9007199254740993].ship_type, rows[9007199254740993].sog) == (219000001, 70, None)
+    assert rows[9007199254740993].unread == '{"sog":"x"}' and rows[2].unread == '{"ship_type":"70.5"}' and rows[3].unread is None
+    assert rows[3].mmsi is None and rows[2].sog == 1.5

@@ -133,7 +133,7 @@ def flat(spark, sf):
     s = A.segments(spark, sf).select("mmsi", "segment_id", "event_id", "lat", "sog")
     TB.write_flat(s, f"{base}/p", "parquet")
     TB.write_flat(spark.read.parquet(f"{base}/p"), f"{base}/c.csv", "csv")
-    read = [TB.read_tracks(spark, [f"{base}/{p}"]).withColumn("fmt", F.lit(f)) for p, f in (("p", "parquet"), ("c.csv", "csv"))]
+    read = [TB.read_tracks(spark, [f"{base}/{p}"]).drop("unread").withColumn("fmt", F.lit(f)) for p, f in (("p", "parquet"), ("c.csv", "csv"))]
     return TB.union_all(read)
 
 

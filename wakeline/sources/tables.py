@@ -19,7 +19,9 @@ def read_tracks(spark: SparkSession, paths: Sequence[str], csv_types: Mapping[st
     """Parquet and CSV files as one table; columns a file lacks are NULL.
 
     CSV columns get the type named for them and are text otherwise, so all files
-    agree and none is read twice.  Each Parquet path has one schema of its own.
+    agree and none is read twice.  Whole numbers may be written with a point (``70.0``).
+    ``unread`` of a CSV row holds the values that have no such type, as a JSON object,
+    and is NULL where there is none.  Each Parquet path has one schema of its own.
     """
     frames = []
     for p in paths:
@@ -27,10 +29,22 @@ def read_tracks(spark: SparkSession, paths: Sequence[str], csv_types: Mapping[st
             frames.append(C.rename_aliases(spark.read.parquet(p)))
             continue
         plain = C.rename_aliases(spark.read.csv(p, header=True))
-        frames.append(plain.select(*[F.col(c).try_cast(csv_types[c]).alias(c) if c in csv_types else F.col(c) for c in plain.columns]))
+        typed = {c: _typed(F.col(c), csv_types[c]) for c in plain.columns if c in csv_types}
+        failed = [F.when(F.col(c).isNotNull() & v.isNull(), F.col(c)).alias(c) for c, v in typed.items()]
+        # JSON leaves out NULLs
+        unread = F.when(F.coalesce(*failed).isNotNull(), F.to_json(F.struct(*failed))) if failed else F.lit(None).cast("string")
+        frames.append(plain.select(*[typed[c].alias(c) if c in typed else F.col(c) for c in plain.columns], unread.alias("unread")))
     return union_all(frames)
 
 
+def _typed(text: Column, kind: str) -> Column:
+    """Text as a type; whole numbers also from ``70.0`` and ``7e1``. NULL where it doesn't parse."""
+    if kind not in ("int", "bigint"):
+        return text.try_cast(kind)
+    exact = text.try_cast("decimal(38,10)")
+    return F.coalesce(text.try_cast("bigint"), F.when(exact == F.floor(exact), exact)).try_cast(kind)
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
