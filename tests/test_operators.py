@@ -369,3 +369,11 @@ def test_csv_whole_numbers_with_a_point_are_read_whole(spark, tmp_path):
     assert (rows[9007199254740993].mmsi, rows[9007199254740993].ship_type, rows[9007199254740993].sog) == (219000001, 70, None)
     assert rows[9007199254740993].unread == '{"sog":"x"}' and rows[2].unread == '{"ship_type":"70.5"}' and rows[3].unread is None
     assert rows[3].mmsi is None and rows[2].sog == 1.5
+
+
+def test_differing_parquet_files_are_read_whole(spark, tmp_path):
+    days = tmp_path / "days"
+    for day in range(3):
+        extra = "" if day % 2 else ", 4.5D AS draught"
+        spark.sql(f"SELECT {day}L AS event_id, 1L AS mmsi{extra}").coalesce(1).write.mode("append").parquet(str(days))
+    assert {r.event_id: r.draught for r in TB.read_tracks(spark, [str(days)]).collect()} == {0: 4.5, 1: None, 2: 4.5}

@@ -21,12 +21,12 @@ def read_tracks(spark: SparkSession, paths: Sequence[str], csv_types: Mapping[st
     CSV columns get the type named for them and are text otherwise, so all files
     agree and none is read twice.  Whole numbers may be written with a point (``70.0``).
     ``unread`` of a CSV row holds the values that have no such type, as a JSON object,
-    and is NULL where there is none.  Each Parquet path has one schema of its own.
+    and is NULL where there is none.  The files of a Parquet path may differ in columns.
     """
     frames = []
     for p in paths:
         if not p.endswith((".csv", ".csv.gz")):
-            frames.append(C.rename_aliases(spark.read.parquet(p)))
+            frames.append(C.rename_aliases(spark.read.option("mergeSchema", True).parquet(p)))
             continue
         plain = C.rename_aliases(spark.read.csv(p, header=True))
         typed = {c: _typed(F.col(c), csv_types[c]) for c in plain.columns if c in csv_types}
