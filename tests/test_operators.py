@@ -377,3 +377,27 @@ def test_differing_parquet_files_are_read_whole(spark, tmp_path):
         extra = "" if day % 2 else ", 4.5D AS draught"
         spark.sql(f"SELECT {day}L AS event_id, 1L AS mmsi{extra}").coalesce(1).write.mode("append").parquet(str(days))
     assert {r.event_id: r.draught for r in TB.read_tracks(spark, [str(days)]).collect()} == {0: 4.5, 1: None, 2: 4.5}
+
+
+def test_graph_query_has_a_node_a_minute(spark, fleet, monkeypatch):
+    from wakeline.plans import catalog, source_queries
+
+    monkeypatch.setattr(source_queries.A, "positions", lambda spark, sf: fleet)
+    got = catalog.QUERIES["udf3_graph_dataset_minute"](spark, "").toPandas()
+    fixes = fleet.select("mmsi", "event_id", F.unix_seconds("time").alias("s"), "lat", "lon", "sog").toPandas().sort_values("event_id")
+    # the first value of a minute, carried forward; minutes before the first speed go
+    nodes = []
+    for mmsi, rows in fixes.groupby("mmsi"):
+        first = rows.assign(bin=rows.s // 60 * 60).groupby("bin")[["lat", "lon", "sog"]].first()
+        grid = first.reindex(range(first.index[0], first.index[-1] + 60, 60)).ffill().dropna()[["lat", "lon"]]
+        nodes += [(mmsi, b, lat, lon) for b, lat, lon in grid.itertuples()]
+    nodes = pd.DataFrame(nodes, columns=["mmsi", "bin", "lat", "lon"])
+    pairs = nodes.merge(nodes, on="bin").query("mmsi_x != mmsi_y")
+    a, b = np.radians(pairs.lat_x), np.radians(pairs.lat_y)
+    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(pairs.lon_y - pairs.lon_x) / 2) ** 2
+    near = pairs[2 * 6371.0 * np.arcsin(np.sqrt(h)) / 1.852 < 10]
+    nodes["window"] = nodes.bin // 600 * 600
+    sizes = nodes.groupby("window").size()
+    sizes = sizes[sizes >= 2]
+    assert (got.n.sum(), got.windows.sum()) == (sizes.sum(), len(sizes))
+    assert got.total.sum() == (near.bin // 600 * 600).isin(sizes.index).sum() > 0

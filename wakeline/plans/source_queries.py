@@ -284,11 +284,22 @@ SELECT CASE WHEN i<n//10 THEN 'test' WHEN i<n//10+n//5 THEN 'validation' ELSE 't
 def graph_dataset(spark, sf):
     from wakeline.operators import tasks as TK
 
-    samples = TK.build_dataset("graph_network", A.positions(spark, sf), TK.TaskConfig(step_s=300))
+    return _graph_totals(TK.build_dataset("graph_network", A.positions(spark, sf), TK.TaskConfig(step_s=300)))
+
+
+def _graph_totals(samples):
     return samples.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("window").alias("windows"),
                                         F.sum(F.element_at("input", 1)["degree"]).cast("double").alias("total"))
 
 
+# the builder's own step of a minute; tests compare it with brute force
+@query("udf3_graph_dataset_minute")
+def graph_dataset_minute(spark, sf):
+    from wakeline.operators import tasks as TK
+
+    return _graph_totals(TK.build_dataset("graph_network", A.positions(spark, sf)))
+
+
 @query("udf3_task_dataset", with_sql("pos") + """, b AS (SELECT mmsi, epoch_us(time)//60000000 AS m, event_id, sog, cog FROM pos WHERE mmsi IN (SELECT mmsi FROM pos GROUP BY 1 HAVING count(*)>=20)),
 v AS (SELECT mmsi, max(m)-greatest(min(m) FILTER (sog IS NOT NULL),min(m) FILTER (cog IS NOT NULL))+1 AS rows FROM b GROUP BY 1),
 w AS (SELECT CAST(sum(greatest(rows-34,0)) AS BIGINT) AS n FROM v WHERE rows>=20)
