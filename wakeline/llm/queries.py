@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from wakeline.llm import bpe, decontaminate, licences, line_dedup, near_dedup, personal_data, quality, secrets, toxicity, warc
+from wakeline.llm import bpe, decontaminate, filter_audit, licences, line_dedup, near_dedup, personal_data, quality, secrets, toxicity, warc
 from wakeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,30 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_licence_scan")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).withColumn("families", F.array_join("families", ","))
+
+
+@query("op12_filter_audit", r"""
+WITH lab AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+             (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+             + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+             + 16 * coalesce(min(d.doc_id) OVER (PARTITION BY t) < d.doc_id, false)::INT AS mask FROM d LEFT JOIN lab USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count_if(good) AS good, count_if(bad) AS bad FROM m GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT array_to_string(o, '') AS filter_order, step, o[step] AS name, (1 << (ascii(o[step]) - 65))::INT AS own,
+             coalesce(list_sum(list_transform(o[1:step - 1], lambda x: 1 << (ascii(x) - 65))), 0)::INT AS before FROM o, unnest(range(1, 6)) AS t(step)),
+g AS (SELECT part, filter_order, step, name, sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+             sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+             sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+             sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+             sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+             sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN bad ELSE 0 END)::BIGINT AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, name)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, name))::BIGINT AS shapley FROM g""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filters = filter_audit.text_filters()
+    found = filter_audit.marked(table(spark, sf_dir, "documents"), filters)
+    return filter_audit.audit(found, list(filters), table(spark, sf_dir, "labels"))
