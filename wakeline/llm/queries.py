@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from wakeline.llm import bpe, decontaminate, filter_audit, licences, line_dedup, near_dedup, personal_data, quality, secrets, toxicity, warc
+from wakeline.llm import bpe, curriculum, decontaminate, filter_audit, licences, line_dedup, near_dedup, personal_data, quality, secrets, toxicity, warc
 from wakeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,35 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = filter_audit.text_filters()
     found = filter_audit.marked(table(spark, sf_dir, "documents"), filters)
     return filter_audit.audit(found, list(filters), table(spark, sf_dir, "labels"))
+
+
+@query("op11_curriculum_mix", r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS lot FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
+f AS (SELECT *, (3 * n)::DOUBLE AS cap, (3 * n)::DOUBLE / w AS fa, (sum(n) OVER ())::DOUBLE AS total, sum(w) OVER () AS ws FROM s),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER b, 0)) / (ws - coalesce(sum(w) OVER b, 0)) AS lv FROM f
+      WINDOW b AS (ORDER BY fa, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, n, least(cap, coalesce((SELECT lv FROM l WHERE lv * w <= cap ORDER BY fa, source NULLS FIRST LIMIT 1) * w, cap)) AS target FROM l),
+p AS (SELECT *, CASE WHEN n > 0 THEN least(3, floor(target / n))::BIGINT ELSE 0 END AS passes FROM t),
+r AS (SELECT *, target - passes * n AS rest, CASE WHEN n > 0 THEN (target - passes * n) / n ELSE 0 END AS share FROM p),
+x AS (SELECT row_number() OVER () AS id, d.*, n, target, passes, rest, share, size > 0.001 * n AS large FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+g AS (SELECT id, source, size, share, row_number() OVER (PARTITION BY source ORDER BY size DESC, lot, id) AS k FROM x WHERE large),
+c AS (SELECT id, source, k, share > 0 AND 2 * (size * share) >= size AS extra,
+             size * share - CASE WHEN share > 0 AND 2 * (size * share) >= size THEN size ELSE 0 END AS carry FROM g WHERE k = 1
+      UNION ALL
+      SELECT g.id, g.source, g.k, share > 0 AND 2 * (carry + size * share) >= size,
+             carry + size * share - CASE WHEN share > 0 AND 2 * (carry + size * share) >= size THEN size ELSE 0 END
+      FROM c JOIN g ON g.k = c.k + 1 AND g.source IS NOT DISTINCT FROM c.source),
+m AS (SELECT source, arg_max(carry, k) AS missed FROM c GROUP BY source),
+q AS (SELECT x.*, coalesce(extra, false) AS extra, coalesce(missed, 0) AS missed,
+             coalesce(sum(CASE WHEN large THEN 0 ELSE size END) OVER (PARTITION BY x.source ORDER BY lot, x.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ss,
+             (sum(CASE WHEN large THEN 0 ELSE size END) OVER (PARTITION BY x.source))::BIGINT AS st
+      FROM x LEFT JOIN c ON c.id = x.id LEFT JOIN m ON m.source IS NOT DISTINCT FROM x.source)
+SELECT doc_id, size, n AS source_size, target,
+       (size * (passes + CASE WHEN large THEN extra ELSE rest > 0 AND 2 * ss + size <= 2 * (st * share + missed) END::INT))::BIGINT AS taken
+FROM q""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = curriculum.mix(docs, curriculum.ranked_schedule(docs))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken").orderBy(F.try_element_at("times", F.lit(1)), "lot")
