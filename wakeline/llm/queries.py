@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from wakeline.llm import bpe, curriculum, decontaminate, filter_audit, licences, line_dedup, near_dedup, personal_data, quality, secrets, toxicity, warc
+from wakeline.llm import bpe, collocations, curriculum, decontaminate, filter_audit, licences, line_dedup, near_dedup, personal_data, quality, secrets, toxicity, warc
 from wakeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,22 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = curriculum.mix(docs, curriculum.ranked_schedule(docs))
     return mixed.select("doc_id", "size", "source_size", "target", "taken").orderBy(F.try_element_at("times", F.lit(1)), "lot")
+
+
+@query("op13_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                           '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m AS words, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM w, unnest(range(1, 4)) AS a(m), unnest(range(1, len(w) - m + 2)) AS b(i)),
+f AS (SELECT lang, words, phrase, count(*)::HUGEINT AS f FROM g GROUP BY lang, words, phrase),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS s FROM f WHERE words > 1 AND f >= 10),
+k AS (SELECT c.*, k, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score FROM c, unnest(range(1, words)) AS t(k)
+      JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(s[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(s[k + 1:], ' ')),
+o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(s[j:j + 1], ' ') AS phrase, max(a) AS longer FROM c, unnest([1, 2]) AS t(j) WHERE words = 3 GROUP BY ALL),
+v AS (SELECT o.*, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, o.phrase) AS rank
+      FROM o LEFT JOIN i ON i.lang = o.lang AND i.phrase = o.phrase WHERE longer IS NULL OR 100 * longer < 50 * a),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM v JOIN n USING (lang) WHERE rank <= 2000""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
