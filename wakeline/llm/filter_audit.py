@@ -52,6 +52,7 @@ def marked(docs: DataFrame, filters: Mapping[str, Column], part: str = "source",
     early = [F.coalesce(fails, F.lit(False)).alias(name) for name, fails in filters.items() if name not in late]
     seen = saved(rows.select("id", "part", *early, F.unhex(F.sha2("text", 256)).alias("_digest")), "audit-texts")
     first = seen.groupBy("_digest").agg(F.min("id").alias("_first"), F.count("*").alias("_rows")).filter("_rows > 1").drop("_rows")
+    first = saved(first, "audit-copies")  # read by a shuffle of its own, so that adaptive execution can split a text's rows
     seen = seen.join(first, "_digest", "left").withColumn("_copy", F.coalesce(F.col("_first") < F.col("id"), F.lit(False)))
     return seen.select("id", "part", *[filters[f].alias(f) if f in late else F.col(f) for f in filters])
 
