@@ -38,7 +38,7 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Bits in a chunk of a bitmap (8 KB).
 CHUNK_BITS = 1 << 16
 #: Bytes of text looked at together.
-WINDOW_BYTES = 2 << 20
+WINDOW_BYTES = 1 << 19
 
 #: Class of each byte: 0 in a word, 1 between words, 2 between pieces.
 _CLASS = np.zeros(256, np.uint8)
