@@ -63,74 +63,83 @@ def last_points(df: DataFrame, n: int = 20, keys: Sequence[str] = ("mmsi",),
         "error", F.when(F.col("n_points") < n, F.lit("too short")))
 
 
-def _grid(df: DataFrame, step_s: int, width: int) -> DataFrame:
-    """Every bin from a vessel's first to its last, built slot by slot.
+#: Bins that one row may stand for before it is cut.
+PIECE = 1000
 
-    A long silence is first spread over its time slots, so no row ever holds
-    more bins than one slot has.
+
+def _first_values(df: DataFrame, cols: Sequence[str], step_s: int) -> DataFrame:
+    """One row per vessel and bin that has reports: first non-NULL values, number of reports, first and last time.
+
+    All that follows is ordered by vessel, so this is the only shuffle; a hot vessel's chunks stay chunks.
+    Rows without vessel or time have no place on the grid.
     """
-    held = df.groupBy("mmsi", "_slot").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-    w = Window.partitionBy("mmsi").orderBy("_slot")
-    held = held.withColumns({
-        "stop": F.coalesce(F.lead("lo").over(w) - step_s, F.col("hi")),
-        "until": F.coalesce(F.lead("_slot").over(w), F.col("_slot")),
-    })
-    slots = held.select("mmsi", "lo", "stop", F.explode(F.sequence("_slot", "until")).alias("_slot"))
-    first = F.greatest(F.col("lo"), F.col("_slot") * width)
-    last = F.least(F.col("stop"), (F.col("_slot") + 1) * width - step_s)
-    slots = slots.withColumns({"first": first, "last": last}).filter("first <= last")
-    return slots.select("mmsi", "_slot", F.explode(F.sequence("first", "last", F.lit(step_s).cast("long"))).alias("bin"))
-
-
-def _binned(df: DataFrame, cols: Sequence[str], step_s: int) -> DataFrame:
-    """First non-NULL value per bin on the full grid, chunked by slot: a sparse vessel's grid may far outgrow its rows."""
-    width = max(int(O.CHUNK_HOURS * 3600) // step_s, 1) * step_s
     bin_ = F.floor(F.unix_micros("time") / F.lit(step_s * 1_000_000)) * step_s
-    df = O.unchunked(df).withColumn("bin", bin_).withColumn("_slot", F.floor(F.col("bin") / width))
+    rows = O.unchunked(df).filter(F.col("mmsi").isNotNull() & F.col("time").isNotNull()).select("mmsi", *O.ORDER, *cols, bin_.alias("bin"))
+    keys = ["mmsi"]
+    if O.is_chunked(df):
+        width = max(int(O.CHUNK_HOURS * 3600) // step_s, 1) * step_s
+        rows, keys = rows.withColumn(O.CHUNK, F.floor(F.col("bin") / width)), ["mmsi", O.CHUNK]
     at = F.struct(*O.ORDER)
-    firsts = df.groupBy("mmsi", "_slot", "bin").agg(
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in cols])
-    grid = _grid(firsts, step_s, width).join(firsts, ["mmsi", "_slot", "bin"], "left")
-    return grid.withColumnRenamed("_slot", O.CHUNK)
+    return rows.repartition(*keys).groupBy(*keys, "bin").agg(
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in cols],
+        F.count("*").alias("_reports"), F.min("time").alias("_from"), F.max("time").alias("_to"))
+
+
+def _expanded(df: DataFrame, step_s: int) -> DataFrame:
+    """Each row once for every bin from ``bin`` up to ``_stop``, as column ``at``.
+
+    A long silence is first cut into pieces, so that no array grows with it.
+    """
+    step, piece = F.lit(step_s).cast("long"), F.lit(step_s * PIECE).cast("long")
+    df = df.withColumn("_piece", F.explode(F.sequence("bin", "_stop", piece)))
+    return df.withColumn("at", F.explode(F.sequence("_piece", F.least("_stop", F.col("_piece") + piece - step), step)))
 
 
-def _long_enough(df: DataFrame, min_rows: int, min_span_s: float) -> DataFrame:
-    span = times.seconds_between(F.max("time"), F.min("time"))
-    kept = df.groupBy("mmsi").agg(F.count("*").alias("n"), span.alias("s")).filter(
-        (F.col("n") >= min_rows) & (F.col("s") >= min_span_s))
-    return df.join(kept, "mmsi", "left_semi")
+def _with_stop(df: DataFrame, step_s: int, cols: Sequence[str] = ()) -> DataFrame:
+    """``_stop``: the last bin before the vessel's next report; ``next`` has further columns of that row."""
+    df = O.with_next(df, ["bin", *cols], order=["bin"])
+    return df.withColumn("_stop", F.coalesce(F.col("next.bin") - step_s, F.col("bin")))
 
 
 def resample_forward(df: DataFrame, cols: Sequence[str] = ("lat", "lon", "sog", "cog"),
                      step_s: int = 60, min_rows: int = 20, min_span_s: float = 300.0) -> DataFrame:
-    """First value per step, gaps filled forward; vessels too short before or after go."""
-    grid = _binned(_long_enough(df, min_rows, min_span_s), cols, step_s)
-    filled = O.with_running(grid, lasts={f"_f_{c}": F.col(c) for c in cols}, order=["bin"])
-    filled = filled.withColumns({"time": F.timestamp_seconds("bin"), **{c: F.col(f"_f_{c}") for c in cols}})
-    filled = O.with_totals(filled.dropna(subset=list(cols)), ["mmsi"], {"_n": F.count("*")})
-    return filled.filter(F.col("_n") >= min_rows).select("mmsi", "time", *cols)
+    """First value per step, gaps filled forward; vessels too short before or after go.
+
+    Values are carried from report to report; each report then stands for the steps up to the next one.
+    """
+    df = O.with_totals(_first_values(df, cols, step_s), ["mmsi"], {"_all": F.sum("_reports"), "_first": F.min("_from"), "_last": F.max("_to")})
+    df = df.filter((F.col("_all") >= min_rows) & (times.seconds_between(F.col("_last"), F.col("_first")) >= min_span_s))
+    df = O.with_running(df, lasts={f"_f_{c}": F.col(c) for c in cols}, order=["bin"])
+    df = _with_stop(df, step_s).dropna(subset=[f"_f_{c}" for c in cols])
+    df = O.with_totals(df, ["mmsi"], {"_steps": F.sum((F.col("_stop") - F.col("bin")) / step_s + 1)}).filter(F.col("_steps") >= min_rows)
+    return _expanded(df, step_s).select("mmsi", F.timestamp_seconds("at").alias("time"), *[F.col(f"_f_{c}").alias(c) for c in cols])
 
 
 def _reversed(df: DataFrame) -> DataFrame:
-    """Let chunks run backwards, for values still to come."""
+    """Let chunks run the other way, for values still to come."""
     return df.withColumn(O.CHUNK, -F.col(O.CHUNK)) if O.is_chunked(df) else df
 
 
 def resample_linear(df: DataFrame, cols: Sequence[str] = ("lat", "lon", "sog"),
                     step_s: int = 60) -> DataFrame:
-    """First value per step, straight lines between them, ends held."""
-    grid = _binned(df, cols, step_s)
+    """First value per step, straight lines between them, ends held.
+
+    A report knows the last value up to it and the first one after it, and stands for the steps between.
+    """
+    df = _first_values(df, cols, step_s)
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("bin").alias("t"), F.col(c).alias("v"))) for c in cols}
-    grid = O.with_running(grid, lasts={f"_a_{c}": k for c, k in known.items()}, order=["bin"])
-    back = _reversed(grid.withColumn("_back", -F.col("bin")))
-    back = O.with_running(back, lasts={f"_b_{c}": k for c, k in known.items()}, order=["_back"])
+    back = _reversed(df.withColumn("_back", -F.col("bin")))
+    df = _reversed(O.with_running(back, lasts={f"_b_{c}": k for c, k in known.items()}, order=["_back"]))
+    df = O.with_running(df, lasts={f"_a_{c}": k for c, k in known.items()}, order=["bin"])
+    df = _with_stop(df, step_s, [f"_b_{c}" for c in cols])
+    ends = {f"_{e}{f}_{c}": of[f] for c in cols for e, of in (("a", F.col(f"_a_{c}")), ("b", F.col(f"next._b_{c}"))) for f in "tv"}
+    df = _expanded(df.select("mmsi", "bin", "_stop", *cols, *[v.alias(k) for k, v in ends.items()]), step_s)
     out = {}
     for c in cols:
-        a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
-        share = (F.col("bin") - a["t"]) / F.nullif(b["t"] - a["t"], F.lit(0))
-        line = a["v"] + (b["v"] - a["v"]) * share
-        out[c] = F.coalesce(F.col(c), line, a["v"], b["v"])
-    return back.select("mmsi", F.timestamp_seconds("bin").alias("time"), *[v.alias(c) for c, v in out.items()])
+        at, av, bt, bv = (F.col(f"_{e}_{c}") for e in ("at", "av", "bt", "bv"))
+        line = av + (bv - av) * ((F.col("at") - at) / F.nullif(bt - at, F.lit(0)))
+        out[c] = F.coalesce(F.when(F.col("at") == F.col("bin"), F.col(c)), line, av, bv)
+    return df.select("mmsi", F.timestamp_seconds("at").alias("time"), *[v.alias(c) for c, v in out.items()])
 
 
 def interpolate_pair(lat1: Column, lon1: Column, t1: Column, lat2: Column, lon2: Column,
