@@ -25,7 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, where nothing exists yet; what is written there goes when the application ends."""
+    own = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    store.deleteOnExit(folder)  # only takes what exists
+    return f"{own}/data"
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -36,11 +42,4 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    _drop_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop_at_end(spark: SparkSession, path: str) -> None:
-    """Have the file system delete a written table when the application ends."""
-    written = spark._jvm.org.apache.hadoop.fs.Path(path)
-    written.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(written)
