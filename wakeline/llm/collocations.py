@@ -52,8 +52,8 @@ _PLACE = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint6
 class Mining:
     support: int = 10
     longest: int = 3
-    #: At most half the support, so that a shard's support is 2 or more.
-    shards: int = 4
+    #: Fewer shards mean a higher support in each and fewer candidates; at most half the support, so that it is 2 or more.
+    shards: int = 2
     cover_percent: int = 50
     most: int = 2000
 
@@ -144,17 +144,19 @@ class Words:
 
 
 class Bitmap:
-    """Hashes that may be in a set: one bit each, chunks that hold none left out."""
+    """Hashes that may be in a set: two bits each, taken from the hash, chunks that hold none left out."""
 
     def __init__(self, bits: int, chunks: dict[int, bytes]):
-        self.shift = np.uint64(64 - (bits.bit_length() - 1))
+        self.taken = np.uint64(bits.bit_length() - 1)
         self.bytes = np.zeros(bits // 8, np.uint8)
         for i, chunk in chunks.items():
             self.bytes[i * CHUNK_BITS // 8: (i + 1) * CHUNK_BITS // 8] = np.frombuffer(chunk, np.uint8)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
-        place = h >> self.shift
-        return (self.bytes[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        found = np.ones(len(h), bool)
+        for place in (h >> np.uint64(64) - self.taken, (h << self.taken) >> np.uint64(64) - self.taken):
+            found &= (self.bytes[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        return found
 
 
 def shard_bits(shards: int) -> int:
@@ -167,11 +169,13 @@ def in_shard(h: np.ndarray, shard: int, bits: int) -> np.ndarray:
 
 
 def bitmap_of(keys: DataFrame):
-    """A name and the broadcast bitmap of the top bits of ``h``: about 16 bits a key, at most MOST_BITS."""
+    """A name and the broadcast bitmap of ``h``: about 16 bits a key, at most MOST_BITS in all."""
     wanted = 16 * keys.count()
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << wanted.bit_length()))
-    place = F.shiftrightunsigned("h", 64 - (bits.bit_length() - 1))
-    placed = keys.select(F.shiftright(place, CHUNK_BITS.bit_length() - 1).alias("chunk"), (place % CHUNK_BITS).alias("bit")).distinct()
+    taken = bits.bit_length() - 1
+    places = F.array(F.shiftrightunsigned("h", 64 - taken), F.shiftrightunsigned(F.shiftleft("h", taken), 64 - taken))
+    place = keys.select(F.explode(places).alias("place"))
+    placed = place.select(F.shiftright("place", CHUNK_BITS.bit_length() - 1).alias("chunk"), (F.col("place") % CHUNK_BITS).alias("bit")).distinct()
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(CHUNK_BITS, np.uint8)
@@ -217,18 +221,22 @@ def local_counts(texts: DataFrame, n: int, shards: int, parts=None) -> DataFrame
 
 
 def exact_counts(texts: DataFrame, longest: int, candidates) -> DataFrame:
-    """lang, phrase, words, f: all occurrences of words, and of the phrases in the bitmap of candidates."""
+    """lang, phrase, words, f: all occurrences of what is in the bitmap; a row of 0 words has a language's number of words."""
+    names = ["lang", "phrase", "words", "c"]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = opened(candidates)
         for batch in batches:
+            found = []
             for lang, _, data, begins in windows(batch):
                 w = Words(lang, data, begins)
+                found.append(pa.table([pa.array([lang]), pa.array([""]), pa.array([0], pa.int32()), pa.array([len(w.hashes)])], names))
                 for n in range(1, longest + 1):
                     at, h = w.phrases(n)
-                    found = w.strings(at if n == 1 else at[kept.holds(h)], n).value_counts()
-                    phrase = found.field("values").cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), phrase, pa.array(np.full(len(found), n, np.int32)), found.field("counts")],
-                                                     ["lang", "phrase", "words", "c"])
+                    each = w.strings(at[kept.holds(h)], n).value_counts()
+                    found.append(pa.table([pa.repeat(pa.scalar(lang), len(each)), each.field("values").cast(pa.string()), pa.repeat(pa.scalar(n, pa.int32()), len(each)), each.field("counts")], names))
+            if found:  # a batch's windows together, as a phrase is in many of them
+                yield from pa.concat_tables(found).group_by(names[:3]).aggregate([("c", "sum")]).select([*names[:3], "c_sum"]).rename_columns(names).to_batches()
 
     rows = texts.mapInArrow(count, "lang string, phrase string, words int, c long")
     return rows.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("f"))
@@ -238,19 +246,22 @@ def frequent(docs: DataFrame, rule: Mining = Mining(), lang: str = "lang", text:
     """(lang, phrase, words, f) of all phrases of up to ``longest`` words with the support, and (lang, n) of all words."""
     body = whole_text(F.col(text).cast("string"))
     shard = F.pmod(F.xxhash64(body), F.lit(rule.shards)).cast("int")  # by content, so each pass sees the same shards
+    body = whole_text(F.col(text).cast("string"))
+    shard = F.pmod(F.xxhash64(body), F.lit(rule.shards)).cast("int")  # by content, so each pass sees the same shards
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), shard.alias("shard"), body.alias("text"))
     parts, union = None, None
     for n in range(1, rule.longest + 1):
         local = local_counts(texts, n, rule.shards, parts).filter(F.col("c") >= rule.local_support()).select("h")
         local = saved(local, f"shards-{n}")
         parts = bitmap_of(local) if n < rule.longest else None
-        # the union over shards of pairs and longer phrases
-        union = local if n == 2 else union.unionByName(local) if n > 2 else None
+        union = union.unionByName(local) if union else local
     # keys lose their shard; the last bits of a hash aren't looked at by bitmaps
     candidates = union.select(F.shiftleft("h", shard_bits(rule.shards)).alias("h")).distinct()
-    counted = saved(exact_counts(texts, rule.longest, bitmap_of(candidates)), "phrases")
-    totals = counted.filter("words = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-    return counted.filter(F.col("f") >= rule.support), totals
+    whole = texts.withColumn("shard", F.lit(0))  # shards have done their work
+    counted = exact_counts(whole, rule.longest, bitmap_of(candidates)).filter((F.col("words") == 0) | (F.col("f") >= rule.support))
+    counted = saved(counted, "phrases")
+    totals = counted.filter("words = 0").select("lang", F.col("f").alias("n"))
+    return counted.filter("words > 0"), totals
 
 
 def exact(count: Column) -> Column:
