@@ -1,8 +1,9 @@
 """Small fixtures against known values and brute force."""
 
 import math
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
+import kalman_reference
 import numpy as np
 import pandas as pd
 import pytest
@@ -166,19 +167,46 @@ def test_an_outlier_leaves_the_bins_even(spark):
     assert max(r["count"] for r in counts) < 4 * len(values) / Q.BINS
 
 
+def _forecast(spark, tracks, horizon, kind):
+    """Kalman forecast of (lat, lon, seconds) arrays: one list of (lat, lon, var_x, var_y, cov_xy) a track."""
+    rows = [(i, [(float(a), float(o), datetime.fromtimestamp(1.7e9 + float(s), timezone.utc)) for a, o, s in zip(*track)]) for i, track in enumerate(tracks)]
+    df = spark.createDataFrame(rows, "sample_id long, input array<struct<lat: double, lon: double, time: timestamp>>")
+    out = M.kalman_forecast(df, horizon, kind)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {i: [] for i in range(len(tracks))}
+    for r in out.orderBy("sample_id", "step").collect():
+        got[r.sample_id].append((r.pred_lat, r.pred_lon, r.var_x, r.var_y, r.cov_xy))
+    return got
+
+
 @pytest.mark.parametrize("rate", [0.01, -0.01])
-def test_turn_model_follows_a_circle(rate):
+def test_turn_model_follows_a_circle(spark, rate):
     """Ten fixes of a steady turn, then ten steps ahead, against the true circle."""
     k, metre = np.arange(20), geo.M_PER_DEG
     east, north = 5 / rate * (1 - np.cos(rate * 10 * k)), 5 / rate * np.sin(rate * 10 * k)
     lat, lon = 60 + north / metre, 10 + east / (metre * np.cos(np.radians(60)))
     miss = {}
     for kind in ("turn", "velocity"):
-        got = M.kalman_batch(kind, lat[None, :10], lon[None, :10], 10.0 * k[None, :10], 10)
-        miss[kind] = np.hypot((got[0][0, -1] - lat[-1]) * metre, (got[1][0, -1] - lon[-1]) * metre * np.cos(np.radians(60)))
+        got = _forecast(spark, [(lat[:10], lon[:10], 10.0 * k[:10])], 10, kind)[0]
+        miss[kind] = np.hypot((got[-1][0] - lat[-1]) * metre, (got[-1][1] - lon[-1]) * metre * np.cos(np.radians(60)))
     assert miss["turn"] < 20 < miss["velocity"]
 
 
+@pytest.mark.parametrize("kind", ["velocity", "turn", "acceleration"])
+def test_kalman_takes_tracks_of_any_length(spark, kind):
+    """Every track of a mixed table equals the numpy filter on that track alone."""
+    rng, tracks = np.random.default_rng(4), []
+    for n in (3, 4, 5, 6, 9, 30, 3, 12):
+        tracks.append((60 + np.cumsum(rng.normal(0, 0.003, n)), -179.5 + np.cumsum(rng.normal(0, 0.005, n)), np.cumsum(rng.choice([30, 61, 600], n))))
+    got = _forecast(spark, [*tracks, ([1.0], [2.0], [0.0]), ([], [], [])], 4, kind)
+    assert got[len(tracks)] == got[len(tracks) + 1] == []
+    for i, (lat, lon, t) in enumerate(tracks):
+        want = np.stack(kalman_reference.kalman_batch(kind, lat[None], lon[None], (t - t[0])[None].astype(float), 4), axis=-1)[0]
+        assert np.array(got[i]) == pytest.approx(want, rel=1e-6, abs=1e-6)
+    two = _forecast(spark, [([60.0, 60.01], [5.0, 5.0], [0.0, 60.0])], 2, kind)[0]
+    assert len(two) == 2 and np.isfinite(two).all()
+
+
 def test_percentiles_match_numpy(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"k": rng.integers(0, 3, 500), "v": np.round(rng.exponential(10, 500), 1)})
@@ -295,13 +323,13 @@ def test_bootstrap_covers_the_mean(spark, method):
 
 
 @pytest.mark.parametrize("kind", ["velocity", "turn", "acceleration"])
-def test_kalman_follows_a_straight_line(kind):
+def test_kalman_follows_a_straight_line(spark, kind):
     t = np.arange(8) * 60.0
     lat, lon = 60 + 0.001 * np.arange(8), 10 + 0.002 * np.arange(8)
-    got = M.kalman_batch(kind, lat[None], lon[None], t[None], 3)
-    np.testing.assert_allclose(got[0][0], 60 + 0.001 * np.arange(8, 11), atol=2e-3)
-    np.testing.assert_allclose(got[1][0], 10 + 0.002 * np.arange(8, 11), atol=4e-3)
-    assert (np.diff(got[2][0]) > 0).all()
+    got = np.array(_forecast(spark, [(lat, lon, t)], 3, kind)[0])
+    np.testing.assert_allclose(got[:, 0], 60 + 0.001 * np.arange(8, 11), atol=2e-3)
+    np.testing.assert_allclose(got[:, 1], 10 + 0.002 * np.arange(8, 11), atol=4e-3)
+    assert (np.diff(got[:, 2]) > 0).all()
 
 
 def test_scoring_isolates_errors(spark):

@@ -61,137 +61,151 @@ MAX_ACCELERATION = 0.5
 MAX_TURN = np.radians(5.0)
 
 
-def _stack(rows):
-    return np.stack([np.stack(r, axis=-1) for r in rows], axis=-2)
+def _let(name: str, fields: dict[str, str], body: str) -> str:
+    """SQL that computes a struct once and uses it as ``name`` in the body."""
+    return f"element_at(transform(array({_struct(fields)}), {name} -> {body}), 1)"
 
 
-def _white(order: int, dt: np.ndarray, q: float) -> np.ndarray:
-    """Discrete white noise of one axis: outer product of the integrated input."""
-    g = [dt**2 / 2, dt] if order == 2 else [dt**2 / 2, dt, np.ones_like(dt)]
-    g = np.stack(g, axis=-1)
-    return q * g[:, :, None] * g[:, None, :]
+def _struct(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
-def _transition(kind: str, dt: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Transition and process noise of a batch of samples."""
-    one, zero = np.ones_like(dt), np.zeros_like(dt)
-    if kind == "turn":
-        w = np.where(np.abs(x[:, 4]) > 1e-6, x[:, 4], 1e-6)
-        s, c = np.sin(w * dt), np.cos(w * dt)
-        # w turns the course clockwise: east' = cos east + sin north, north' = cos north - sin east;
-        # the way travelled is the integral of that over dt
-        along, across = s / w, (1 - c) / w
-        east = [one, along, zero, across, zero], [zero, c, zero, s, zero]
-        north = [zero, -across, one, along, zero], [zero, -s, zero, c, zero]
-        move = _stack([*east, *north, [zero, zero, zero, zero, one]])
-        p, v, t = NOISE["position"] ** 2, NOISE["velocity"] ** 2, NOISE["turn"] ** 2
-        q = np.zeros_like(move)
-        for i, n in enumerate((p * dt**2, v * dt, p * dt**2, v * dt, t * dt)):
-            q[:, i, i] = n
-        return move, q
-    n = 2 if kind == "velocity" else 3
-    block = _stack([[one, dt], [zero, one]]) if n == 2 else _stack(
-        [[one, dt, dt**2 / 2], [zero, one, dt], [zero, zero, one]])
-    noise = _white(n, dt, NOISE[kind] ** 2)
-    move, q = np.zeros((len(dt), 2 * n, 2 * n)), np.zeros((len(dt), 2 * n, 2 * n))
-    for k in (0, n):
-        move[:, k:k + n, k:k + n], q[:, k:k + n, k:k + n] = block, noise
-    return move, q
-
-
-def _capped(kind: str, x: np.ndarray) -> np.ndarray:
-    vx, vy = (1, 4) if kind == "acceleration" else (1, 3)
-    speed = np.hypot(x[:, vx], x[:, vy])
-    scale = np.where(speed > MAX_MPS, MAX_MPS / np.maximum(speed, 1e-12), 1.0)
-    x[:, vx] *= scale
-    x[:, vy] *= scale
-    if kind == "acceleration":
-        a = np.hypot(x[:, 2], x[:, 5])
-        scale = np.where(a > MAX_ACCELERATION, MAX_ACCELERATION / np.maximum(a, 1e-12), 1.0)
-        x[:, 2] *= scale
-        x[:, 5] *= scale
-    if kind == "turn":
-        x[:, 4] = np.clip(x[:, 4], -MAX_TURN, MAX_TURN)
-    return x
+def _number(value: float) -> str:
+    return f"{float(value)!r}D"
 
 
-def kalman_batch(kind: str, lat: np.ndarray, lon: np.ndarray, t: np.ndarray, horizon: int):
-    """Filter a batch of equally long tracks and extrapolate them.
+class _Motion:
+    """A motion model as SQL over a state struct: ``x0..`` and the cells ``cij`` of its covariance.
 
-    Arrays are (samples, fixes).  Returns lat, lon and the three entries of the
-    position covariance, each (samples, horizon).
+    ``move`` is the transition, row by row without its zeros; ``noise`` the process noise. Cells that stay
+    zero, as between the axes of the straight models, are never written. ``dt`` names the time step.
     """
-    ref_lat, ref_lon = lat.mean(axis=1, keepdims=True), lon.mean(axis=1, keepdims=True)
-    per_lat = geo.M_PER_DEG
-    per_lon = geo.M_PER_DEG * np.cos(np.radians(ref_lat))
-    x_m, y_m = (lon - ref_lon) * per_lon, (lat - ref_lat) * per_lat
-    dt = np.maximum(np.diff(t, axis=1), 1e-6)
-    vx, vy = np.diff(x_m, axis=1) / dt, np.diff(y_m, axis=1) / dt
-    if kind == "velocity":
-        state, spread, iy = [x_m[:, -1], vx[:, -1], y_m[:, -1], vy[:, -1]], ["position", "velocity"] * 2, 2
-    elif kind == "turn":
-        course = np.arctan2(vx, vy)
-        swing = (np.diff(course, axis=1) + np.pi) % (2 * np.pi) - np.pi
-        omega = (swing / dt[:, 1:])[:, -3:].mean(axis=1)
-        state = [x_m[:, -1], vx[:, -1], y_m[:, -1], vy[:, -1], omega]
-        spread, iy = ["position", "velocity"] * 2 + ["turn"], 2
-    else:
-        ax, ay = (np.diff(v, axis=1)[:, -1] / dt[:, -1] for v in (vx, vy))
-        state = [x_m[:, -1], vx[:, -1], ax, y_m[:, -1], vy[:, -1], ay]
-        spread, iy = ["position", "velocity", "acceleration"] * 2, 3
-    x = np.stack(state, axis=1)
-    size = x.shape[1]
-    cov = np.tile(np.diag([START[s] ** 2 for s in spread]), (len(x), 1, 1))
-    see = np.zeros((2, size))
-    see[0, 0] = see[1, iy] = 1.0
-    noise = np.eye(2) * MEASURED_M**2
-
-    def advance(x, cov, step):
-        move, q = _transition(kind, step, x)
-        return (move @ x[:, :, None])[:, :, 0], move @ cov @ move.transpose(0, 2, 1) + q
-
-    fixes = lat.shape[1]
-    for i in range(max(1, fixes - (3 if kind == "turn" else 5)), fixes):
-        x, cov = advance(x, cov, dt[:, i - 1])
-        gain = cov @ see.T @ np.linalg.inv(see @ cov @ see.T + noise)
-        miss = np.stack([x_m[:, i], y_m[:, i]], axis=1) - x @ see.T
-        x = x + (gain @ miss[:, :, None])[:, :, 0]
-        keep = np.eye(size) - gain @ see
-        cov = keep @ cov @ keep.transpose(0, 2, 1) + gain @ noise @ gain.transpose(0, 2, 1)
-    step = np.maximum(np.diff(t[:, -3:], axis=1).mean(axis=1), 1e-6)
-    out = []
-    for _ in range(horizon):
-        x, cov = advance(x, cov, step)
-        x = _capped(kind, x)
-        out.append((x[:, iy] / per_lat + ref_lat[:, 0], x[:, 0] / per_lon[:, 0] + ref_lon[:, 0],
-                    cov[:, 0, 0], cov[:, iy, iy], cov[:, 0, iy]))
-    return [np.stack(part, axis=1) for part in zip(*out)]
+
+    def __init__(self, kind: str):
+        self.kind, self.size = kind, {"velocity": 4, "turn": 5, "acceleration": 6}[kind]
+        self.iy = 3 if kind == "acceleration" else 2
+        self.speed = (1, self.iy + 1)
+        if kind == "turn":
+            # the turn rate turns the course clockwise: east' = cos east + sin north, north' = cos north - sin east;
+            # the way travelled is the integral of that over dt
+            self.spread = ["position", "velocity"] * 2 + ["turn"]
+            self.move = [{0: "1D", 1: "m.along", 3: "m.across"}, {1: "m.c", 3: "m.s"}, {2: "1D", 1: "-m.across", 3: "m.along"}, {1: "-m.s", 3: "m.c"}, {4: "1D"}]
+            power = ["m.dt * m.dt", "m.dt"] * 2 + ["m.dt"]
+            self.noise = {(i, i): f"{_number(NOISE[n] ** 2)} * {power[i]}" for i, n in enumerate(self.spread)}
+        else:
+            one = ["1D", "m.dt", "m.dt * m.dt / 2"]
+            n = self.size // 2
+            self.spread = ["position", "velocity", "acceleration"][:n] * 2
+            self.move = [{k + j: one[j - i] for j in range(i, n)} for k in (0, n) for i in range(n)]
+            input_ = ["(m.dt * m.dt / 2)", "m.dt", "1D"]
+            self.noise = {(k + i, k + j): f"{_number(NOISE[kind] ** 2)} * {input_[i]} * {input_[j]}" for k in (0, n) for i in range(n) for j in range(i, n)}
+        cells = {(i, i) for i in range(self.size)}
+        while True:  # what transition and noise fill
+            more = cells | set(self.noise) | {(i, j) for i in range(self.size) for j in range(i, self.size)
+                                              if any((min(k, m), max(k, m)) in cells for k in self.move[i] for m in self.move[j])}
+            if more == cells:
+                break
+            cells = more
+        self.cells = sorted(cells)
+
+    def cell(self, name: str, i: int, j: int) -> str | None:
+        pair = (min(i, j), max(i, j))
+        return f"{name}.c{pair[0]}{pair[1]}" if pair in self.cells else None
+
+    def state(self, x: dict[int, str], cov: dict[tuple[int, int], str]) -> dict[str, str]:
+        return {f"x{i}": v for i, v in sorted(x.items())} | {f"c{i}{j}": v for (i, j), v in sorted(cov.items())}
+
+    def advanced(self, of: str, dt: str, name: str, body: str) -> str:
+        """``body`` with ``name``, the state ``of`` moved on by ``dt``."""
+        rate = f"if(abs({of}.x4) > 1e-6D, {of}.x4, 1e-6D)"
+        x = {i: " + ".join(f"{c} * {of}.x{k}" for k, c in row.items()) for i, row in enumerate(self.move)}
+        cov = {}
+        for i, j in self.cells:
+            terms = [f"{a} * {b} * {c}" for k, a in self.move[i].items() for m, b in self.move[j].items() if (c := self.cell(of, k, m))]
+            cov[i, j] = " + ".join(terms + ([self.noise[i, j]] if (i, j) in self.noise else []))
+        moved = _let(name, self.state(x, cov), body)
+        if self.kind != "turn":
+            return _let("m", {"dt": dt}, moved)
+        swept = _let("m", {"dt": "q.dt", "s": "sin(q.w * q.dt)", "c": "cos(q.w * q.dt)", "along": "sin(q.w * q.dt) / q.w", "across": "(1D - cos(q.w * q.dt)) / q.w"}, moved)
+        return _let("q", {"dt": dt, "w": rate}, swept)
+
+    def corrected(self, of: str, x: str, y: str) -> str:
+        """The state after seeing a position; ``of`` is the state moved to its time."""
+        iy, seen = self.iy, _number(MEASURED_M**2)
+        cross = self.cell(of, 0, iy)
+        spread = {"a": f"{of}.c00 + {seen}", "b": cross or "0D", "d": f"{self.cell(of, iy, iy)} + {seen}", "x": f"{x} - {of}.x0", "y": f"{y} - {of}.x{iy}"}
+        zero = lambda c: c or "0D"
+        gain = {}
+        for i in range(self.size):
+            cx, cy = zero(self.cell(of, i, 0)), zero(self.cell(of, i, iy))
+            gain[f"x{i}"] = f"({cx} * h.d - {cy} * h.b) / (h.a * h.d - h.b * h.b)"
+            gain[f"y{i}"] = f"({cy} * h.a - {cx} * h.b) / (h.a * h.d - h.b * h.b)"
+        state = {i: f"{of}.x{i} + g.x{i} * h.x + g.y{i} * h.y" for i in range(self.size)}
+        cov = {(i, j): f"{self.cell(of, i, j)} - g.x{i} * {zero(self.cell(of, 0, j))} - g.y{i} * {zero(self.cell(of, iy, j))}" for i, j in self.cells}
+        return _let("h", spread, _let("g", gain, _struct(self.state(state, cov))))
+
+    def capped(self, of: str) -> str:
+        """The state within the limits of speed, acceleration and turn rate."""
+        def limit(i: int, j: int, most: float) -> str:
+            long = f"sqrt({of}.x{i} * {of}.x{i} + {of}.x{j} * {of}.x{j})"
+            return f"if({long} > {_number(most)}, {_number(most)} / {long}, 1D)"
+
+        x = {i: f"{of}.x{i}" for i in range(self.size)}
+        for i in self.speed:
+            x[i] = f"{of}.x{i} * l.v"
+        limits = {"v": limit(*self.speed, MAX_MPS)}
+        if self.kind == "acceleration":
+            limits["a"] = limit(2, 5, MAX_ACCELERATION)
+            x |= {i: f"{of}.x{i} * l.a" for i in (2, 5)}
+        if self.kind == "turn":
+            x[4] = f"greatest(least({of}.x4, {_number(MAX_TURN)}), {_number(-MAX_TURN)})"
+        return _let("l", limits, _struct(self.state(x, {c: self.cell(of, *c) for c in self.cells})))
+
+    def begun(self) -> str:
+        """The state before filtering, from the arrays x, y, dt, vx, vy: last position and velocity, latest change."""
+        last = {"position": "element_at({0}, -1)", "velocity": "element_at(v{0}, -1)",
+                "acceleration": "if(size(v{0}) > 1, (element_at(v{0}, -1) - try_element_at(v{0}, -2)) / element_at(dt, -1), 0D)"}
+        x = {i: last[n].format("y" if i >= self.iy else "x") if n != "turn" else "turn" for i, n in enumerate(self.spread)}
+        cov = {(i, j): _number(START[self.spread[i]] ** 2) if i == j else "0D" for i, j in self.cells}
+        return _struct(self.state(x, cov))
 
 
 def kalman_forecast(sequences: DataFrame, horizon: int, kind: str = "velocity", key: str = "sample_id") -> DataFrame:
     """Kalman forecast of each row's ``input`` track (models velocity, turn, acceleration).
 
-    Samples are rows with short arrays, so a batch of rows is filtered at once
-    and nothing needs grouping.
+    A recursive filter over the latest five fixes (three for turn) as a fold over the row's array, then
+    ``horizon`` steps of the mean of the last two gaps. Tracks may differ in length; one of two fixes begins
+    without turn or acceleration, one with fewer fixes or an unknown position has no forecast.
     """
-    schema = T.StructType([sequences.schema[key]] + [T.StructField("step", T.IntegerType())] + [
-        T.StructField(c, T.DoubleType()) for c in ("pred_lat", "pred_lon", "var_x", "var_y", "cov_xy")])
-    seconds = F.transform("input", lambda p: F.unix_micros(p["time"]) / 1e6)
-    slim = sequences.select(key, F.transform("input", lambda p: p["lat"]).alias("lat"),
-                            F.transform("input", lambda p: p["lon"]).alias("lon"), seconds.alias("t"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b) == 0:
-                continue
-            t = np.stack(b["t"].to_numpy())
-            got = kalman_batch(kind, np.stack(b["lat"].to_numpy()), np.stack(b["lon"].to_numpy()),
-                               t - t[:, :1], horizon)
-            yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), horizon),
-                                "step": np.tile(np.arange(1, horizon + 1, dtype=np.int32), len(b)),
-                                **{c: g.ravel() for c, g in zip(schema.names[2:], got)}})
-
-    return slim.mapInPandas(run, schema)
+    model, latest = _Motion(kind), 3 if kind == "turn" else 5
+    f = lambda name, of: F.expr(f"transform(input, p -> {of})").alias(name)
+    known = sequences.filter("size(input) > 1 and forall(input, p -> p.lat is not null and p.lon is not null and p.time is not null)")
+    df = known.select(key, f("lat", "p.lat"), f("lon", "p.lon"), f("us", "unix_micros(p.time)"))
+    mean = lambda c: F.expr(f"aggregate({c}, 0D, (a, v) -> a + v) / size({c})")
+    df = pinned(df, {"ref_lat": mean("lat"), "ref_lon": mean("lon")})
+    df = pinned(df, {"ky": F.lit(geo.M_PER_DEG), "kx": F.lit(geo.M_PER_DEG) * F.cos(F.radians("ref_lat"))})
+    df = pinned(df, {"x": F.expr("transform(lon, v -> (v - ref_lon) * kx)"), "y": F.expr("transform(lat, v -> (v - ref_lat) * ky)"),
+                     "dt": F.expr("transform(sequence(1, size(us) - 1), i -> greatest((us[i] - us[i - 1]) / 1e6D, 1e-6D))")})
+    df = pinned(df, {f"v{c}": F.expr(f"transform(dt, (w, i) -> ({c}[i + 1] - {c}[i]) / w)") for c in "xy"})
+    if kind == "turn":
+        df = pinned(df, {"course": F.expr("transform(vx, (v, i) -> atan2(v, vy[i]))")})
+        # a track that turns straight back on itself turns clockwise, whatever the last bits of its courses say
+        swing = f"pmod(course[i] - course[i - 1] + {_number(np.pi - 1e-9)}, {_number(2 * np.pi)}) - {_number(np.pi - 1e-9)}"
+        df = pinned(df, {"turns": F.expr(f"if(size(course) > 1, slice(transform(sequence(1, greatest(size(course) - 1, 1)), i -> if(i < size(course), ({swing}) / dt[i], 0D)), -least(3, size(course) - 1), 3), array(0D))")})
+        df = pinned(df, {"turn": mean("turns")})
+    seen = F.expr(f"transform(sequence(greatest(1, size(x) - {latest}), size(x) - 1), i -> named_struct('w', dt[i - 1], 'x', x[i], 'y', y[i]))")
+    df = pinned(df, {"begun": F.expr(model.begun()), "seen": seen, "gap": mean("slice(dt, -least(2, size(dt)), 2)")})
+    df = pinned(df, {"state": F.expr(f"aggregate(seen, begun, (s, z) -> {model.advanced('s', 'z.w', 'p', model.corrected('p', 'z.x', 'z.y'))})")})
+    ahead = model.advanced("s.now", "gap", "p", model.capped("p"))
+    steps = f"aggregate(sequence(1, {horizon}), named_struct('now', state, 'out', array()), (s, i) -> " + _let(
+        "n", {"now": ahead}, "named_struct('now', n.now, 'out', concat(s.out, array(n.now)))") + ", s -> s.out)"
+    steps = steps.replace("array())", f"slice(array(state), 1, 0))")
+    out = df.select(key, "ref_lat", "ref_lon", "kx", "ky", F.posexplode(F.expr(steps)).alias("_i", "_s"))
+    at = lambda c: F.col(f"_s.{c}")
+    iy = model.iy
+    cross = at(f"c0{iy}") if (0, iy) in model.cells else F.lit(0.0)
+    return out.select(key, (F.col("_i") + 1).alias("step"), (at(f"x{iy}") / F.col("ky") + F.col("ref_lat")).alias("pred_lat"),
+                      (at("x0") / F.col("kx") + F.col("ref_lon")).alias("pred_lon"), at("c00").alias("var_x"), at(f"c{iy}{iy}").alias("var_y"), cross.alias("cov_xy"))
 
 
 # ------------------------------------------------------------- tree models

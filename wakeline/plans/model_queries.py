@@ -84,6 +84,8 @@ def _scored(spark, sf, kind):
         "sample_id", (F.col("i") + 1).alias("step"), F.col("t.lat").alias("true_lat"), F.col("t.lon").alias("true_lon"))
     # variances span many powers of ten, so their logarithms are compared
     logs = {f"log_{c}": F.log(c) for c in ("var_x", "var_y")}
+    if kind == "turn":
+        pred = pred.withColumn("correlation", F.col("cov_xy") / F.sqrt(F.col("var_x") * F.col("var_y"))).drop("cov_xy")
     return EV.match(pred.withColumns(logs).drop("var_x", "var_y"), true)
 
 
@@ -126,6 +128,39 @@ SELECT sample_id, step, yp/ky+rla AS pred_lat, xp/kx+rlo AS pred_lon, ln(c00) AS
 FROM fo JOIN ax USING (sample_id) JOIN (SELECT sample_id, la, lo FROM wn) USING (sample_id) WHERE step>0"""
 
 
+def _turn_sql() -> str:
+    """The coordinated turn: five states and the fifteen cells of their covariance, by the same recursions."""
+    size = range(5)
+    cell = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+    cells = [(i, j) for i in size for j in size if i <= j]
+    names = ", ".join([f"s{i}" for i in size] + [cell(*c) for c in cells])
+    rows = [{0: "1", 1: "al", 3: "ac"}, {1: "cc", 3: "ss"}, {2: "1", 1: "-ac", 3: "al"}, {1: "-ss", 3: "cc"}, {4: "1"}]
+    noise = [f"{M.NOISE[n] ** 2!r}*{p}" for n, p in (("position", "w*w"), ("velocity", "w"), ("position", "w*w"), ("velocity", "w"), ("turn", "w"))]
+    angles = lambda src: (f"SELECT *, sin(om*w) AS ss, cos(om*w) AS cc, sin(om*w)/om AS al, (1-cos(om*w))/om AS ac "
+                          f"FROM (SELECT *, CASE WHEN abs(s4)>1e-6 THEN s4 ELSE 1e-6 END AS om FROM ({src}))")
+    moved = ", ".join([" + ".join(f"({c})*s{k}" for k, c in rows[i].items()) + f" AS s{i}" for i in size] + [
+        " + ".join(f"({a})*({b})*{cell(k, m)}" for k, a in rows[i].items() for m, b in rows[j].items()) + (f" + {noise[i]}" if i == j else "") + f" AS {cell(i, j)}" for i, j in cells])
+    seen = M.MEASURED_M ** 2
+    det = f"((c00+{seen!r})*(c22+{seen!r})-c02*c02)"
+    gain = ", ".join(f"({cell(i, 0)}*(c22+{seen!r})-{cell(i, 2)}*c02)/{det} AS gx{i}, ({cell(i, 2)}*(c00+{seen!r})-{cell(i, 0)}*c02)/{det} AS gy{i}" for i in size)
+    fixed = ", ".join([f"s{i}+gx{i}*(xm-s0)+gy{i}*(ym-s2) AS s{i}" for i in size] + [f"{cell(i, j)}-gx{i}*{cell(0, j)}-gy{i}*{cell(2, j)} AS {cell(i, j)}" for i, j in cells])
+    start = [M.START[n] ** 2 for n in ("position", "velocity", "position", "velocity", "turn")]
+    opening = "x[6], vx[5], y[6], vy[5], list_avg(tn), " + ", ".join(f"{start[i] if i == j else 0.0!r}::DOUBLE" for i, j in cells)
+    slow = f"least(1, {M.MAX_MPS!r}/greatest(sqrt(s1*s1+s3*s3), 1e-12))"
+    caps = f"s0, s1*{slow} AS s1, s2, s3*{slow} AS s3, greatest(least(s4, {float(M.MAX_TURN)!r}), {-float(M.MAX_TURN)!r}) AS s4, " + ", ".join(cell(*c) for c in cells)
+    half = "(pi()-1e-9)"
+    folded = f"((d+{half})-2*pi()*floor((d+{half})/(2*pi()))-{half})"
+    return _kalman_sql("velocity").split("kf(sample_id")[0] + f"""tv AS (SELECT *, list_transform(range(1, 6), lambda i: (x[i+1]-x[i])/w[i]) AS vx, list_transform(range(1, 6), lambda i: (y[i+1]-y[i])/w[i]) AS vy FROM ax),
+tc AS (SELECT *, list_transform(range(1, 6), lambda i: atan2(vx[i], vy[i])) AS co FROM tv),
+ta AS (SELECT *, list_transform(list_transform(range(3, 6), lambda i: {{'d': co[i]-co[i-1], 'w': w[i]}}), lambda q: {folded.replace("d+", "q.d+")}/q.w) AS tn FROM tc),
+kf(sample_id, i, {names}) AS (SELECT sample_id, 2, {opening} FROM ta
+ UNION ALL SELECT sample_id, i+1, {fixed} FROM (SELECT *, {gain} FROM (SELECT sample_id, i, xm, ym, {moved} FROM ({angles("SELECT kf.*, ta.w[i+1] AS w, ta.x[i+2] AS xm, ta.y[i+2] AS ym FROM kf JOIN ta USING (sample_id) WHERE i<5")})))),
+fo(sample_id, step, {names}) AS (SELECT sample_id, 0, {names} FROM kf WHERE i=5
+ UNION ALL SELECT sample_id, step+1, {caps} FROM (SELECT sample_id, step, {moved} FROM ({angles("SELECT fo.*, gap AS w FROM fo JOIN ta USING (sample_id) WHERE step<3")})))
+SELECT sample_id, step, s2/ky+rla AS pred_lat, s0/kx+rlo AS pred_lon, ln(c00) AS log_var_x, ln(c22) AS log_var_y, c02/sqrt(c00*c22) AS correlation, la[6+step] AS true_lat, lo[6+step] AS true_lon
+FROM fo JOIN ta USING (sample_id) JOIN (SELECT sample_id, la, lo FROM wn) USING (sample_id) WHERE step>0"""
+
+
 _FORECAST = "pred_lat pred_lon log_var_x log_var_y cov_xy true_lat true_lon"
 
 
@@ -134,7 +169,7 @@ def kalman_velocity(spark, sf):
     return _scored(spark, sf, "velocity")
 
 
-@query("mdl3_kalman_turn")
+@query("mdl3_kalman_turn", _turn_sql(), _FORECAST.replace("cov_xy", "correlation"), 5)
 def kalman_turn(spark, sf):
     return _scored(spark, sf, "turn")
 
