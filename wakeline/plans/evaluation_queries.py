@@ -267,7 +267,33 @@ def worst(spark, sf):
 _CASE_COLS = ("error", "port_km", "vessel_count_5km")
 
 
-@query("evl16_failure_clusters")
+def _clusters_sql(k: int = 5, rounds: int = 20) -> str:
+    """Farthest-point seeds and Lloyd rounds written out, a step each; a centre is a list of three numbers."""
+    cols = ("error", "port_km", "vc")
+    z = ", ".join(f"round(({c}-avg({c}) OVER ())/stddev_samp({c}) OVER (), 9)" for c in cols)
+    gap = lambda a, b: "round(" + "+".join(f"({a}[{i}]-{b}[{i}])*({a}[{i}]-{b}[{i}])" for i in (1, 2, 3)) + ", 9)"
+    out = f""", z AS (SELECT sample_id, [{z}] AS z FROM wc),
+s0 AS MATERIALIZED (SELECT 0 AS c, z AS m FROM z ORDER BY {gap('z', '[0.0, 0.0, 0.0]')} DESC, sample_id LIMIT 1)"""
+    for i in range(1, k):
+        out += f""",
+s{i} AS MATERIALIZED (SELECT * FROM s{i - 1} UNION ALL SELECT {i}, z FROM (SELECT z, (SELECT min({gap('z.z', 'm')}) FROM s{i - 1}) AS far, sample_id FROM z ORDER BY far DESC, sample_id LIMIT 1))"""
+    near = lambda src: f"SELECT sample_id, z, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT sample_id, z, c, {gap('z', 'm')} AS d FROM z, {src}) GROUP BY ALL"
+    last = f"s{k - 1}"
+    for i in range(rounds):
+        out += f""",
+l{i} AS MATERIALIZED (SELECT c, coalesce(n, m) AS m FROM {last} LEFT JOIN (SELECT c, [{", ".join(f"round(avg(z[{j}]), 9)" for j in (1, 2, 3))}] AS n FROM ({near(last)}) GROUP BY c) USING (c))"""
+        last = f"l{i}"
+    dot = lambda a, b: "+".join(f"{a}[{i}]*{b}[{i}]" for i in (1, 2, 3))
+    return out + f""",
+fin AS MATERIALIZED ({near(last)}),
+su AS (SELECT c AS o, count(*) AS n, avg({dot('z', 'z')}) AS q, [avg(z[1]), avg(z[2]), avg(z[3])] AS y FROM fin GROUP BY c),
+md AS (SELECT sample_id, c, o, n, {dot('z', 'z')}+q-2*({dot('z', 'y')}) AS md FROM fin, su),
+ab AS (SELECT sample_id, max(CASE WHEN o=c THEN n END) AS n, max(CASE WHEN o=c THEN md END) AS a, min(CASE WHEN o<>c THEN md END) AS b FROM md GROUP BY sample_id),
+si AS (SELECT avg(CASE WHEN n=1 THEN 0 ELSE (b-a*n/(n-1))/greatest(b, a*n/(n-1)) END) AS silhouette FROM ab)
+SELECT c AS cluster, sample_id, place, distance, silhouette FROM (SELECT c, sample_id, sqrt(d) AS distance, row_number() OVER (PARTITION BY c ORDER BY d, sample_id) AS place FROM fin), si WHERE place<=3"""
+
+
+@query("evl16_failure_clusters", _WORST + _clusters_sql(), "distance silhouette")
 def failure_clusters(spark, sf):
     found, silhouette = FA.cluster_cases(_worst(spark, sf), _CASE_COLS, k=5)
     near = FA.representatives(found).select("cluster", "sample_id", "place", "distance")
