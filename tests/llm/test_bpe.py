@@ -47,13 +47,35 @@ def test_null_ids_decode_to_nothing(spark):
     assert [bytes(r.decoded) for r in bpe.decode(coded, PATH, P.PATTERN).collect()] == [b"", b""]
 
 
-def test_a_full_cache_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 40)
+@pytest.mark.parametrize("most", [500, 20_000])
+def test_a_full_cache_changes_nothing(library, monkeypatch, most):
+    """Two small generations, which come and go, give the ids and bytes of the library."""
+    monkeypatch.setattr(bpe, "CACHE_BYTES", most)
     coder = bpe.Coder(bpe.rank_bytes(PATH), P.PATTERN)
     for _, text in odd_texts()[:40]:
-        split = coder.split(text)
-        coder.learn(set(split))
-        assert ",".join(coder.known[m][0] for m in split) == ",".join(map(str, library.encode_ordinary(text)))
+        matches = coder.split(text)
+        numbers = coder.numbers(matches)
+        coder.learn()
+        assert coder.known["ids"].take(numbers).values.tolist() == library.encode_ordinary(text)
+        assert coder.known["data"].take(numbers).values.tobytes() == text.encode()
+        coder.age()
+    assert coder.older[0]
+
+
+def test_too_little_memory_halves_the_batch(library, monkeypatch):
+    coder = bpe.Coder(bpe.rank_bytes(PATH), P.PATTERN)
+    query = coder._query
+
+    def short(sql, name, rows):
+        if rows.num_rows > 3:
+            raise bpe.duckdb.OutOfMemoryException("full")
+        return query(sql, name, rows)
+
+    monkeypatch.setattr(coder, "_query", short)
+    text = odd_texts()[0][1]
+    numbers = coder.numbers(coder.split(text))
+    coder.learn()
+    assert coder.known["ids"].take(numbers).values.tolist() == library.encode_ordinary(text)
 
 
 def test_empty_table_and_size_check(no_documents, monkeypatch):
