@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wakeline.functions import codes, geo, times
 from wakeline.operators import clean as C
 from wakeline.operators import collision as CO
+from wakeline.operators import failures as FA
 from wakeline.operators import models as M
 from wakeline.operators import proximity as P
 from wakeline.operators import quantiles as Q
@@ -429,3 +430,55 @@ def test_graph_query_has_a_node_a_minute(spark, fleet, monkeypatch):
     sizes = sizes[sizes >= 2]
     assert (got.n.sum(), got.windows.sum()) == (sizes.sum(), len(sizes))
     assert got.total.sum() == (near.bin // 600 * 600).isin(sizes.index).sum() > 0
+
+
+def test_first_records_with_ties_at_the_border(spark):
+    """A log whose lines share one second: number and content of the lines decide, equal lines fill up."""
+    rows = [("AIS", 1, datetime(2024, 1, 1, 0, 0, i // 50), 7 if i % 3 else None, i % 20) for i in range(200)]
+    df = spark.createDataFrame(rows, "class string, type int, log_time timestamp, seq long, mmsi long").repartition(5)
+    ordered = sorted(rows, key=lambda r: (r[2], r[3] or 0))
+    for n in (0, 1, 49, 50, 63, 120, 199, 200, 500):
+        got = [tuple(r) for r in L.first_records(df, n).collect()]
+        assert len(got) == min(n, 200)
+        assert sorted((r[2], r[3] or 0) for r in got) == [(r[2], r[3] or 0) for r in ordered[:n]]
+        again = [tuple(r) for r in L.first_records(df.repartition(3), n).collect()]
+        assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def _spread(points, k, rounds=20):
+    """Farthest-point seeds, then Lloyd rounds, on rows already standardised."""
+    gap = lambda a, b: round(sum((x - y) ** 2 for x, y in zip(a, b)), 9)
+    seeds = [[0.0] * len(points[0][1])]
+    for turn in range(k):
+        best = max(points, key=lambda p: (min(gap(p[1], s) for s in seeds), -p[0]))[1]
+        seeds = [best] if not turn else [*seeds, best]
+    for _ in range(rounds):
+        own = [min(range(k), key=lambda c: (gap(p, seeds[c]), c)) for _, p in points]
+        moved = [[round(float(np.mean([p[j] for (_, p), o in zip(points, own) if o == c])), 9) for j in range(len(points[0][1]))] if c in own else seeds[c] for c in range(k)]
+        if moved == seeds:
+            break
+        seeds = moved
+    return {i: min(range(k), key=lambda c: (gap(p, seeds[c]), c)) for i, p in points}
+
+
+def test_clusters_need_no_luck(spark):
+    rng = np.random.default_rng(3)
+    centres = [(0, 0, 0), (9, 0, 1), (0, 9, 2), (9, 9, 3)]
+    rows = [(i, *(float(x) for x in rng.normal(centres[i % 4], 0.8)), 5.0) for i in range(80)] + [(100 + i, 1.0, 1.0, 1.0, 5.0) for i in range(5)]
+    df = spark.createDataFrame([*rows, (500, None, 1.0, 1.0, 5.0), (501, float("nan"), 1.0, 1.0, 5.0)], "sample_id long, a double, b double, c double, flat double")
+    found, silhouette = FA.cluster_cases(df, ["a", "b", "c", "flat"], k=4)
+    x = np.array([r[1:4] for r in rows])
+    z = np.round((x - x.mean(axis=0)) / x.std(axis=0, ddof=1), 9)
+    want = _spread([(r[0], [*map(float, v), 0.0]) for r, v in zip(rows, z)], 4)
+    assert {r.sample_id: r.cluster for r in found.collect()} == want
+    d = ((z[:, None] - z[None]) ** 2).sum(axis=2)
+    own, scores = np.array([want[r[0]] for r in rows]), []
+    for i in range(len(rows)):
+        a = d[i, own == own[i]].sum() / ((own == own[i]).sum() - 1)
+        b = min(d[i, own == c].mean() for c in set(own) - {own[i]})
+        scores.append((b - a) / max(a, b))
+    assert silhouette == pytest.approx(np.mean(scores), abs=1e-6) and silhouette > 0.5
+    again, _ = FA.cluster_cases(df.repartition(7), ["a", "b", "c", "flat"], k=4)
+    assert {r.sample_id: r.cluster for r in again.collect()} == want
+    few, apart = FA.cluster_cases(df.filter("sample_id >= 100 and sample_id < 500"), ["a", "b"], k=3)
+    assert {r.cluster for r in few.collect()} == {0} and apart == 0.0

@@ -67,6 +67,16 @@ def receiver_static(spark, sf):
     return static.select("seq", "mmsi", "partno", "name", "call_sign", "ship_type")
 
 
+# the first 500 messages of a log stamped by the minute, where the border falls inside a minute
+@query("src2_receiver_first", with_sql("msg") + """, fr AS (SELECT event_id, date_trunc('minute', time) AS time, msg_type, lat, lon, sog, cog, mmsi FROM msg WHERE k%23<>0 AND k%29<>1 ORDER BY 2, 1 LIMIT 500)
+SELECT event_id AS seq, mmsi, time, msg_type, lat, lon, CASE WHEN sog BETWEEN 0 AND 50 THEN sog ELSE 0 END AS sog, cog FROM fr WHERE msg_type IN (1,2,3,18,19) AND lat<=90 AND lon<=180""", "lat lon sog cog")
+def receiver_first(spark, sf):
+    path = scratch_path(spark, "log")
+    log_lines(spark, sf).select(F.regexp_replace("value", r"^(.{16}):\d\d,\d{3} - ", "$1:00,000 - ").alias("value")).write.text(path)
+    places, _ = L.read_receiver_log(spark, path, max_records=500)
+    return places.select("seq", "mmsi", "time", "msg_type", "lat", "lon", "sog", "cog")
+
+
 @query("src3_reject_counts", with_sql("msg") + """
 SELECT reason, CASE WHEN reason NOT IN ('noise','malformed') THEN msg_type END AS msg_type, count(*) AS n FROM (SELECT msg_type,
   CASE WHEN k%23=0 THEN 'noise' WHEN k%29=1 THEN 'malformed' WHEN k%31=2 THEN 'no_time'

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from wakeline import schema as S
 from wakeline.functions import times
 from wakeline.operators import clean as C
+from wakeline.operators import splits as SP
 
 STAMPED = r"^\d{4}-\d{2}-\d{2} .* - "
 
@@ -58,9 +59,43 @@ def records(parsed: DataFrame) -> DataFrame:
     return C.with_message_class(C.null_out_of_range(C.null_sentinels(df)), "basic")
 
 
-def receiver_tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def receiver_records(parsed: DataFrame) -> DataFrame:
+    """Messages of `class = AIS` lines that have a type and a log time."""
+    return parsed.filter((F.col("class") == "AIS") & F.col("log_time").isNotNull() & F.col("type").isNotNull())
+
+
+def first_records(records: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` messages by log time; ties go by the receiver's ``seq``, then by a hash of the whole message.
+
+    The border is found by counting in ever narrower intervals, so nothing is sorted as a whole and a second
+    with very many messages costs no more than others. Equal messages are interchangeable: at the border as
+    many of them stay as there is room for.
+    """
+    seq = F.coalesce("seq", F.lit(0)) if "seq" in records.columns else F.lit(0)
+    whole = [F.col(c) for c in records.columns]
+    order = {"_o0": F.unix_micros("log_time"), "_o1": seq.cast("long"), "_o2": F.xxhash64(*whole), "_o3": F.xxhash64(F.lit(1), *whole)}
+    keyed = records.withColumns(order)
+    if n <= 0 or n >= records.count():
+        return records.limit(0) if n <= 0 else records
+    border = SP.cut_points(keyed, [F.col(o) for o in order], [n - 1])[0]
+    earlier, same = F.lit(False), F.lit(True)
+    for o, value in zip(order, border):
+        earlier = earlier | (same & (F.col(o) < value))
+        same = same & (F.col(o) == value)
+    before = keyed.filter(earlier)
+    return before.unionByName(keyed.filter(same).limit(n - before.count())).drop(*order)
+
+
+def read_receiver_log(spark: SparkSession, path: str | Sequence[str], max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Position and static tables of a receiver's log, of its first ``max_records`` messages or of all."""
+    return receiver_tables(parse_lines(read_lines(spark, path)), max_records)
+
+
+def receiver_tables(parsed: DataFrame, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Position and static tables keyed on the log time, from `class = AIS` lines."""
-    ais = parsed.filter((F.col("class") == "AIS") & F.col("log_time").isNotNull() & F.col("type").isNotNull())
+    ais = receiver_records(parsed)
+    if max_records is not None:
+        ais = first_records(ais, max_records)
     ais = C.rename_aliases(ais.drop("time", "reject").withColumnRenamed("log_time", "time"), S.LOG_ALIASES)
     valid = ais.filter(C.valid_mmsi(F.col("mmsi"), "text"))
     places = C.repair_motion(C.filter_positions(valid.filter(F.col("msg_type").isin(*S.RECEIVER_POSITION_TYPES))))
