@@ -140,7 +140,7 @@ def votes(s: Column) -> dict[str, Column]:
 _CHECKED, _RULED, _SHAPED = ((0.005, 0.015, 0.98), (0.9, 0.05, 0.05)), ((0.005, 0.025, 0.97), (0.2, 0.02, 0.78)), ((0.05, 0.05, 0.9), (0.25, 0.15, 0.6))
 _FORM_TRUST = {"ip": _CHECKED, "card": _CHECKED, "iban": _CHECKED, "ssn": _RULED, "email": _SHAPED, "phone": _SHAPED, "name": _SHAPED}
 _TRUST = {"gazetteer": ((0.1, 0.3, 0.6), (0.5, 0.35, 0.15)), "cue": ((0.1, 0.3, 0.6), (0.5, 0.35, 0.15)), "border": ((0.05, 0.02, 0.93), (0.28, 0.02, 0.7))}
-#: Share of true candidates. All this weighs KNOWN_ROWS candidates more than what is counted, so that labelers which
+#: Share of true candidates. All this weighs KNOWN_ROWS candidates and half of those counted, so that labelers which
 #: never disagree, or a kind that has only good candidates, can't turn it round. Check sums and rules aren't estimated.
 _PRIOR = {"email": 0.5, "ip": 0.5, "card": 0.5, "phone": 0.5, "iban": 0.35, "ssn": 0.35, "name": 0.35}
 KNOWN_ROWS = 30
@@ -167,14 +167,14 @@ class Trust:
 
 
 def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> Trust:
-    """Expectation-maximisation over (kind, votes, count) patterns; what is known beforehand weighs more than the counts."""
+    """Expectation-maximisation over (kind, votes, count) patterns; what is known beforehand weighs half as much as the counts."""
     trust = Trust()
     for _ in range(rounds):
         p = [trust.probability(kind, v) for kind, v, _ in patterns]
         for kind in {k for k, _, _ in patterns}:
             own = [(v, n, q) for (k, v, n), q in zip(patterns, p) if k == kind]
             rows = sum(n for _, n, _ in own)
-            held = KNOWN_ROWS + rows
+            held = KNOWN_ROWS + rows / 2
             trust.prior[kind] = (sum(n * q for _, n, q in own) + held * _PRIOR[kind]) / (rows + held)
             for i, labeler in enumerate(LABELERS):
                 if labeler == "form" and _FORM_TRUST[kind] is not _SHAPED:
