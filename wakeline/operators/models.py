@@ -238,6 +238,11 @@ def apply_forest(models: dict, matrix: DataFrame, cols: Sequence[str] = ("lat",
     return df.drop("features")
 
 
+def _squared_from(centre: Column):
+    # a second parameter of the function itself would be taken for the element's index
+    return lambda v: (v - centre) * (v - centre)
+
+
 def _state_features(cols: Sequence[str]) -> dict[str, Column]:
     """The same features from arrays ``hist_*`` holding the latest ten values."""
     out = {}
@@ -250,8 +255,7 @@ def _state_features(cols: Sequence[str]) -> dict[str, Column]:
             n = F.size(part)
             mean = F.aggregate(part, F.lit(0.0), lambda a, v: a + v) / n
             out[f"{c}_mean{r}"] = mean
-            out[f"{c}_std{r}"] = F.sqrt(F.aggregate(F.transform(part, lambda v, m=mean: (v - m) * (v - m)),
-                                                    F.lit(0.0), lambda a, v: a + v) / n)
+            out[f"{c}_std{r}"] = F.sqrt(F.aggregate(F.transform(part, _squared_from(mean)), F.lit(0.0), lambda a, v: a + v) / n)
     return out
 
 
