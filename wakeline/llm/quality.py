@@ -1,8 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a condition on which a document is rejected. On a bounded sample the share that a rule
-rejects and the time it takes are measured, and the rules are put in the order of rejections per cost. A
-row stops at the first rule that rejects it, so the order changes the work and never the verdict.
+Each rule is a condition on which a document is rejected, over counts of the text. On a bounded sample the
+time that each count and each condition takes is measured, over what reading the sample alone takes, and
+which rows each rule rejects. Rules are then picked one by one: always the one that rejects most of the rows
+still left, per second that it adds to what earlier rules have computed already. A row stops at the first
+rule that rejects it: :func:`cascade` computes a count only for rows that reach a rule which needs it. The
+order changes the work and never the verdict. :func:`judge` also returns all counts, of every row.
 
 Counts follow fixed definitions (see ``counts``); windows of five words are told apart by 64-bit hashes
 within one text (two of n different windows are confused with a chance of n^2 / 2^65).
@@ -14,13 +17,14 @@ columns are replaced.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wakeline.llm.common import BLANK_RUN, drawn, whole_text, words
+from wakeline.llm.common import BLANK_RUN, BLANKS, drawn, whole_text, words
 from wakeline.session import saved
 
 WINDOW = 5
@@ -80,17 +84,87 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_w", "_lines", "_h", "_s", "_p")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _repeated(w: Column) -> Column:
+    """Words inside windows of five that occur twice or more, from the array of words."""
+    def covered(places: Column) -> Column:
+        steps = F.transform(places, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(places, i + 1) - p, F.lit(WINDOW))))
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda a, n: a + n)
+
+    def again(s: Column) -> Column:
+        twice = F.filter(s, lambda x, i: (x.h == F.get(s, i - 1).h) | (x.h == F.get(s, i + 1).h))
+        return _let(F.array_sort(F.transform(twice, lambda x: x.i)), covered)
+
+    def told(h: Column) -> Column:
+        ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(h) > F.size(F.array_distinct(h)), _let(ordered, again)).otherwise(F.lit(0).cast("long"))
+
+    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+    return F.when(F.size(w) > WINDOW, _let(hashes, told)).otherwise(F.lit(0).cast("long"))
+
+
+def single_counts(text: str = "text") -> dict[str, Column]:
+    """Each count on its own, for rows that need no other."""
+    body = F.col(text)
+    filled = F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    bare = F.btrim(body, F.lit(BLANKS))
+    return {
+        "n_words": F.when(bare == "", 0).otherwise(F.regexp_count(bare, F.lit(BLANK_RUN)) + 1).cast("long"),
+        "word_chars": F.length(F.regexp_replace(body, BLANK_RUN, "")).cast("long"),
+        "n_symbols": (F.length(body) - F.length(F.regexp_replace(body, "[#*$%&|<>]+", ""))).cast("long"),
+        "n_lines": F.size(filled).cast("long"),
+        "n_dup_lines": _let(filled, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": _let(words(body), _repeated),
+    }
+
+
+def needs(rule: Rule) -> list[str]:
+    """Counts that a rule's condition names."""
+    return [name for name in single_counts() if re.search(rf"\b{name}\b", rule.reject)]
+
+
+def _seconds(sample: DataFrame, value: Column) -> float:
+    """Least time of two runs that compute a value for every row."""
+    took = []
+    for _ in range(2):
+        start = time.perf_counter()
+        sample.agg(F.max(F.hash(value))).collect()
+        took.append(time.perf_counter() - start)
+    return min(took)
+
+
+def picked(rules: Sequence[Rule], rows: Sequence[tuple[tuple[bool, ...], int]], count_cost: dict[str, float], rule_cost: dict[str, float]) -> list[Rule]:
+    """The rules, each time the one with most rejections of the rows left per second it adds.
+
+    ``rows``: which rules reject, and how many rows that holds for. A rule that rejects nothing more comes
+    after the others, the cheaper first.
+    """
+    left, known, order = list(rows), set(), []
+    while len(order) < len(rules):
+        def worth(i: int) -> tuple[float, float]:
+            added = rule_cost[rules[i].name] + sum(count_cost[c] for c in needs(rules[i]) if c not in known)
+            return sum(n for flags, n in left if flags[i]) / added, -added
+
+        best = max((i for i, r in enumerate(rules) if r not in order), key=worth)
+        order.append(rules[best])
+        known |= set(needs(rules[best]))
+        left = [(flags, n) for flags, n in left if not flags[best]]
+    return order
+
+
 def order_rules(counted: DataFrame, rules: Sequence[Rule] = RULES) -> list[Rule]:
-    """The rules by rejections per second, measured on a sample that already has its counts."""
+    """The rules in the order :func:`picked`, measured on a sample that has its text and counts."""
     sample = saved(counted, "sample")
-    n = max(1, sample.count())
-    sample.agg(*[F.count_if(F.expr(r.reject)) for r in rules]).collect()  # compiled and read once before the clock runs
-    worth = []
-    for rule in rules:
-        start = time.perf_counter()
-        rejected = sample.agg(F.count_if(F.expr(rule.reject))).collect()[0][0]
-        worth.append(rejected / n / (time.perf_counter() - start))
-    return [rule for _, rule in sorted(zip(worth, rules), key=lambda w: -w[0])]
+    flags = sample.groupBy(*[F.coalesce(F.expr(r.reject), F.lit(False)).alias(r.name) for r in rules]).agg(F.count("*").alias("n")).collect()
+    least = 1e-4
+    reading = _seconds(sample, F.length("text"))
+    count_cost = {name: max(least, _seconds(sample, value) - reading) for name, value in single_counts().items() if any(name in needs(r) for r in rules)}
+    rule_cost = {r.name: max(least, _seconds(sample, F.expr(r.reject)) - reading) for r in rules}
+    return picked(rules, [(tuple(r[rule.name] for rule in rules), r["n"]) for r in flags], count_cost, rule_cost)
 
 
 def rejected_by(rules: Sequence[Rule]) -> Column:
@@ -109,3 +183,22 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: DataFrame | No
     ordered = order_rules(counts(drawn(docs, SAMPLE_ROWS) if sample is None else sample), rules)
     out = counts(docs).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rejected_by", rejected_by(ordered))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+
+
+def cascade(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """The documents with ``rejected_by`` and ``kept``; a count is computed only for rows that reach a rule needing it.
+
+    ``rules`` are taken in their order; by default RULES, ordered on a bounded part of docs.
+    """
+    if rules is None:
+        rules = order_rules(counts(drawn(docs, SAMPLE_ROWS)))
+    clash = {c: f"_own_{c}" for c in docs.columns if c in single_counts()}
+    out, made = docs.withColumnsRenamed(clash).withColumns({"_whole": F.col("text"), "text": whole_text(F.col("text").cast("string")), "rejected_by": F.lit(None).cast("string")}), []
+    alive = F.col("rejected_by").isNull()
+    for rule in rules:
+        new = [name for name in needs(rule) if name not in made]
+        out = out.withColumns({name: F.when(alive, value) for name, value in single_counts().items() if name in new})
+        out = out.withColumn("rejected_by", F.when(alive, F.when(F.expr(rule.reject), rule.name)).otherwise(F.col("rejected_by")))
+        made += new
+    kept = [c for c in docs.columns if c not in ("rejected_by", "kept")]
+    return out.select(*[F.col("_whole" if c == "text" else clash.get(c, c)).alias(c) for c in kept], "rejected_by", F.col("rejected_by").isNull().alias("kept"))
