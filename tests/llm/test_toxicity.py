@@ -54,3 +54,11 @@ def test_odd_texts_and_missing_labels(spark, corpus, odd, no_documents):
     one = T.train(docs, labels.filter("toxic = 1"))
     assert one.weights == () and one.prior == 1
     assert T.drop_toxic(odd, none).columns == odd.columns
+
+
+def test_of_two_labels_the_smaller_counts(corpus):
+    """Conflicting and repeated labels train the model that the smallest of them would."""
+    docs, labels = corpus
+    both = labels.unionByName(labels.filter("doc_id % 60 = 0").withColumn("toxic", T.F.lit(0))).unionByName(labels.filter("doc_id % 7 = 0"))
+    plain = labels.withColumn("toxic", T.F.when(T.F.col("doc_id") % 60 == 0, 0).otherwise(T.F.col("toxic")))
+    assert T.train(docs, both.repartition(5)) == T.train(docs, plain)

@@ -12,8 +12,8 @@ Bounds (documented parameters): the sample is the ``toxic_sample`` and ``plain_s
 lowest in a hash of doc_id; those of at most ``sample_chars`` characters serve the dictionaries, texts of
 any length the curve. Every text is scored whole.
 
-Defined results: a null or empty text is one empty window. Labels that are null, or of documents without
-a row, are ignored; without labels of both classes every score is the share of toxic labels (0 without
+Defined results: a null or empty text is one empty window. A doc_id with labels of both classes counts as not
+toxic. Labels that are null, or of documents without a row, are ignored; without labels of both classes every score is the share of toxic labels (0 without
 labels). Repeated rows get equal scores. Other columns are ignored, whatever their names.
 """
 
@@ -122,14 +122,14 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
 
 def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model:
     """Model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, without held-out rows."""
-    known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out()).selectExpr("cast(doc_id AS long) AS doc_id", "cast(toxic AS int) AS toxic")
+    known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     if len(counts) < 2:
         return Model(b"", b"", (), prior)
     lot = F.xxhash64("doc_id")
     parts = [known.filter(F.col("toxic") == c).orderBy(lot, "doc_id").limit(n) for c, n in ((1, p.toxic_sample), (0, p.plain_sample))]
-    chosen = parts[0].unionByName(parts[1]).dropDuplicates(["doc_id"])
+    chosen = parts[0].unionByName(parts[1])
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # broadcast: at most toxic_sample + plain_sample rows of two numbers
     sample = saved(slim.join(F.broadcast(chosen), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")), "toxicity")
