@@ -62,3 +62,16 @@ def test_of_two_labels_the_smaller_counts(corpus):
     both = labels.unionByName(labels.filter("doc_id % 60 = 0").withColumn("toxic", T.F.lit(0))).unionByName(labels.filter("doc_id % 7 = 0"))
     plain = labels.withColumn("toxic", T.F.when(T.F.col("doc_id") % 60 == 0, 0).otherwise(T.F.col("toxic")))
     assert T.train(docs, both.repartition(5)) == T.train(docs, plain)
+
+
+def test_rows_are_judged_by_their_own_text(spark, corpus):
+    """Of two rows with one doc_id the toxic one goes; rows without id are judged too, and all columns come through."""
+    docs, labels = corpus
+    bad, good = " ".join(BAD * 12), docs.filter("doc_id = 1").first().text
+    rows = [(1, bad, 1.5, [1, 2], "a"), (1, good, None, None, "b"), (None, bad, 2.5, [], "c"), (None, good, 0.0, [3], "d"), (2, good + " the", 0.0, [3], "e")]
+    more = spark.createDataFrame(rows, "doc_id long, text string, score double, c0 array<int>, predicted string")
+    whole = docs.select("doc_id", "text").withColumns({"score": T.F.lit(None).cast("double"), "c0": T.F.lit(None).cast("array<int>"), "predicted": T.F.lit("z")}).unionByName(more)
+    out = T.drop_toxic(whole, labels)
+    assert out.columns == whole.columns and out.dtypes == whole.dtypes
+    got = {r.predicted: r for r in out.filter("predicted <> 'z'").collect()}
+    assert set(got) == {"b", "d", "e"} and got["d"].c0 == [3] and got["b"].score is None

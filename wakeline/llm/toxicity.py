@@ -25,8 +25,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wakeline.session import saved
 
@@ -151,19 +152,26 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
     return Model(*pairs[2], _fit(np.array([r["x"] for r in fitted]), y, weight), prior)
 
 
+def _scorer(model: Model, p: Toxicity):
+    """Scores of an Arrow column of texts."""
+    measure, w = _measure(model.plain, model.toxic, p), np.array(model.weights)
+
+    def found(texts: pa.Array) -> pa.Array:
+        if not len(w):
+            return pa.array(np.full(len(texts), model.prior))
+        x = np.array([measure(t.as_py() or "") for t in texts]).reshape(-1, len(w))
+        return pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
+
+    return found
+
+
 def score(docs: DataFrame, model: Model, p: Toxicity = Toxicity()) -> DataFrame:
     """doc_id, score and predicted of every row of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = _measure(model.plain, model.toxic, p)
-        w = np.array(model.weights)
+        scores = _scorer(model, p)
         for batch in batches:
-            if len(w):
-                x = np.array([measure(t.as_py() or "") for t in batch.column(1)]).reshape(-1, len(w))
-                found = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            else:
-                found = np.full(batch.num_rows, model.prior)
-            yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array(found, pa.float64())})
+            yield pa.record_batch({"doc_id": batch.column(0), "score": scores(batch.column(1))})
 
     slim = docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text")
     scored = slim.mapInArrow(run, "doc_id long, score double")
@@ -171,7 +179,16 @@ def score(docs: DataFrame, model: Model, p: Toxicity = Toxicity()) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> DataFrame:
-    """The documents that aren't predicted toxic; rows without doc_id stay."""
-    found = saved(score(docs, train(docs, labels, p), p), "toxicity")
-    gone = found.filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that aren't predicted toxic, each row by its own text; rows pass through with all their columns, so nothing is joined."""
+    model, names = train(docs, labels, p), [f"c{i}" for i in range(len(docs.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scorer(model, p)
+        for batch in batches:
+            keep = pc.less(scores(batch.column(batch.num_columns - 1)), p.threshold)
+            yield batch.filter(keep).select(names)
+
+    # columns by place, as their names are the caller's; the text once more as a string
+    plain = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)], F.col("text").cast("string").alias("text"))
+    kept = plain.mapInArrow(run, T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields)]))
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
