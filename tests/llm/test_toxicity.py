@@ -69,7 +69,7 @@ def test_rows_are_judged_by_their_own_text(spark, corpus):
     docs, labels = corpus
     marked = T.score(docs, T.train(docs, labels)).join(docs.select("doc_id", "text"), "doc_id")
     bad, good = (marked.filter(f"predicted = {c} and length(text) > 500").orderBy("doc_id").first().text for c in (1, 0))
-    rows = [(1, bad, 1.5, [1, 2], "a"), (1, good, None, None, "b"), (None, bad, 2.5, [], "c"), (None, good, 0.0, [3], "d"), (2, good, 0.0, [3], "e")]
+    rows = [(7001, bad, 1.5, [1, 2], "a"), (7001, good, None, None, "b"), (None, bad, 2.5, [], "c"), (None, good, 0.0, [3], "d"), (7002, good, 0.0, [3], "e")]
     more = spark.createDataFrame(rows, "doc_id long, text string, score double, c0 array<int>, predicted string")
     whole = docs.select("doc_id", "text").withColumns({"score": T.F.lit(None).cast("double"), "c0": T.F.lit(None).cast("array<int>"), "predicted": T.F.lit("z")}).unionByName(more)
     out = T.drop_toxic(whole, labels)
