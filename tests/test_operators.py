@@ -412,7 +412,7 @@ def test_graph_query_has_a_node_a_minute(spark, fleet, monkeypatch):
     from wakeline.plans import catalog, source_queries
 
     monkeypatch.setattr(source_queries.A, "positions", lambda spark, sf: fleet)
-    got = catalog.QUERIES["udf3_graph_dataset_minute"](spark, "").toPandas()
+    got = catalog.QUERIES["udf3_graph_dataset"](spark, "").toPandas()
     fixes = fleet.select("mmsi", "event_id", F.unix_seconds("time").alias("s"), "lat", "lon", "sog").toPandas().sort_values("event_id")
     # the first value of a minute, carried forward; minutes before the first speed go
     nodes = []
