@@ -13,7 +13,8 @@ NAMES = ["flagship_segment_summary", "src1_read_ais_log", "src3_reject_counts",
          "trj7_positions_at", "trj8_simplify", "win1_step_features", "win7_rolling_statistics", "win13_sequences", "jon2_merge_parts",
          "jon4_near_pairs", "col2_collision_features", "col6_graph_features", "col10_col11_encounters", "agg3_kinematic_statistics",
          "agg13_tail_outliers", "agg23_false_alerts", "evl3_planar_metrics", "evl8_classification", "bst1_bootstrap_percentile",
-         "tst3_cliffs_delta", "tst5_corrections", "spl1_random_split", "spl4_time_series_folds", "spl6_combined_folds", "str3_stream_segments"]
+         "tst3_cliffs_delta", "tst5_corrections", "spl1_random_split", "spl4_time_series_folds", "spl6_combined_folds", "str3_stream_segments", "trj6_resample_linear",
+         "mdl3_kalman_turn", "evl16_failure_clusters", "src2_receiver_first", "str4_stream_steps", "str6_stream_pairs"]
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="supplied tables are not here")
 
