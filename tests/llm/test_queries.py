@@ -10,15 +10,15 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="supplied tables are not here")
 
 
-@pytest.mark.parametrize("name", ["op4_line_dedup", "op6_warc_dictionary", "op10_quality_rules"])
+@pytest.mark.parametrize("name", ["op4_line_dedup", "op6_warc_dictionary", "op10_quality_rules", "op11_curriculum_mix", "op12_filter_audit", "op13_collocations"])
 def test_query_matches_sql(spark, name):
     got = entry_points.queries()[name](spark, SF).toPandas()
     assert compare(got, database(SF).execute(entry_points.oracle_sql()[name]).df()) is None
 
 
-def test_all_eleven_are_registered():
+def test_all_operators_are_registered():
     names = entry_points.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "byte_bpe"]
 
 
