@@ -84,7 +84,7 @@ CLASSES = tuple(TEMPLATES)
 #: Families that say less than another one that the same paragraph names.
 GENERAL = {"bsd": ("bsd-2-clause", "bsd-3-clause")}
 #: Ordinary words around a template in the examples.
-AROUND = 48
+AROUND = 64
 #: What separates paragraphs.
 BLANK_LINES = r"\n(?:[\x20\x09-\x0D]*\n)+"
 _TRIGGERS = "licen|copyright|reserved|permission|redistribut|permitted|public domain|proprietary|spdx"
