@@ -86,5 +86,55 @@ def test_long_texts_are_read_in_windows(monkeypatch):
     assert got == Counter({" ".join(w): c for (_, w), c in f.items()})
 
 
+class Everything:
+    def holds(self, h):
+        return np.ones(len(h), bool)
+
+
+def counted_by_a_task(spark, monkeypatch, batches):
+    """For each batch of rows that a task gives out: windows it has read by then, and the rows."""
+    tasks, read, windows = [], [], P.windows
+
+    class Texts:
+        def mapInArrow(self, task, schema):
+            tasks.append(task)
+            return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(P, "windows", lambda batch: (read.append(1) or w for w in windows(batch)))
+    monkeypatch.setattr(P, "opened", lambda shared: Everything())
+    monkeypatch.setattr(P, "WINDOW_BYTES", 1 << 12)
+    monkeypatch.setattr(P, "HELD_BYTES", 1 << 18, raising=False)
+    P.exact_counts(Texts(), 3, None)
+    given = [(len(read), out.to_pylist()) for out in tasks[0](iter(batches))]
+    return given, len(read)
+
+
+def arrow(rows):
+    return pa.record_batch([pa.array([x for x, _ in rows]), pa.array(np.zeros(len(rows), np.int32)), pa.array([t for _, t in rows])], ["lang", "shard", "text"])
+
+
+def test_counts_held_by_a_task_are_bounded(spark, monkeypatch):
+    """Many different phrases leave a task before its batch is read; what it holds doesn't grow with a batch."""
+    rows = [(["en", "de"][i % 2], " ".join(f"w{i}x{j}" for j in range(60)) + " of the sea") for i in range(800)]
+    given, windows = counted_by_a_task(spark, monkeypatch, [arrow(rows)])
+    seen = [0, *sorted({at for at, _ in given})]
+    assert windows >= 100 and max(b - a for a, b in zip(seen, seen[1:])) < windows / 4
+    f, n = counted(rows, 3)
+    want = Counter({(lang, " ".join(w), len(w)): c for (lang, w), c in f.items()}) + Counter({(lang, "", 0): c for lang, c in n.items()})
+    got = Counter()
+    for r in (r for _, out in given for r in out):
+        got[r["lang"], r["phrase"], r["words"]] += r["c"]
+    assert got == want
+
+
+def test_frequent_phrase_is_one_row_of_a_task(spark, monkeypatch):
+    """Few phrases are combined over windows and batches, not given out over and over."""
+    rows = [("en", "of the sea, of the land. " * 30)] * 400
+    given, windows = counted_by_a_task(spark, monkeypatch, [arrow(rows[:250]), arrow(rows[250:])])
+    got = [(r["phrase"], r["words"], r["c"]) for _, out in given for r in out]
+    f, n = counted(rows, 3)
+    assert windows > 50 and sorted(got) == sorted([(" ".join(w), len(w), c) for (_, w), c in f.items()] + [("", 0, n["en"])])
+
+
 def test_empty_table(spark):
     assert P.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0

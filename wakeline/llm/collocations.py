@@ -39,6 +39,10 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 CHUNK_BITS = 1 << 16
 #: Bytes of text looked at together.
 WINDOW_BYTES = 1 << 19
+#: Bytes of counted phrases a task holds before it gives them out, and rows it gives out together.
+HELD_BYTES, GIVEN_ROWS = 1 << 24, 1 << 15
+#: Columns of counted phrases.
+COUNTED = ["lang", "phrase", "words", "c"]
 
 #: Class of each byte: 0 in a word, 1 between words, 2 between pieces.
 _CLASS = np.zeros(256, np.uint8)
@@ -220,23 +224,54 @@ def local_counts(texts: DataFrame, n: int, shards: int, parts=None) -> DataFrame
     return texts.mapInArrow(mine, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+class Tally:
+    """Counts of phrases by language and length, combined as exact strings; given out when they pass HELD_BYTES."""
+
+    def __init__(self) -> None:
+        self.found: dict[tuple[str, int], list[pa.Table]] = {}
+        self.bytes = 0
+
+    def add(self, lang: str, n: int, phrases: pa.Array, counts: pa.Array) -> None:
+        own = pa.table([phrases, counts], ["phrase", "c"])
+        self.found.setdefault((lang, n), []).append(own)
+        self.bytes += own.nbytes + 1024  # and what a table takes itself
+
+    def combine(self) -> None:
+        self.bytes = 0
+        for key, own in self.found.items():
+            if len(own) > 1:
+                own[:] = [pa.concat_tables(own).group_by("phrase", use_threads=False).aggregate([("c", "sum")]).select(["phrase", "c_sum"]).rename_columns(["phrase", "c"])]
+            self.bytes += own[0].nbytes + 1024
+
+    def given(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        """What is held, once it is too much or at the end; nothing while combining makes room for as much again."""
+        if not last and self.bytes <= HELD_BYTES:
+            return
+        self.combine()
+        if not last and self.bytes <= HELD_BYTES // 2:
+            return
+        for (lang, n), own in self.found.items():
+            for rows in own[0].to_batches(max_chunksize=GIVEN_ROWS):
+                phrase = rows.column(0).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(rows)), phrase, pa.repeat(pa.scalar(n, pa.int32()), len(rows)), rows.column(1)], COUNTED)
+        self.found, self.bytes = {}, 0
+
+
 def exact_counts(texts: DataFrame, longest: int, candidates) -> DataFrame:
     """lang, phrase, words, f: all occurrences of what is in the bitmap; a row of 0 words has a language's number of words."""
-    names = ["lang", "phrase", "words", "c"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = opened(candidates)
+        kept, tally = opened(candidates), Tally()
         for batch in batches:
-            found = []
             for lang, _, data, begins in windows(batch):
                 w = Words(lang, data, begins)
-                found.append(pa.table([pa.array([lang]), pa.array([""]), pa.array([0], pa.int32()), pa.array([len(w.hashes)])], names))
+                tally.add(lang, 0, pa.array([""], pa.large_string()), pa.array([len(w.hashes)], pa.int64()))
                 for n in range(1, longest + 1):
                     at, h = w.phrases(n)
                     each = w.strings(at[kept.holds(h)], n).value_counts()
-                    found.append(pa.table([pa.repeat(pa.scalar(lang), len(each)), each.field("values").cast(pa.string()), pa.repeat(pa.scalar(n, pa.int32()), len(each)), each.field("counts")], names))
-            if found:  # a batch's windows together, as a phrase is in many of them
-                yield from pa.concat_tables(found).group_by(names[:3]).aggregate([("c", "sum")]).select([*names[:3], "c_sum"]).rename_columns(names).to_batches()
+                    tally.add(lang, n, each.field("values"), each.field("counts"))
+                yield from tally.given()
+        yield from tally.given(last=True)
 
     rows = texts.mapInArrow(count, "lang string, phrase string, words int, c long")
     return rows.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("f"))
@@ -255,8 +290,8 @@ def frequent(docs: DataFrame, rule: Mining = Mining(), lang: str = "lang", text:
         local = saved(local, f"shards-{n}")
         parts = bitmap_of(local) if n < rule.longest else None
         union = union.unionByName(local) if union else local
-    # keys lose their shard; the last bits of a hash aren't looked at by bitmaps
-    candidates = union.select(F.shiftleft("h", shard_bits(rule.shards)).alias("h")).distinct()
+    # keys lose their shard; the last bits of a hash aren't looked at by bitmaps, nor does one care for repeated keys
+    candidates = union.select(F.shiftleft("h", shard_bits(rule.shards)).alias("h"))
     whole = texts.withColumn("shard", F.lit(0))  # shards have done their work
     counted = exact_counts(whole, rule.longest, bitmap_of(candidates)).filter((F.col("words") == 0) | (F.col("f") >= rule.support))
     counted = saved(counted, "phrases")
