@@ -92,3 +92,39 @@ def test_clustering_by_blocks(spark, crowd, monkeypatch, tile):
                       "lon": [r.lon for r in rows], "_home": [True] * len(rows)})
     monkeypatch.setattr(B, "TILE", tile)
     assert B.triangles(table, 18.52, False) == (len(near), pytest.approx(want))
+
+
+def test_graph_features_with_repeated_numbers(crowd):
+    """Buckets whose row numbers repeat go by edge lists; others, by blocks; both as if alone."""
+    whole = crowd.dropna(subset=["event_id"])
+    minute = F.minute("time")
+    once = {r.bucket: r for r in CO.graph_features(whole, 10.0).collect()}
+    mixed = {r.bucket: r for r in CO.graph_features(whole.unionByName(whole.filter(minute == 1).limit(1)), 10.0).collect()}
+    edges = {r.bucket: r for r in CO._edge_clustering(whole, 10.0, 60, False).collect()}
+    first, second = sorted(once)
+    assert mixed[first] == once[first] and mixed[second].n == once[second].n + 1
+    for b, r in once.items():
+        assert (r.avg_degree * r.n, r.clustering * r.n) == (pytest.approx(edges[b].ends), pytest.approx(edges[b].c))
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """(label, rows) of every table that is written on the way."""
+    found = []
+    for module in (P, CO, TK, Q):
+        def noted(df, label, f=module.saved):
+            out = f(df, label)
+            found.append((label, out.count()))
+            return out
+
+        monkeypatch.setattr(module, "saved", noted)
+    return found
+
+
+def test_graph_dataset_writes_no_pairs(spark, written):
+    df = spark.range(40 * 30).select(
+        F.col("id").alias("event_id"), (F.col("id") % 40 + 1000).alias("mmsi"), F.timestamp_micros(F.expr("id div 40 * 60000000")).alias("time"),
+        (60 + (F.col("id") % 40) * 0.001).alias("lat"), F.lit(5.0).alias("lon"), F.lit(3.0).alias("sog"), (F.col("id") % 50).cast("double").alias("cog"))
+    out = TK.build_dataset("graph_network", df)
+    assert out.agg(F.sum(F.element_at("input", 1)["degree"]).alias("d")).first().d == 40 * 39 * 30
+    assert max(n for _, n in written) <= 40 * 30
