@@ -68,6 +68,22 @@ def test_near_pairs_across_the_date_line(crowd):
         assert got == pytest.approx(brute(crowd.collect(), 10.0, same))
 
 
+def test_collision_features_are_those_of_all_pairs(crowd):
+    pairs = CO.with_cpa(P.near_pairs(crowd.dropna(subset=["lat", "lon", "sog", "cog"])))
+    want = {r.event_id: r for r in pairs.groupBy("event_id").agg(
+        F.min("cpa_m").alias("c"), F.min(F.when(F.col("tcpa_s") > 0, F.col("tcpa_s"))).alias("t"), F.count("*").alias("n"),
+        F.avg("distance_nm").alias("d"), F.avg("relative_knots").alias("v"),
+        F.min_by("relative_knots", F.struct("cpa_m", "other_event_id")).alias("w")).collect()}
+    got = {r.event_id: r for r in CO.collision_features(crowd).filter("num_nearby > 0").collect()}
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        w = want[k]
+        assert (r.num_nearby, r.min_cpa, r.relative_speed) == (w.n, w.c, pytest.approx(w.w))
+        assert r.min_tcpa == pytest.approx(math.inf if w.t is None else w.t)
+    for r in CO.edge_features(crowd).collect():
+        assert (r.degree, r.avg_distance, r.avg_relative_velocity) == (want[r.event_id].n, pytest.approx(want[r.event_id].d), pytest.approx(want[r.event_id].v))
+
+
 def test_equal_neighbours_take_one_row(spark):
     """Hundreds of rows in one place: the least approach is 0 for all, and one row comes out of each."""
     df = spark.range(300).select(F.col("id").alias("event_id"), (F.col("id") + 1000).alias("mmsi"), F.timestamp_micros(F.lit(0)).alias("time"),
@@ -128,3 +144,12 @@ def test_graph_dataset_writes_no_pairs(spark, written):
     out = TK.build_dataset("graph_network", df)
     assert out.agg(F.sum(F.element_at("input", 1)["degree"]).alias("d")).first().d == 40 * 39 * 30
     assert max(n for _, n in written) <= 40 * 30
+
+
+def test_collision_dataset_writes_rows_not_windows(spark, written):
+    df = spark.range(4 * 60).select(
+        F.col("id").alias("event_id"), (F.col("id") % 4 + 1000).alias("mmsi"), F.timestamp_micros(F.expr("id div 4 * 60000000")).alias("time"),
+        (60 + (F.col("id") % 4) * 0.001).alias("lat"), F.lit(5.0).alias("lon"), F.lit(3.0).alias("sog"), (F.col("id") % 50).cast("double").alias("cog"))
+    out = TK.build_dataset("collision_avoidance", df)
+    assert out.count() == 4 * 31 and {r.n for r in out.select(F.element_at("input", -1)["num_nearby"].alias("n")).collect()} == {3}
+    assert "samples" not in {label for label, _ in written}
