@@ -153,3 +153,33 @@ def test_collision_dataset_writes_rows_not_windows(spark, written):
     out = TK.build_dataset("collision_avoidance", df)
     assert out.count() == 4 * 31 and {r.n for r in out.select(F.element_at("input", -1)["num_nearby"].alias("n")).collect()} == {3}
     assert "samples" not in {label for label, _ in written}
+
+
+def test_percentiles_counted_in_two_passes(spark):
+    import random
+
+    rng = random.Random(5)
+    values = [0.0, -0.0, 1.0, 2.0, 4.0, 2.0 - 2 ** -52, 2.0 + 2 ** -51, 1e-310, -1e-310, 1e300, -1e300, math.inf, 3.0, 3.0, 3.0, None]
+    values += [rng.lognormvariate(0, 5) * rng.choice((-1, 1)) for _ in range(500)] + [rng.uniform(1, 1.01) for _ in range(500)]
+    df = spark.createDataFrame([(i % 3 if i % 50 else None, v) for i, v in enumerate(values)], "k int, v double")
+    wanted = {f"p{i}": i / 20 for i in range(20)}
+    for keys in ([], ["k"]):
+        one, two = (sorted(map(tuple, Q.percentiles(df, keys, "v", wanted, again=a).select(*keys, *wanted).collect())) for a in (False, True))
+        assert len(one) == len(two) and all(x == pytest.approx(y) for x, y in zip(one, two))
+    bins = [r.b for r in spark.createDataFrame([(v,) for v in sorted(x for x in values if x is not None)], "v double").coalesce(1).select(Q._octave_bin("v").alias("b")).collect()]
+    assert bins == sorted(bins)
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
+def test_forecast_pairs_are_not_joined(spark, tmp_path, monkeypatch):
+    from wakeline.plans import proximity_queries as PQ
+
+    spark.range(200).select(F.col("id").alias("event_id"), F.timestamp_micros(1704067200000000 + F.col("id") * 60_000_000).alias("ts"), (F.col("id") % 4).alias("user_id"),
+                            F.lit("click").alias("event_type"), F.lit(50.0).alias("value"), F.format_string('{"k": %d}', F.col("id") % 90).alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    found = []
+    monkeypatch.setattr(P, "near_pairs", lambda *a, f=P.near_pairs, **k: found.append(f(*a, **k)) or found[-1])
+    both = PQ._first_step(spark, str(tmp_path))
+    assert joins(both) == joins(found[0])
