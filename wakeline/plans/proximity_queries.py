@@ -261,7 +261,7 @@ def cpa_forecast_errors(spark, sf):
     means = e.agg(rate("distance_accurate").alias("distance_accuracy_rate"), rate("time_accurate").alias("time_accuracy_rate"),
                   rate("overall_accurate").alias("overall_accuracy_rate"), F.avg("distance_error_m").alias("mean_distance_error_m"),
                   F.stddev_pop("distance_error_m").alias("std_distance_error_m"))
-    median = Q.percentiles(e, [], "distance_error_m", {"median_distance_error_m": 0.5})
+    median = Q.percentiles(e, [], "distance_error_m", {"median_distance_error_m": 0.5}, again=True)
     return Q.side_by_side(means, median)
 
 
