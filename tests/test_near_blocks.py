@@ -174,6 +174,18 @@ def joins(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("Join")
 
 
+def test_compliance_with_lists_is_that_of_joins(crowd):
+    did = crowd.select("event_id", (F.col("event_id") % 7).cast("double").alias("course_change"), F.when(F.col("event_id") % 3 > 0, 0.05).alias("speed_change"))
+    plain = crowd.dropna(subset=["sog", "cog"])
+    want = CO.check_compliance(CO.with_encounter(CO.with_cpa(P.near_pairs(plain))), did)
+    lists = plain.join(did.groupBy("event_id").agg(F.collect_list(F.struct("course_change", "speed_change")).alias("done")), "event_id")
+    pairs = P.near_pairs(lists, state=[*P.STATE, "done"])
+    got = CO.check_compliance(CO.with_encounter(CO.with_cpa(pairs)))
+    cols = ["event_id", "other_event_id", "compliant", "other_compliant", "overall_compliant"]
+    assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
+    assert joins(got) == joins(pairs)
+
+
 def test_forecast_pairs_are_not_joined(spark, tmp_path, monkeypatch):
     from wakeline.plans import proximity_queries as PQ
 
