@@ -186,6 +186,19 @@ def test_compliance_with_lists_is_that_of_joins(crowd):
     assert joins(got) == joins(pairs)
 
 
+def test_stepwise_risk_with_lists_is_that_of_joins(spark, crowd):
+    own = crowd.filter("event_id % 5 > 0").select(F.col("event_id").alias("sample_id"), "lat", "lon", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("step"))
+    own = own.withColumns({"lat": F.col("lat") + F.col("step") * F.col("step") * 1e-3, "lon": F.col("lon") + F.col("sample_id") * F.col("step") * 1e-5})
+    near = P.near_pairs(crowd).select(F.col("event_id").alias("sample_id"), F.col("other_event_id").alias("neighbour_id"))
+    want = CO.stepwise_risk(own, near.join(own.withColumnRenamed("sample_id", "neighbour_id"), "neighbour_id"))
+    rows = crowd.join(CO.motion_lists(own).withColumnRenamed("sample_id", "event_id"), "event_id")
+    pairs = P.near_pairs(rows, state=("event_id", "mmsi", "time", "lat", "lon", "steps"))
+    got = CO.stepwise_risk(None, pairs.select(F.col("event_id").alias("sample_id"), "steps", "other_steps"))
+    both = [{r.sample_id: r.risk for r in x.collect()} for x in (got, want)]
+    assert len(both[0]) > 50 and both[0] == pytest.approx(both[1])
+    assert joins(got) == joins(pairs)
+
+
 def test_forecast_pairs_are_not_joined(spark, tmp_path, monkeypatch):
     from wakeline.plans import proximity_queries as PQ
 

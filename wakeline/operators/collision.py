@@ -282,19 +282,33 @@ def warning_events(both: DataFrame, limit_m: float = 1000.0) -> DataFrame:
         F.create_map(F.lit("other_mmsi"), F.col("other_mmsi").cast("string")).alias("metadata"))
 
 
-def stepwise_risk(own: DataFrame, neighbours: DataFrame, limit_m: float = 500.0, horizon: int = 12) -> DataFrame:
+def moved(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Add each step's change of position."""
+    w = Window.partitionBy(*keys).orderBy("step")
+    return df.withColumns({"vlat": F.col("lat") - F.lag("lat").over(w), "vlon": F.col("lon") - F.lag("lon").over(w)})
+
+
+def motion_lists(own: DataFrame) -> DataFrame:
+    """sample_id and the list ``steps`` of its steps with their change of position."""
+    return moved(own, ["sample_id"]).groupBy("sample_id").agg(F.collect_list(F.struct("step", "lat", "lon", "vlat", "vlon")).alias("steps"))
+
+
+def stepwise_risk(own: DataFrame | None, neighbours: DataFrame, limit_m: float = 500.0, horizon: int = 12) -> DataFrame:
     """Mean sigmoid risk over steps and neighbours of each sample, in step units.
 
-    ``own``: sample_id, step, lat, lon; ``neighbours`` adds neighbour_id.
+    ``own``: sample_id, step, lat, lon; ``neighbours`` adds neighbour_id.  Without ``own``, ``neighbours`` are pairs that
+    bring both tracks along: sample_id and the lists ``steps`` and ``other_steps`` of :func:`motion_lists`.
     """
-    def moved(df, keys):
-        w = Window.partitionBy(*keys).orderBy("step")
-        return df.withColumns({"vlat": F.col("lat") - F.lag("lat").over(w), "vlon": F.col("lon") - F.lag("lon").over(w)})
-
-    a = moved(own, ["sample_id"]).filter(F.col("vlat").isNotNull() & (F.col("step") <= horizon))
-    b = moved(neighbours, ["sample_id", "neighbour_id"]).select(
-        "sample_id", "neighbour_id", "step", *[F.col(c).alias(f"n_{c}") for c in ("lat", "lon", "vlat", "vlon")])
-    j = a.join(b, ["sample_id", "step"])
+    mine, theirs = ("step", "lat", "lon", "vlat", "vlon"), ("lat", "lon", "vlat", "vlon")
+    counts = F.col("vlat").isNotNull() & (F.col("step") <= horizon)
+    if own is None:
+        j = neighbours.select("sample_id", F.inline("steps").alias(*mine), "other_steps").filter(counts)
+        same = F.filter("other_steps", lambda s: s["step"] == F.col("step"))
+        j = j.select("sample_id", *mine, F.inline(F.transform(same, lambda s: F.struct(*[s[c].alias(f"n_{c}") for c in theirs]))))
+    else:
+        a = moved(own, ["sample_id"]).filter(counts)
+        b = moved(neighbours, ["sample_id", "neighbour_id"]).select("sample_id", "neighbour_id", "step", *[F.col(c).alias(f"n_{c}") for c in theirs])
+        j = a.join(b, ["sample_id", "step"])
     px, py = F.col("lat") - F.col("n_lat"), F.col("lon") - F.col("n_lon")
     vx, vy = F.col("vlat") - F.col("n_vlat"), F.col("vlon") - F.col("n_vlon")
     rel2 = vx * vx + vy * vy

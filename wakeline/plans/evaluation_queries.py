@@ -358,9 +358,10 @@ SELECT sample_id, avg(1/(1+exp((sqrt((px+t*vx)*(px+t*vx)+(py+t*vy)*(py+t*vy))*11
 def stepwise_risk(spark, sf):
     fc = forecast(spark, sf)
     own = fc.select("sample_id", "step", F.col("pred_lat").alias("lat"), F.col("pred_lon").alias("lon"))
-    near = P.near_pairs(A.positions(spark, sf), 2.0).select(F.col("event_id").alias("sample_id"), F.col("other_event_id").alias("neighbour_id"))
-    track = own.withColumnRenamed("sample_id", "neighbour_id")
-    return CO.stepwise_risk(own, near.join(track, "neighbour_id"))
+    # the tracks go with the rows, so that pairs needn't be joined
+    p = A.positions(spark, sf).join(CO.motion_lists(own).withColumnRenamed("sample_id", "event_id"), "event_id")
+    near = P.near_pairs(p, 2.0, state=("event_id", "mmsi", "time", "lat", "lon", "steps"))
+    return CO.stepwise_risk(None, near.select(F.col("event_id").alias("sample_id"), "steps", "other_steps"))
 
 
 @query("col17_feasibility", with_sql("seg") + f""", w AS (SELECT event_id, cog, sog, lag(cog) OVER s AS pc, lag(sog) OVER s AS ps FROM seg WINDOW s AS (PARTITION BY mmsi, segment_id ORDER BY time, event_id))
