@@ -154,7 +154,7 @@ def _described(spark, sf):
     fc = forecast(spark, sf)
     errors = EV.sample_errors(fc)
     p = A.positions(spark, sf)
-    near = P.near_pairs(p, 5 / 1.852).groupBy("event_id").agg(F.count("*").alias("vessel_count_5km"))
+    near = P.near_summaries(p, 5 / 1.852, state=("event_id", "mmsi", "lat", "lon")).groupBy("event_id").agg(F.sum("n").alias("vessel_count_5km"))
     p = P.nearest_port(p.select("event_id", "mmsi", "lat", "lon"), A.ports(spark, sf))
     p = ST.enrich(p.select("event_id", "mmsi", "port_km"), ST.merged_static(A.static_messages(spark, sf)))
     p = p.join(near, "event_id", "left").select(F.col("event_id").alias("sample_id"), "mmsi", "port_km", "ship_type",
