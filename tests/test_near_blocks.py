@@ -193,10 +193,15 @@ def test_stepwise_risk_with_lists_is_that_of_joins(spark, crowd):
     want = CO.stepwise_risk(own, near.join(own.withColumnRenamed("sample_id", "neighbour_id"), "neighbour_id"))
     rows = crowd.join(CO.motion_lists(own).withColumnRenamed("sample_id", "event_id"), "event_id")
     pairs = P.near_pairs(rows, state=("event_id", "mmsi", "time", "lat", "lon", "steps"))
-    got = CO.stepwise_risk(None, pairs.select(F.col("event_id").alias("sample_id"), "steps", "other_steps"))
+    got = CO.stepwise_risk(None, None, pairs=pairs.select(F.col("event_id").alias("sample_id"), "steps", "other_steps"))
     both = [{r.sample_id: r.risk for r in x.collect()} for x in (got, want)]
     assert len(both[0]) > 50 and both[0] == pytest.approx(both[1])
     assert joins(got) == joins(pairs)
+    # one part of the pairs by joins, the other by lists
+    half = F.col("event_id") % 2 == 0
+    part = near.filter(F.col("sample_id") % 2 == 1).join(own.withColumnRenamed("sample_id", "neighbour_id"), "neighbour_id")
+    mixed = CO.stepwise_risk(own, part, pairs=pairs.filter(half).select(F.col("event_id").alias("sample_id"), "steps", "other_steps"))
+    assert {r.sample_id: r.risk for r in mixed.collect()} == pytest.approx(both[1])
 
 
 def test_forecast_pairs_are_not_joined(spark, tmp_path, monkeypatch):

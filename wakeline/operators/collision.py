@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wakeline.functions import codes, geo
@@ -289,26 +291,30 @@ def moved(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def motion_lists(own: DataFrame) -> DataFrame:
-    """sample_id and the list ``steps`` of its steps with their change of position."""
-    return moved(own, ["sample_id"]).groupBy("sample_id").agg(F.collect_list(F.struct("step", "lat", "lon", "vlat", "vlon")).alias("steps"))
+    """sample_id, the list ``steps`` of its steps with their change of position, and whether a step ``repeats``."""
+    lists = moved(own, ["sample_id"]).groupBy("sample_id").agg(F.collect_list(F.struct("step", "lat", "lon", "vlat", "vlon")).alias("steps"))
+    return lists.withColumn("repeats", F.size(F.array_distinct(F.col("steps.step"))) < F.size("steps"))
 
 
-def stepwise_risk(own: DataFrame | None, neighbours: DataFrame, limit_m: float = 500.0, horizon: int = 12) -> DataFrame:
+def stepwise_risk(own: DataFrame | None, neighbours: DataFrame | None, limit_m: float = 500.0, horizon: int = 12,
+                  pairs: DataFrame | None = None) -> DataFrame:
     """Mean sigmoid risk over steps and neighbours of each sample, in step units.
 
-    ``own``: sample_id, step, lat, lon; ``neighbours`` adds neighbour_id.  Without ``own``, ``neighbours`` are pairs that
-    bring both tracks along: sample_id and the lists ``steps`` and ``other_steps`` of :func:`motion_lists`.
+    ``own``: sample_id, step, lat, lon; ``neighbours`` adds neighbour_id.  ``pairs``, alone or besides, are neighbours whose
+    steps don't repeat and that bring both tracks along: sample_id and the lists ``steps`` and ``other_steps`` of :func:`motion_lists`.
     """
     mine, theirs = ("step", "lat", "lon", "vlat", "vlon"), ("lat", "lon", "vlat", "vlon")
     counts = F.col("vlat").isNotNull() & (F.col("step") <= horizon)
-    if own is None:
-        j = neighbours.select("sample_id", F.inline("steps").alias(*mine), "other_steps").filter(counts)
+    columns, met = ["sample_id", *mine, *[f"n_{c}" for c in theirs]], []
+    if pairs is not None:
+        j = pairs.select("sample_id", F.inline("steps").alias(*mine), "other_steps").filter(counts)
         same = F.filter("other_steps", lambda s: s["step"] == F.col("step"))
-        j = j.select("sample_id", *mine, F.inline(F.transform(same, lambda s: F.struct(*[s[c].alias(f"n_{c}") for c in theirs]))))
-    else:
+        met.append(j.select("sample_id", *mine, F.inline(F.transform(same, lambda s: F.struct(*[s[c].alias(f"n_{c}") for c in theirs])))))
+    if neighbours is not None:
         a = moved(own, ["sample_id"]).filter(counts)
         b = moved(neighbours, ["sample_id", "neighbour_id"]).select("sample_id", "neighbour_id", "step", *[F.col(c).alias(f"n_{c}") for c in theirs])
-        j = a.join(b, ["sample_id", "step"])
+        met.append(a.join(b, ["sample_id", "step"]).select(*columns))
+    j = reduce(DataFrame.unionByName, met)
     px, py = F.col("lat") - F.col("n_lat"), F.col("lon") - F.col("n_lon")
     vx, vy = F.col("vlat") - F.col("n_vlat"), F.col("vlon") - F.col("n_vlon")
     rel2 = vx * vx + vy * vy

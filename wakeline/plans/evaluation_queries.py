@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from wakeline.functions import codes
 from wakeline.operators import collision as CO
@@ -18,6 +18,7 @@ from wakeline.plans.adapter import circ, fold, hav, secs, with_sql
 from wakeline.plans.proximity_queries import FORECAST, forecast
 from wakeline.plans.proximity_queries import _pairs as _pairs_sql
 from wakeline.plans.registry import query
+from wakeline.session import saved
 
 _SQ = "((pred_lat-true_lat)*(pred_lat-true_lat)+(pred_lon-true_lon)*(pred_lon-true_lon))"
 
@@ -358,10 +359,16 @@ SELECT sample_id, avg(1/(1+exp((sqrt((px+t*vx)*(px+t*vx)+(py+t*vy)*(py+t*vy))*11
 def stepwise_risk(spark, sf):
     fc = forecast(spark, sf)
     own = fc.select("sample_id", "step", F.col("pred_lat").alias("lat"), F.col("pred_lon").alias("lon"))
-    # the tracks go with the rows, so that pairs needn't be joined
-    p = A.positions(spark, sf).join(CO.motion_lists(own).withColumnRenamed("sample_id", "event_id"), "event_id")
-    near = P.near_pairs(p, 2.0, state=("event_id", "mmsi", "time", "lat", "lon", "steps"))
-    return CO.stepwise_risk(None, near.select(F.col("event_id").alias("sample_id"), "steps", "other_steps"))
+    # the tracks go with the rows, so that pairs needn't be joined; where row numbers repeat, they are
+    lists = CO.motion_lists(own).withColumnRenamed("sample_id", "event_id")
+    p = A.positions(spark, sf).join(lists, "event_id")
+    p = p.withColumn("repeats", F.col("repeats") | (F.count("*").over(Window.partitionBy("event_id")) > 1))
+    near = P.near_pairs(p, 2.0, state=("event_id", "mmsi", "time", "lat", "lon", "steps", "repeats")).withColumnRenamed("event_id", "sample_id")
+    if saved(p.filter("repeats").select("event_id"), "repeated").isEmpty():
+        return CO.stepwise_risk(None, None, pairs=near)
+    again = near.filter("repeats OR other_repeats").select("sample_id", F.col("other_event_id").alias("neighbour_id"))
+    track = own.withColumnRenamed("sample_id", "neighbour_id")
+    return CO.stepwise_risk(own, again.join(track, "neighbour_id"), pairs=near.filter("NOT repeats AND NOT other_repeats"))
 
 
 @query("col17_feasibility", with_sql("seg") + f""", w AS (SELECT event_id, cog, sog, lag(cog) OVER s AS pc, lag(sog) OVER s AS ps FROM seg WINDOW s AS (PARTITION BY mmsi, segment_id ORDER BY time, event_id))
